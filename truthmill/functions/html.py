@@ -70,7 +70,7 @@ def markup_text(fragment: Column) -> Column:
     return F.trim(F.regexp_replace(unescape(t), r"[ \t\n\f\r]+", " "))
 
 
-def _open_tag(part: str) -> str:
+def open_tag(part: str) -> str:
     """Regular expression of the opening tag that a simple selector part describes."""
     m = re.fullmatch(r"([A-Za-z][\w-]*)?((?:[#.][\w-]+)*)", part.strip())
     if not m or not part.strip():
@@ -87,38 +87,40 @@ def _open_tag(part: str) -> str:
     return rf"(?is)<({m.group(1) or '[a-z][a-z0-9-]*'})(?=[\s/>]){needs}[^>]*>"
 
 
-def _first_body(html: Column, part: str) -> Column:
-    """Inner markup of the first element matching one selector part, '' when there is none.
+def selector_patterns(selector: str) -> list[str]:
+    """Opening-tag patterns of a selector chain, outermost first."""
+    return [open_tag(part) for part in selector.split(">")]
+
+
+def first_body(html: Column, opening: Column) -> Column:
+    """Inner markup of the first element whose opening tag fits, '' when there is none.
 
     The rest of the page is cut at every tag of the same name and the cut pieces are
     counted up and down to find where the element closes, so nested elements of the
     same name stay inside it.
     """
-    opening = _open_tag(part)
 
     def body(h: Column) -> Column:
-        start = F.regexp_instr(h, F.lit(opening))
-        name = F.regexp_extract(h, opening, 1)
-        cut_at = F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])"))
-        pieces = F.split(F.substring(h, start, F.length(h)), cut_at)
+        start = F.regexp_instr(h, opening)
+        rest = F.substring(h, start, F.length(h))
+        name = F.regexp_extract(rest, r"^<([a-zA-Z][\w-]*)", 1)
+        pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
 
         def until_closed(p: Column) -> Column:
+            # depth after a piece, pieces before it, and where the depth first fell to 0
             state = F.aggregate(
                 p,
                 F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end")),
-                lambda acc, piece: let(
-                    acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1),
-                    lambda depth: F.struct(
-                        depth.alias("depth"),
-                        (acc["seen"] + 1).alias("seen"),
-                        F.when((acc["end"] == 0) & (depth == 0), acc["seen"])
-                        .otherwise(acc["end"])
-                        .alias("end"),
-                    ),
+                lambda acc, piece: F.struct(
+                    (acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)).alias("depth"),
+                    (acc["seen"] + 1).alias("seen"),
+                    F.when((acc["end"] == 0) & (acc["depth"] == 1) & piece.startswith("</"), acc["seen"])
+                    .otherwise(acc["end"])
+                    .alias("end"),
                 ),
+                lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(acc["seen"]),
             )
-            end = let(state, lambda s: F.when(s["end"] > 0, s["end"]).otherwise(F.size(p)))
-            return F.array_join(F.slice(p, F.lit(1), end), "")
+            return F.array_join(F.slice(p, F.lit(1), state), "")
 
         inner = F.regexp_replace(let(pieces, until_closed), "(?s)^<[^>]*>", "")
         return F.when(start > 0, inner).otherwise("")
@@ -126,20 +128,22 @@ def _first_body(html: Column, part: str) -> Column:
     return let(html, body)
 
 
-def select_body(markup: Column, selector: str) -> Column:
-    """Inner markup of the element a selector chain leads to, in visible markup."""
-    for part in selector.split(">"):
-        markup = _first_body(markup, part)
-    return markup
+def select_bodies(markup: Column, selectors: Column) -> Column:
+    """Inner markup for each selector of an ``array<array<string>>`` of tag patterns.
+
+    The selectors are data, so one expression serves every field of every site. A null
+    selector gives ''.
+    """
+    return F.transform(
+        selectors, lambda parts: F.coalesce(F.aggregate(parts, markup, first_body), F.lit(""))
+    )
 
 
 def select_text(markup: Column, selector: str) -> Column:
-    return markup_text(select_body(markup, selector))
+    patterns = F.array(F.array(*[F.lit(p) for p in selector_patterns(selector)]))
+    return markup_text(select_bodies(markup, patterns)[0])
 
 
-def link_markup(markup: Column, selector: str, holding: str = "") -> Column:
-    """Links under an element whose markup contains a given string."""
-    links = F.regexp_extract_all(
-        select_body(markup, selector), F.lit(r"((?is)<a(?=[\s/>])[^>]*>.*?</a\s*>)"), F.lit(1)
-    )
-    return F.filter(links, lambda a: a.contains(holding)) if holding else links
+def link_markup(fragment: Column) -> Column:
+    """Markup of every link in a fragment."""
+    return F.regexp_extract_all(fragment, F.lit(r"((?is)<a(?=[\s/>])[^>]*>.*?</a\s*>)"), F.lit(1))

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from truthmill.functions.html import link_markup, markup_text, select_body, visible_markup
+from truthmill.functions.html import (
+    link_markup,
+    markup_text,
+    select_bodies,
+    selector_patterns,
+    visible_markup,
+)
 
 
 @dataclass(frozen=True)
@@ -110,29 +118,23 @@ def article_content(url: Column, content: Column, pattern: str) -> Column:
     return F.when(is_article(url, pattern) & (content != ""), content).otherwise("")
 
 
-_FIELDS = ("title", "content", "category", "dates", "views", "comments", "dated_views")
-
+_FIELDS = ("title", "content", "category", "date_1", "date_2", "views", "comments", "dated_views")
 
-def _fragments(p: SiteProfile) -> Column:
-    """Markup of every field of one site, in a fixed order, '' for a field it does not keep."""
-    markup, none = F.col("_markup"), F.lit("")
 
-    def body(selector: str) -> Column:
-        return select_body(markup, selector) if selector else none
+def _selectors(p: SiteProfile) -> Column:
+    """The profile's selectors in field order, null for a field the site does not keep."""
+    texts = [p.title, p.content, p.category, *(p.dates + ("", ""))[:2], p.views, p.comments, p.dated_views]
+    patterns = [selector_patterns(t) if t else None for t in texts]
+    return F.from_json(F.lit(json.dumps(patterns)), "array<array<string>>")
 
-    def field(name: str) -> Column:
-        if name == "dates":
-            return F.concat_ws(" ", *[body(s) for s in p.dates]) if p.dates else none
-        if name == "category" and p.category_links:
-            return none
-        return body(getattr(p, name))
 
-    links = link_markup(markup, p.category, p.category_holding) if p.category_links else F.array()
-    return F.struct(
-        F.array(*[field(name) for name in _FIELDS]).alias("fields"),
-        links.cast("array<string>").alias("links"),
-        is_article(F.col("url"), p.article).alias("is_article"),
-    )
+def _by_site(sites: tuple[SiteProfile, ...], value: Callable[[SiteProfile], Column]) -> Column:
+    """Value of the first site whose host fits, null when none does."""
+    out = None
+    for p in sites:
+        fits = F.col("_host").rlike(p.host)
+        out = F.when(fits, value(p)) if out is None else out.when(fits, value(p))
+    return out
 
 
 def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES) -> DataFrame:
@@ -141,34 +143,36 @@ def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES) ->
     A page that fails is kept and marked, and the rest go on: ``bad_url`` when the
     address does not parse or no site fits, ``no_content`` when no text was found.
     """
-    found = None
-    for p in sites:
-        fits = F.col("_host").rlike(p.host)
-        found = F.when(fits, _fragments(p)) if found is None else found.when(fits, _fragments(p))
     rows = (
         pages.withColumn("_host", url_part(F.col("url"), "HOST"))
         .withColumn("_markup", visible_markup(F.col("html")))
-        .withColumn("_found", found)
-        .withColumn("_texts", F.transform("_found.fields", markup_text))
-        .withColumn("_links", F.array_join(F.transform("_found.links", markup_text), ","))
+        .withColumn("_bodies", select_bodies(F.col("_markup"), _by_site(sites, _selectors)))
+    )
+    body = {name: F.col("_bodies")[i] for i, name in enumerate(_FIELDS)}
+    by_links = _by_site(sites, lambda p: F.lit(p.category_links))
+    holding = _by_site(sites, lambda p: F.lit(p.category_holding))
+    links = F.filter(link_markup(body["category"]), lambda a: a.contains(holding))
+    article = _by_site(sites, lambda p: is_article(F.col("url"), p.article))
+    rows = rows.withColumn("_texts", F.transform("_bodies", markup_text)).withColumn(
+        "_links", F.when(by_links, F.array_join(F.transform(links, markup_text), ","))
     )
     text = {name: F.col("_texts")[i] for i, name in enumerate(_FIELDS)}
     dated, dated_views = dated_view_parts(text["dated_views"])
     views = F.coalesce(F.trim(text["views"]).try_cast("long"), dated_views)
-    content = F.when(F.col("_found.is_article") & (text["content"] != ""), text["content"]).otherwise("")
-    reason = F.when(F.col("_found").isNull(), "bad_url").when(F.col("content") == "", "no_content")
+    content = F.when(article, text["content"]).otherwise("")
+    reason = F.when(F.col("_bodies").isNull(), "bad_url").when(F.col("content") == "", "no_content")
     return rows.select(
         F.col("page_id").alias("key"),
         "url",
         "html",
         text["title"].alias("title"),
         content.alias("content"),
-        F.when(F.col("_links") != "", F.col("_links")).otherwise(text["category"]).alias("category"),
-        F.coalesce(parse_date(text["dates"]), dated).alias("publish_date"),
+        F.coalesce("_links", text["category"]).alias("category"),
+        F.coalesce(parse_date(F.concat_ws(" ", text["date_1"], text["date_2"])), dated).alias("publish_date"),
         F.coalesce(views, F.lit(0).cast("long")).alias("view_count"),
         count_or_zero(text["comments"]).alias("comment_count"),
-        "_found",
-    ).withColumn("reject_reason", reason).drop("_found")
+        "_bodies",
+    ).withColumn("reject_reason", reason).drop("_bodies")
 
 
 def record_json(records: DataFrame) -> DataFrame:

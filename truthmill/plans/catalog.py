@@ -630,7 +630,7 @@ def model_mlp(spark, d):
 
 
 def _average_areas(spark: SparkSession, metrics: list[float]) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(metrics)), "grid_point int, area_under_roc double")
+    return spark.createDataFrame([(i, float(m)) for i, m in enumerate(metrics)], "grid_point int, area_under_roc double")
 
 
 @query
