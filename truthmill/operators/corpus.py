@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from truthmill.functions.arrays import run_lengths
 from truthmill.functions.vectors import sparse_vector
-from truthmill.operators.shared import checkpointed, dense_index, join_words
+from truthmill.operators.shared import dense_index, join_words, stored
 
 # --- fixed value: words are kept above this count -----------------------------------
 MIN_COUNT = 10
@@ -59,8 +59,18 @@ def class_counts(df: DataFrame, terms: Column) -> DataFrame:
     )
 
 
+def bag_class_counts(bag: DataFrame) -> DataFrame:
+    """The same counts from a stored (label, word, tf) bag, without tokenising again."""
+    tf, zero = F.col("tf"), F.lit(0).cast("long")
+    return bag.groupBy("word").agg(
+        F.sum(F.when(F.col("label") == 0.0, tf).otherwise(zero)).alias("cnt0"),
+        F.sum(F.when(F.col("label") == 1.0, tf).otherwise(zero)).alias("cnt1"),
+        F.sum("tf").alias("cnt"),
+    )
+
+
 def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
-    """Words above the count, numbered from 0 in word order; written to the checkpoint folder."""
+    """Words above the count, numbered from 0 in word order."""
     return dense_index(counts.filter(F.col("cnt") > min_count), "word")
 
 
@@ -101,16 +111,15 @@ def document_idf(df: DataFrame, terms: Column) -> DataFrame:
 
 
 def tfidf(
-    df: DataFrame, terms: Column, vocab: DataFrame, documents: Column, *keys: str, frequency: str = "cnt"
+    bag: DataFrame, vocab: DataFrame, documents: Column, *keys: str, frequency: str = "cnt"
 ) -> DataFrame:
-    """(keys, word, idx, tf, weight) for the words of the vocabulary.
+    """(keys, word, idx, tf, weight) of a bag of words, for the words of a stored vocabulary.
 
     ``frequency`` names the vocabulary column that stands for the document frequency;
     the default is the stored number of occurrences.
     """
-    bag = bag_of_words(df, terms, *keys)
     words = vocab.select("word", "idx", F.col(frequency).alias("_df"))
-    joined = join_words(bag, words, "word", keys[0])
+    joined = join_words(bag.select(*keys, "word", "tf"), words, "word", keys[0])
     return joined.select(
         *keys, "word", "idx", "tf", tfidf_weight(F.col("tf"), F.col("_df"), documents).alias("weight")
     )
@@ -148,12 +157,13 @@ def class_similarity(df: DataFrame, terms: Column, key: str = "doc_id") -> DataF
     Finds which side an article resembles without pairing articles: the class sums are
     one row per word, so the work is one join of the bags with them.
     """
-    sums = checkpointed(class_counts(df, terms).select("word", "cnt0", "cnt1"))
+    bag = stored(bag_of_words(df, terms, key, "label"))
+    sums = stored(bag_class_counts(bag).select("word", "cnt0", "cnt1"))
     squared = sums.agg(
         F.sum(F.col("cnt0").cast("double") * F.col("cnt0")).alias("n0"),
         F.sum(F.col("cnt1").cast("double") * F.col("cnt1")).alias("n1"),
     )
-    hits = join_words(bag_of_words(df, terms, key), sums, "word", key)
+    hits = join_words(bag.select(key, "word", "tf"), sums, "word", key)
     tf = F.col("tf").cast("double")
     dots = hits.groupBy(key).agg(
         F.sum(tf * F.col("cnt0")).alias("d0"),

@@ -91,8 +91,7 @@ def fold_number(key: Column, folds: int, seed: int = FOLD_SEED) -> Column:
 
 
 def build_sets(
-    unreliable: DataFrame,
-    credible: DataFrame,
+    news: DataFrame,
     validation: DataFrame,
     extra_unreliable: DataFrame,
     key: str = "doc_id",
@@ -101,7 +100,7 @@ def build_sets(
 ) -> DataFrame:
     """(dataset, key, content, label) of the train, test, validation and held-out sets.
 
-    Train and test take from both classes; the third credible part joins the extra
+    Each class of the news has its own split; the third credible part joins the extra
     unreliable source in the held-out set. Every source is read once: the split number
     names the set of a row, and ``one_set`` is a filter on that name.
     """
@@ -113,9 +112,11 @@ def build_sets(
         names = F.array(*[F.lit(n) for n in ("train", "test", "held_out")[: len(weights)]])
         return F.get(names, split_number(F.col(key), weights))
 
+    split = F.when(F.col("label") == CREDIBLE, by_split(credible_weights)).otherwise(
+        by_split(unreliable_weights)
+    )
     return (
-        named(unreliable, by_split(unreliable_weights))
-        .unionByName(named(credible, by_split(credible_weights)))
+        named(news, split)
         .unionByName(named(validation, F.lit("validation")))
         .unionByName(named(extra_unreliable, F.lit("held_out")))
     )

@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
 from truthmill.functions.vectors import cosine, l2_normalise
+from truthmill.operators.shared import join_words, stored
+
+# A label row holds a whole vector, so the bound is lower than for words.
+LABELS_TO_BROADCAST = 10_000
 
 
 def as_double(df: DataFrame, column: str = "embedding") -> DataFrame:
     return df.withColumn(column, F.col(column).cast("array<double>"))
 
 
-def sum_by_label(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """(label, pos, total): element-wise sums, combined in every task before the shuffle."""
-    cells = df.select("label", F.posexplode(column).alias("pos", "value"))
-    return cells.groupBy("label", "pos").agg(F.sum("value").alias("total"))
+def label_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """(label, label_sum): element-wise sums, kept as one vector per label in every task."""
+    vector = array_to_vector(F.col(column))
+    sums = df.groupBy("label").agg(Summarizer.sum(vector).alias("s"))
+    return sums.select("label", vector_to_array("s").alias("label_sum"))
 
 
-def label_vectors(df: DataFrame, column: str = "embedding") -> DataFrame:
-    """One summed vector per label; a group here is one vector long."""
-    cells = F.array_sort(F.collect_list(F.struct("pos", "total")))
-    return sum_by_label(df, column).groupBy("label").agg(cells["total"].alias("label_sum"))
+def sum_by_label(df: DataFrame, column: str = "embedding") -> DataFrame:
+    """(label, pos, total)"""
+    return label_vectors(df, column).select("label", F.posexplode("label_sum").alias("pos", "total"))
 
 
-def similarity_to_label(df: DataFrame, column: str = "embedding") -> DataFrame:
+def similarity_to_label(df: DataFrame, column: str = "embedding", key: str = "vec_id") -> DataFrame:
     """Cosine of each vector with the sum of its label's vectors."""
-    joined = df.join(label_vectors(df, column), "label")
+    sums = stored(label_vectors(df, column))
+    joined = join_words(df, sums, "label", key, LABELS_TO_BROADCAST)
     return joined.withColumn("cosine", cosine(F.col(column), F.col("label_sum")))
 
 
@@ -35,7 +42,7 @@ def most_similar(df: DataFrame, k: int, column: str = "embedding", key: str = "v
     The rank filter lets Spark keep only k rows per label in every task before the shuffle.
     """
     order = Window.partitionBy("label").orderBy(F.desc("cosine"), key)
-    ranked = similarity_to_label(df, column).select(
+    ranked = similarity_to_label(df, column, key).select(
         "label", key, "cosine", F.row_number().over(order).alias("rank")
     )
     return ranked.filter(F.col("rank") <= k)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from truthmill.operators.shared import checkpointed, running_sums
+from truthmill.operators.shared import running_sums
 
 CLASSES = (0.0, 1.0)
 
@@ -130,11 +130,8 @@ def score_curve(scored: DataFrame) -> DataFrame:
         F.count_if(F.col("label") == 1.0).alias("pos"),
         F.count_if(F.col("label") != 1.0).alias("neg"),
     )
-    curve = checkpointed(running_sums(by_score, F.desc("score"), tp="pos", fp="neg"))
-    totals = curve.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    return curve.withColumns(
-        {"p": totals.select("p").scalar(), "n": totals.select("n").scalar()}
-    )
+    curve = running_sums(by_score, F.desc("score"), tp="pos", fp="neg")
+    return curve.withColumnsRenamed({"tp_total": "p", "fp_total": "n"})
 
 
 def _curve_precision(tp: Column, fp: Column) -> Column:

@@ -65,7 +65,7 @@ class CredibilityFeatures(
         return self._set(outputCol=value)
 
     def transformSchema(self, schema: StructType) -> StructType:
-        return StructType(schema.fields).add(self.getOutputCol(), VectorUDT(), True)
+        return StructType(list(schema.fields)).add(self.getOutputCol(), VectorUDT(), True)
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         array = feature_array(F.col(self.getInputCol()), self.lexicon)

@@ -1,8 +1,9 @@
-"""Checkpoints, size-checked joins and ordered running sums."""
+"""Stored intermediate tables, size-checked joins and ordered running sums."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -10,27 +11,31 @@ BROADCAST_ROWS = 200_000
 SALTS = 32
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names; make one only for a local session without it."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not sc.master.startswith("local"):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="truthmill-checkpoint-")
-    sc.setCheckpointDir(folder)
+        folder = tempfile.mkdtemp(prefix="truthmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and read them from there on."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame) -> DataFrame:
+    """Write the rows as a table in the shared folder and read them from there on.
+
+    Cuts the lineage and computes the rows once, whatever is derived from them. Unlike
+    ``checkpoint()``, which runs the plan a second time to write it, the table is
+    columnar, so later steps read only the columns they use, and its size is known.
+    """
+    path = f"{shared_folder(df.sparkSession)}/truthmill/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Row count checked up to the bound. Call it on written or checkpointed tables."""
+    """Row count checked up to the bound. Call it on stored tables, where counting is cheap."""
     return df.limit(rows + 1).count() <= rows
 
 
@@ -53,11 +58,11 @@ def join_words(
 def ordered(df: DataFrame, *order: Column | str) -> DataFrame:
     """Range-sorted copy with ``_part`` (range number) and ``_pos`` (row number in it).
 
-    The range bounds are sampled, so the copy is checkpointed before anything is
-    derived from it; a recomputed sort could cut elsewhere.
+    The range bounds are sampled, so the copy is stored before anything is derived from
+    it; a recomputed sort could cut elsewhere.
     """
     df = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    df = checkpointed(df.withColumn("_at", F.monotonically_increasing_id()))
+    df = stored(df.withColumn("_at", F.monotonically_increasing_id()))
     return df.withColumns(
         {
             "_part": F.shiftright("_at", 33).cast("int"),
@@ -67,11 +72,14 @@ def ordered(df: DataFrame, *order: Column | str) -> DataFrame:
 
 
 def _offsets(df: DataFrame, sums: dict[str, Column]) -> DataFrame:
-    """Totals of all earlier ranges: one row per range, so its window is a few rows long."""
+    """Totals of all earlier ranges and of all ranges: one row per range, a few in all."""
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = df.groupBy("_part").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     return totals.select(
-        "_part", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums]
+        "_part",
+        *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"_before_{n}") for n in sums],
+        *[F.sum(n).over(every).alias(f"{n}_total") for n in sums],
     )
 
 
@@ -82,11 +90,11 @@ def dense_index(df: DataFrame, *order: Column | str, name: str = "idx") -> DataF
     numbered = rows.join(F.broadcast(offsets), "_part").withColumn(
         name, F.col("_pos") + F.col("_before_n")
     )
-    return numbered.drop("_part", "_pos", "_before_n")
+    return numbered.drop("_part", "_pos", "_before_n", "n_total")
 
 
 def running_sums(df: DataFrame, *order: Column | str, **columns: str) -> DataFrame:
-    """Inclusive running sums over a total order: ``out="column"`` for each sum.
+    """Inclusive running sums over a total order, ``out="column"`` for each, and ``out_total``.
 
     The order should be by distinct keys, so that every range stays small.
     """

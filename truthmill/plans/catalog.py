@@ -18,7 +18,7 @@ from truthmill.functions import tokens as tok
 from truthmill.functions.arrays import blank_out, keep
 from truthmill.lexicon import MULTILINGUAL as LEX
 from truthmill.operators import corpus, dataset, embedding, evaluation, features, pages
-from truthmill.operators.shared import checkpointed
+from truthmill.operators.shared import stored
 from truthmill.plans import models
 from truthmill.sources import readers, writers
 
@@ -60,13 +60,11 @@ def news(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 def all_sets(spark: SparkSession, d: str) -> DataFrame:
     """The four sets: marked documents, conversation turns, and the extra unreliable source."""
-    marked = news(spark, d)
     turns = readers.spread(table(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn")
     turns = turns.withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
     extra = table(spark, d, "benchmark", F.col("item_id").alias("doc_id"), "text")
     return dataset.build_sets(
-        marked.filter("label = 0"),
-        marked.filter("label = 1"),
+        news(spark, d),
         dataset.labelled(turns, "text", dataset.category_label(F.col("role"), "user")),
         dataset.labelled(extra, "text", dataset.UNRELIABLE),
     )
@@ -89,8 +87,9 @@ def terms(content: str = "content"):
     return tok.analyzer_terms(F.col(content), LEX)
 
 
-def news_vocabulary(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.vocabulary(corpus.class_counts(news(spark, d), terms()))
+def news_bag(spark: SparkSession, d: str) -> DataFrame:
+    """(doc_id, label, word, tf) of the marked documents, tokenised once and stored."""
+    return stored(corpus.bag_of_words(news(spark, d), terms(), "doc_id", "label"))
 
 
 # ---- sources and sinks -----------------------------------------------------------------
@@ -408,7 +407,7 @@ def substring_counts(spark, d):
 @query
 def sentiment_scores(spark, d):
     """Word scores from a scored list that grows with the data: 1 or -0.5 by first mark."""
-    scores = checkpointed(lexicon_dedup(spark, d)).select(
+    scores = stored(lexicon_dedup(spark, d)).select(
         "word", F.when(F.col("score") > 0, 1.0).otherwise(-0.5).alias("score")
     )
     words = F.transform(tok.letter_tokens(F.col("text")), F.lower)
@@ -454,7 +453,8 @@ def class_count_outer_join(spark, d):
 
 @query
 def vocabulary_index(spark, d):
-    return news_vocabulary(spark, d).select("word", "cnt", "idx")
+    counts = corpus.class_counts(news(spark, d), terms())
+    return corpus.vocabulary(counts).select("word", "cnt", "idx")
 
 
 @query
@@ -466,9 +466,10 @@ def vocab_stats(spark, d):
 
 @query
 def tfidf_weights(spark, d):
-    marked = news(spark, d)
     n = table(spark, d, "labels").select(F.count("*")).scalar()
-    weights = corpus.tfidf(marked, terms(), news_vocabulary(spark, d), n, "doc_id")
+    bag = news_bag(spark, d)
+    vocab = corpus.vocabulary(corpus.bag_class_counts(bag))
+    weights = corpus.tfidf(bag, vocab, n, "doc_id")
     return weights.withColumn("weight", F.round("weight", 6))
 
 
@@ -574,15 +575,15 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
 
 def tfidf_rows(spark: SparkSession, d: str) -> DataFrame:
     """Marked documents as TF-IDF vectors over the news vocabulary."""
-    marked = news(spark, d)
-    vocab = news_vocabulary(spark, d)
-    n = table(spark, d, "labels").select(F.count("*")).scalar()
-    weights = corpus.tfidf(marked, terms(), vocab, n, "doc_id")
-    return corpus.tfidf_vectors(weights, marked.select("doc_id", "label"), F.lit(vocab.count()))
+    bag = news_bag(spark, d)
+    vocab = corpus.vocabulary(corpus.bag_class_counts(bag))
+    marks = news(spark, d).select("doc_id", "label")
+    weights = corpus.tfidf(bag, vocab, marks.select(F.count("*")).scalar(), "doc_id")
+    return corpus.tfidf_vectors(weights, marks, F.lit(vocab.count()))
 
 
 def _model_scores(spark: SparkSession, d: str, name: str) -> DataFrame:
-    rows = checkpointed(tfidf_rows(spark, d))
+    rows = stored(tfidf_rows(spark, d))
     part = dataset.split_number(F.col("doc_id"), dataset.UNRELIABLE_WEIGHTS)
     model = models.fit_persisted(models.estimator(name), rows.filter(part == 0))
     return models.score(model, rows.filter(part == 1), "doc_id")
@@ -606,7 +607,7 @@ def model_svm(spark, d):
 @query
 def nb_theta(spark, d):
     counts = corpus.class_counts(news(spark, d), terms()).filter(F.col("cnt") > corpus.MIN_COUNT)
-    out = corpus.naive_bayes_theta(checkpointed(counts))
+    out = corpus.naive_bayes_theta(stored(counts))
     return out.withColumn("theta", F.round("theta", 6))
 
 
@@ -616,7 +617,7 @@ def credibility_model(spark, d):
     corpus_kept = corpus_tokens(spark, d).persist()
     word_vectors = models.train_word_vectors(corpus_kept)
     corpus_kept.unpersist()
-    rows = checkpointed(feature_rows(spark, d))
+    rows = stored(feature_rows(spark, d))
     pipeline = models.credibility_pipeline(word_vectors)
     tuned = models.tune_by_split(pipeline, models.parameter_grid(pipeline), dataset.one_set(rows, "train"))
     return models.score(tuned.bestModel, rows, "dataset", "doc_id")
@@ -624,7 +625,7 @@ def credibility_model(spark, d):
 
 @query
 def model_mlp(spark, d):
-    rows = checkpointed(feature_rows(spark, d).withColumnRenamed("commonfeatures", "features"))
+    rows = stored(feature_rows(spark, d).withColumnRenamed("commonfeatures", "features"))
     model = models.fit_persisted(models.perceptron(len(cred.FEATURES)), dataset.one_set(rows, "train"))
     return models.score(model, dataset.one_set(rows, "test"), "doc_id")
 
@@ -635,7 +636,7 @@ def _average_areas(spark: SparkSession, metrics: list[float]) -> DataFrame:
 
 @query
 def tune_tvs(spark, d):
-    rows = checkpointed(dataset.one_set(feature_rows(spark, d), "train"))
+    rows = stored(dataset.one_set(feature_rows(spark, d), "train"))
     pipeline = models.credibility_pipeline(None)
     tuned = models.tune_by_split(pipeline, models.parameter_grid(pipeline, (10, 20)), rows)
     return _average_areas(spark, tuned.validationMetrics)
@@ -643,7 +644,7 @@ def tune_tvs(spark, d):
 
 @query
 def tune_cv(spark, d):
-    rows = checkpointed(dataset.one_set(feature_rows(spark, d), "train"))
+    rows = stored(dataset.one_set(feature_rows(spark, d), "train"))
     pipeline = models.credibility_pipeline(None)
     tuned = models.tune_by_folds(pipeline, models.parameter_grid(pipeline), rows)
     return _average_areas(spark, tuned.avgMetrics)
