@@ -110,7 +110,9 @@ def strip_line_marker(text: Column, replacement: str = "") -> Column:
 
 
 # --- fixed values: published light-stemmer rules for Bulgarian -------------------
-# (minimum word length, ending, characters cut, characters put back)
+# (minimum word length, ending, characters cut, characters put back); ``?`` in an ending
+# stands for any one letter, and in the text put back for that letter. In each group the
+# first rule that fits is taken. A word a place rule fits goes through no further group.
 PLACE_RULES = ((6, "ища", 3, ""),)
 ARTICLE_RULES = (
     (7, "ият", 3, ""),
@@ -123,66 +125,94 @@ PLURAL_RULES = (
     (6, "е?и", 3, "я?"),
     (5, "си", 2, "х"), (5, "и", 1, ""),
 )
-YA_RULES = ((4, "я", 1, ""),)
-VOWEL_RULES = ((4, "а", 1, ""), (4, "о", 1, ""), (4, "е", 1, ""))
-EN_RULES = ((5, "ен", 2, "н"),)
-HARD_SIGN_RULES = ((6, "ъ?", 2, "?"),)
-STEM_PHASES = (ARTICLE_RULES, PLURAL_RULES, YA_RULES, VOWEL_RULES, EN_RULES, HARD_SIGN_RULES)
+# A final я goes first, then a final vowel of what is left.
+VOWEL_RULES = (
+    (5, "ая", 2, ""), (5, "оя", 2, ""), (5, "ея", 2, ""), (4, "я", 1, ""),
+    (4, "а", 1, ""), (4, "о", 1, ""), (4, "е", 1, ""),
+)
+# ен becomes н first, then a ъ before the last letter goes.
+CONSONANT_RULES = ((7, "ъен", 3, "н"), (5, "ен", 2, "н"), (6, "ъ?", 2, "?"))
 # -------------------------------------------------------------------------------
-# ``?`` in an ending stands for any one letter, and in the text put back for that letter.
+_FINISHED = "\u0001"
+
+
+def _rule(word: Column, n: Column, rule) -> tuple[Column, Column]:
+    """(condition, result) of one rule on a word of length n."""
+    low, ending, cut, put = rule
+    at = ending.find("?")
+    if at < 0:
+        fits, tail = word.endswith(ending), F.lit(put)
+    else:
+        back = len(ending) - at  # the wild letter, counted from the end
+        wild = F.substring(word, n - (back - 1), F.lit(1))
+        fits = word.endswith(ending[at + 1:])
+        if at:
+            fits = fits & (F.substring(word, n - (len(ending) - 1), F.lit(at)) == ending[:at])
+        tail = F.concat(*[wild if p == "?" else F.lit(p) for p in put])
+    return (n >= low) & fits, F.concat(F.substring(word, F.lit(1), n - cut), tail)
 
 
 def _apply_rules(word: Column, rules) -> Column:
-    """First rule whose ending and minimum length fit; the word itself if none does."""
+    """First rule whose ending and minimum length fit; the word itself if none does.
+
+    Rules are tried by last letter, so a word meets only those it could end with.
+    """
     n = F.length(word)
-    out = None
-    for low, ending, cut, put in rules:
-        at = ending.find("?")
-        if at < 0:
-            fits = word.endswith(ending)
-            tail = F.lit(put)
-        else:
-            wild = F.substring(word, n - (len(ending) - 1 - at), F.lit(1))
-            pieces = [(ending[:at], len(ending)), (ending[at + 1:], len(ending) - 1 - at)]
-            fits = F.lit(True)
-            for piece, back in pieces:
-                if piece:
-                    fits = fits & (F.substring(word, n - (back - 1), F.lit(len(piece))) == piece)
-            tail = F.concat(*[wild if p == "?" else F.lit(p) for p in put])
-        result = F.concat(F.substring(word, F.lit(1), n - cut), tail)
-        cond = (n >= low) & fits
-        out = F.when(cond, result) if out is None else out.when(cond, result)
-    return out.otherwise(word)
+    anywhere = [r for r in rules if r[1][-1] == "?"]
+    by_last: dict[str, list] = {}
+    for rule in rules:
+        if rule not in anywhere:
+            by_last.setdefault(rule[1][-1], []).append(rule)
 
+    def first(group, start=F):
+        for rule in group:
+            start = start.when(*_rule(word, n, rule))
+        return start.otherwise(word) if group else word
 
-def stem(word: Column) -> Column:
-    """Bulgarian light stem of one word."""
-    low, ending, cut, _ = PLACE_RULES[0]
+    out = F.when(word.endswith(_FINISHED), word)
+    for last, group in by_last.items():
+        out = out.when(word.endswith(last), first(group + anywhere))
+    return out.otherwise(first(anywhere))
 
-    def phases(w: Column, rest) -> Column:
-        return w if not rest else let(_apply_rules(w, rest[0]), lambda x: phases(x, rest[1:]))
 
-    n = F.length(word)
-    return (
-        F.when(n < 4, word)
-        .when((n >= low) & word.endswith(ending), F.substring(word, F.lit(1), n - cut))
-        .otherwise(phases(word, STEM_PHASES))
-    )
+def stem_tokens(tokens: Column, passes: int = 1) -> Column:
+    """Bulgarian light stems of all tokens, one walk over the array per rule group."""
+    (low, ending, cut, _), = PLACE_RULES
 
+    def place_or_article(w: Column) -> Column:
+        stem = F.concat(F.substring(w, F.lit(1), F.length(w) - cut), F.lit(_FINISHED))
+        return F.when(w.endswith(ending) & (F.length(w) >= low), stem).otherwise(
+            _apply_rules(w, ARTICLE_RULES)
+        )
+
+    def last_group(w: Column) -> Column:
+        return F.when(w.endswith(_FINISHED), F.substring(w, F.lit(1), F.length(w) - 1)).otherwise(
+            _apply_rules(w, CONSONANT_RULES)
+        )
 
-def stem_tokens(tokens: Column, passes: int = 1) -> Column:
     for _ in range(passes):
-        tokens = F.transform(tokens, stem)
+        for group in (
+            place_or_article,
+            lambda w: _apply_rules(w, PLURAL_RULES),
+            lambda w: _apply_rules(w, VOWEL_RULES),
+            last_group,
+        ):
+            tokens = F.transform(tokens, group)
     return tokens
 
 
+def stem(word: Column) -> Column:
+    """Bulgarian light stem of one word."""
+    return stem_tokens(F.array(word))[0]
+
+
 def analyzer_terms(text: Column, lexicon: Lexicon, passes: int = 2) -> Column:
     """Full term chain: words, lower case, stop words, stem, numbers, length, stem, shingles."""
     low, high = ANALYZER_TOKEN_LENGTH
     stop = list(lexicon.stop)
     words = F.transform(word_tokens(strip_line_marker(text)), F.lower)
     words = blank_out(words, lambda t: ~t.isin(stop)) if stop else words
-    words = F.transform(words, stem)
+    words = stem_tokens(words)
     words = blank_out(words, lambda t: ~is_number(t) & F.length(t).between(low, high))
     words = stem_tokens(words, passes - 1)
     return F.transform(

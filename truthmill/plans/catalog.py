@@ -106,9 +106,10 @@ def lexicon_dedup(spark, d):
         "doc_id", "label", F.posexplode(tok.letter_tokens(F.col("content"))).alias("pos", "word")
     )
     lines = words.select(
-        "doc_id", "pos", F.concat_ws(",", F.lower("word"), F.col("label").cast("string")).alias("line")
+        (F.shiftleft("doc_id", 24) + F.col("pos")).alias("at"),
+        F.concat_ws(",", F.lower("word"), F.col("label").cast("string")).alias("line"),
     )
-    return readers.parse_scored_words(lines, ["doc_id", "pos"])
+    return readers.parse_scored_words(lines)
 
 
 @query

@@ -39,8 +39,8 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return read_table(spark, path, "page_id", "url", "html")
 
 
-def parse_scored_words(lines: DataFrame, order: list[str], on_bad_number: str = "empty") -> DataFrame:
-    """``word,score`` lines to one (word, score) row per word, the first line winning.
+def parse_scored_words(lines: DataFrame, on_bad_number: str = "empty") -> DataFrame:
+    """``line`` of ``word,score`` to one (word, score) row per word, the lowest ``at`` winning.
 
     A line whose score is no number empties the whole list, as an unreadable file does;
     ``on_bad_number="skip"`` drops only that line.
@@ -49,12 +49,12 @@ def parse_scored_words(lines: DataFrame, order: list[str], on_bad_number: str =
     parsed = lines.select(
         F.get(parts, F.lit(0)).alias("word"),
         F.get(parts, F.lit(1)).try_cast("double").alias("score"),
-        F.struct(*order).alias("_at"),
+        "at",
     )
     if on_bad_number == "skip":
         parsed = parsed.filter(F.col("score").isNotNull())
     words = parsed.groupBy("word").agg(
-        F.min_by("score", "_at").alias("score"), F.count_if(F.col("score").isNull()).alias("_bad")
+        F.min_by("score", "at").alias("score"), F.count_if(F.col("score").isNull()).alias("_bad")
     )
     if on_bad_number == "empty":
         bad = words.agg(F.coalesce(F.sum("_bad"), F.lit(0))).scalar()
@@ -67,12 +67,11 @@ def read_scored_words(spark: SparkSession, path: str, on_bad_number: str = "empt
     try:
         lines = spark.read.text(path).select(
             F.col("value").alias("line"),
-            F.col("_metadata.file_path").alias("file"),
             F.monotonically_increasing_id().alias("at"),
         )
     except AnalysisException:
         return spark.createDataFrame([], "word string, score double")
-    return parse_scored_words(lines, ["file", "at"], on_bad_number)
+    return parse_scored_words(lines, on_bad_number)
 
 
 def read_word_list(spark: SparkSession, path: str, limit: int = 100_000) -> list[str]:
