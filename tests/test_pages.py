@@ -24,6 +24,14 @@ def test_nested_elements_of_one_name(spark):
     assert one(spark, html, lambda h: select_text(h, "span")) == ""
 
 
+def test_every_match_is_taken(spark):
+    html = '<p class="a">one <b>1</b></p><p class="b">two</p><p class="a">three</p>'
+    assert one(spark, html, lambda h: select_text(h, ".a")) == "one 1 three"
+    assert one(spark, html, lambda h: select_text(h, ".a > b")) == "1"
+    nested = '<div class="a">x <div class="a">y</div> z</div><div class="a">w</div>'
+    assert one(spark, nested, lambda h: select_text(h, ".a")) == "x y z y w"
+
+
 def test_unclosed_element_runs_to_the_end(spark):
     assert one(spark, "<article>a <p>b", lambda h: select_text(h, "article")) == "a b"
 

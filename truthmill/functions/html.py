@@ -2,7 +2,8 @@
 
 Everything is regular-expression and array expressions, so a page stays in the JVM.
 A selector is a chain of simple parts joined by ``>``; each part is an optional tag
-with ``#id`` and ``.class`` marks, and narrows the element found by the part before.
+with ``#id`` and ``.class`` marks, and narrows the elements found by the part before to
+those anywhere inside them.
 """
 
 from __future__ import annotations
@@ -92,51 +93,76 @@ def selector_patterns(selector: str) -> list[str]:
     return [open_tag(part) for part in selector.split(">")]
 
 
-def first_body(html: Column, opening: Column) -> Column:
-    """Inner markup of the first element whose opening tag fits, '' when there is none.
+def _element_body(rest: Column) -> Column:
+    """``struct<closed, inner>`` of the element whose opening tag starts the text.
 
-    The rest of the page is cut at every tag of the same name and the cut pieces are
-    counted up and down to find where the element closes, so nested elements of the
-    same name stay inside it.
+    The text is cut at every tag of the same name and the pieces are counted up and down
+    to find where the element closes, so nested elements of the same name stay inside it.
+    An element that never closes runs to the end.
+    """
+    name = F.regexp_extract(rest, r"^<([a-zA-Z][\w-]*)", 1)
+    pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
+
+    def until_closed(p: Column) -> Column:
+        # depth after a piece, pieces before it, and how many stand before the closing tag
+        end = F.aggregate(
+            p,
+            F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end")),
+            lambda acc, piece: F.struct(
+                (acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)).alias("depth"),
+                (acc["seen"] + 1).alias("seen"),
+                F.when((acc["end"] == 0) & (acc["depth"] == 1) & piece.startswith("</"), acc["seen"])
+                .otherwise(acc["end"])
+                .alias("end"),
+            ),
+            lambda acc: acc["end"],
+        )
+
+        def cut(e: Column) -> Column:
+            kept = F.slice(p, F.lit(1), F.when(e > 0, e).otherwise(F.size(p)))
+            inner = F.regexp_replace(F.array_join(kept, ""), "(?s)^<[^>]*>", "")
+            return F.struct((e > 0).alias("closed"), inner.alias("inner"))
+
+        return let(end, cut)
+
+    return let(pieces, until_closed)
+
+
+def all_bodies(html: Column, opening: Column) -> Column:
+    """Inner markup of every element whose opening tag fits, in page order.
+
+    The page is cut before each such tag. An element mostly closes within its own cut; one
+    that holds another match does not, and is then read on to the end of the page.
     """
 
-    def body(h: Column) -> Column:
-        start = F.regexp_instr(h, opening)
-        rest = F.substring(h, start, F.length(h))
-        name = F.regexp_extract(rest, r"^<([a-zA-Z][\w-]*)", 1)
-        pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), name, F.lit(r"[\s/>])")))
-
-        def until_closed(p: Column) -> Column:
-            # depth after a piece, pieces before it, and where the depth first fell to 0
-            state = F.aggregate(
-                p,
-                F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), F.lit(0).alias("end")),
-                lambda acc, piece: F.struct(
-                    (acc["depth"] + F.when(piece.startswith("</"), -1).otherwise(1)).alias("depth"),
-                    (acc["seen"] + 1).alias("seen"),
-                    F.when((acc["end"] == 0) & (acc["depth"] == 1) & piece.startswith("</"), acc["seen"])
-                    .otherwise(acc["end"])
-                    .alias("end"),
-                ),
-                lambda acc: F.when(acc["end"] > 0, acc["end"]).otherwise(acc["seen"]),
+    def bodies(cuts: Column) -> Column:
+        def body(cut: Column, i: Column) -> Column:
+            whole = F.array_join(F.slice(cuts, i + 1, F.size(cuts)), "")
+            own = let(
+                _element_body(cut),
+                lambda r: F.when(r["closed"], r["inner"]).otherwise(_element_body(whole)["inner"]),
             )
-            return F.array_join(F.slice(p, F.lit(1), state), "")
+            return F.when(F.regexp_like(cut, F.concat(F.lit("^"), opening)), own)
 
-        inner = F.regexp_replace(let(pieces, until_closed), "(?s)^<[^>]*>", "")
-        return F.when(start > 0, inner).otherwise("")
+        return F.array_compact(F.transform(cuts, body))
 
-    return let(html, body)
+    return let(F.split(html, F.concat(F.lit("(?="), opening, F.lit(")"))), bodies)
 
 
 def select_bodies(markup: Column, selectors: Column) -> Column:
     """Inner markup for each selector of an ``array<array<string>>`` of tag patterns.
 
-    The selectors are data, so one expression serves every field of every site. A null
-    selector gives ''.
+    Elements that fit one selector are joined by a blank. The selectors are data, so one
+    expression serves every field of every site. A null selector gives ''.
     """
-    return F.transform(
-        selectors, lambda parts: F.coalesce(F.aggregate(parts, markup, first_body), F.lit(""))
-    )
+
+    def narrowed(bodies: Column, opening: Column) -> Column:
+        return F.flatten(F.transform(bodies, lambda b: all_bodies(b, opening)))
+
+    def selected(parts: Column) -> Column:
+        return F.coalesce(F.array_join(F.aggregate(parts, F.array(markup), narrowed), " "), F.lit(""))
+
+    return F.transform(selectors, selected)
 
 
 def select_text(markup: Column, selector: str) -> Column:
