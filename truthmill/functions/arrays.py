@@ -51,4 +51,4 @@ def run_lengths(tokens: Column) -> Column:
         )
         return F.when(n > 0, counted)
 
-    return let(F.array_sort(tokens), runs)
+    return let(F.sort_array(tokens), runs)

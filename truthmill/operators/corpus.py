@@ -130,7 +130,7 @@ def tfidf_vectors(weights: DataFrame, documents: DataFrame, size: Column, key: s
 
     A group is one document's distinct words, so it is as large as one text.
     """
-    entries = F.array_sort(F.collect_list(F.struct("idx", "weight")))
+    entries = F.sort_array(F.collect_list(F.struct("idx", "weight")))
     grouped = weights.groupBy(key).agg(entries.alias("e"))
     joined = documents.join(grouped, key, "left")
     empty = F.array().cast("array<struct<idx:bigint,weight:double>>")

@@ -51,10 +51,14 @@ def first_k(df: DataFrame, k: int, by: str, tie: str, descending: bool = False)
     """
     order = [F.desc(by) if descending else F.asc_nulls_last(by), F.asc(tie)]
     keys = df.select(by, tie).orderBy(*order).limit(k)
-    last = keys.agg((F.min if descending else F.max)(by)).scalar()
-    nulls_reached = keys.agg(F.count_if(F.col(by).isNull()) > 0).scalar()
-    within = F.col(by) >= last if descending else F.col(by) <= last
-    return df.filter(F.coalesce(within, nulls_reached)).orderBy(*order).limit(k)
+    cut = keys.agg(
+        F.struct(
+            (F.min if descending else F.max)(by).alias("last"),
+            (F.count_if(F.col(by).isNull()) > 0).alias("nulls_reached"),
+        )
+    ).scalar()
+    within = F.col(by) >= cut["last"] if descending else F.col(by) <= cut["last"]
+    return df.filter(F.coalesce(within, cut["nulls_reached"])).orderBy(*order).limit(k)
 
 
 def latest_k(df: DataFrame, k: int, date: str, tie: str) -> DataFrame:

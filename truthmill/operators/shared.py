@@ -100,7 +100,7 @@ def running_sums(df: DataFrame, *order: Column | str, **columns: str) -> DataFra
     """
     rows = ordered(df, *order)
     offsets = _offsets(rows, {out: F.col(c) for out, c in columns.items()})
-    local = Window.partitionBy("_part").orderBy("_pos")
+    local = Window.partitionBy("_part").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.join(F.broadcast(offsets), "_part")
     rows = rows.withColumns(
         {out: F.sum(c).over(local) + F.col(f"_before_{out}") for out, c in columns.items()}

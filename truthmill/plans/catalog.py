@@ -446,9 +446,7 @@ def class_word_count(spark, d):
 @query
 def class_count_outer_join(spark, d):
     marked = news(spark, d)
-    counts = [
-        corpus.class_word_count(marked.filter(F.col("label") == c), terms()).drop("label") for c in (0.0, 1.0)
-    ]
+    counts = [corpus.word_count(marked.filter(F.col("label") == c), terms()) for c in (0.0, 1.0)]
     return corpus.join_class_counts(*counts)
 
 
