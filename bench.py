@@ -28,7 +28,7 @@ HEADLINE = (
     "tfidf_weights",
     "ml_idf",
     "sentiment_scores",
-    "similar_news_pairs",
+    "similar_news",
     "cosine_topk",
     "train_test_union",
     "latest_k",

@@ -486,7 +486,7 @@ def ml_idf(spark, d):
 
 
 @query
-def similar_news_pairs(spark, d):
+def similar_news(spark, d):
     out = corpus.class_similarity(news(spark, d), normalised_words("content"))
     return out.select(
         "doc_id", F.round("to_unreliable", 6).alias("to_unreliable"), F.round("to_credible", 6).alias("to_credible")

@@ -493,7 +493,7 @@ WITH words AS ({unnested('documents', split_list('text'), 'doc_id')})
 SELECT word, count(DISTINCT doc_id) AS df,
   round(ln(((SELECT count(*) FROM documents) + 1.0) / (count(DISTINCT doc_id) + 1.0)), 6) AS idf
 FROM words GROUP BY word"""
-ORACLES["similar_news_pairs"] = f"""WITH {NEWS},
+ORACLES["similar_news"] = f"""WITH {NEWS},
 words AS ({unnested('news', normal_words('content'), 'doc_id, label')}),
 sums AS (SELECT word, count(*) FILTER (label = 0)::DOUBLE AS c0, count(*) FILTER (label = 1)::DOUBLE AS c1
          FROM words GROUP BY word),
