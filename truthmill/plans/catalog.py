@@ -49,6 +49,10 @@ def documents(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return readers.spread(df, "doc_id")
 
 
+def events(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return readers.spread(table(spark, d, "events", "event_id", *columns), "event_id")
+
+
 def news(spark: SparkSession, d: str, *more: str) -> DataFrame:
     """(doc_id, content, label, …): documents with a quality mark, 1 credible and 0 not."""
     docs = documents(spark, d, "text", *more)
@@ -139,7 +143,7 @@ def word_count_lines(spark, d):
 def jsonl_repair(spark, d):
     """Event properties, those of the larger values cut short so that they do not parse."""
     cut = F.when(F.col("value") > 20, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
-    lines = table(spark, d, "events", "value", "event_type", "props").select(
+    lines = events(spark, d, "value", "event_type", "props").select(
         "event_type", cut.alias("value")
     )
     flagged = readers.repair_json_lines(lines)
@@ -204,7 +208,7 @@ def publish_date_parse(spark, d):
         .when(status == "F", F.date_format(date, "dd MMM yyyy"))
         .otherwise(F.date_format(date, "yyyy/MM/dd"))
     )
-    rows = table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
+    rows = readers.spread(table(spark, d, "orders", "o_orderkey", "o_orderstatus", "o_orderdate"), "o_orderkey")
     parsed = pages.parse_date(text)
     return rows.select("o_orderkey", F.date_format(parsed, "yyyy-MM-dd HH:mm:ss").alias("published"))
 
@@ -217,7 +221,7 @@ def view_count_split(spark, d):
         F.date_format("ts", "dd.MM.yyyy HH:mm"), F.lit(" " + before), views, F.lit(after)
     )
     date, count = pages.dated_view_parts(F.col("field"))
-    return table(spark, d, "events", "event_id", "ts", "event_type", "value").select(
+    return events(spark, d, "ts", "event_type", "value").select(
         "event_id", text.alias("field")
     ).select(
         "event_id",
@@ -252,8 +256,7 @@ def category_to_label(spark, d):
 
 @query
 def latest_k(spark, d):
-    events = table(spark, d, "events")
-    rows = dataset.latest_k(events, dataset.LATEST_CREDIBLE, "ts", "event_id")
+    rows = dataset.latest_k(table(spark, d, "events"), dataset.LATEST_CREDIBLE, "ts", "event_id")
     return rows.select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "user_id", "props")
 
 
@@ -338,9 +341,8 @@ def number_filter(spark, d):
     text = F.concat_ws(
         " ", "event_type", F.replace(F.col("value").cast("string"), F.lit("."), F.lit(",")), "props"
     )
-    events = table(spark, d, "events", "event_id", "event_type", "value", "props")
     words = F.split(text, r"[\s:{}]+")
-    return events.withColumn("t", words).select(
+    return events(spark, d, "event_type", "value", "props").withColumn("t", words).select(
         "event_id",
         joined(keep(F.col("t"), lambda t: ~tok.is_number(t) & (t != ""))).alias("kept"),
         F.size(keep(F.col("t"), tok.is_number)).cast("long").alias("numbers"),
@@ -497,7 +499,7 @@ def similar_news(spark, d):
 
 
 def vectors(spark: SparkSession, d: str) -> DataFrame:
-    return embedding.as_double(table(spark, d, "embeddings"))
+    return embedding.as_double(readers.spread(table(spark, d, "embeddings"), "vec_id"))
 
 
 @query
