@@ -8,6 +8,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from truthmill.plans.catalog import QUERIES
+from truthmill.plans.oracles import ORACLES
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = (
@@ -34,7 +36,7 @@ def _same(a, b):
     return a == b
 
 
-@pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
@@ -59,7 +61,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql()) - {"model_svm", "tune_cv"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"model_svm", "tune_cv"}))
 def test_runs_without_sql(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 
