@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from truthmill.llm import licenses, oracles
+from truthmill.llm import licenses, oracles, substrings, suffixes
+from truthmill.llm.repeats import hash_of
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -17,8 +18,20 @@ def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, folder)).drop("blocks")
 
 
+def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = suffixes.drop_repeated_strings(_documents(spark, folder))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", hash_of("kept").alias("kept_sha256"))
+
+
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = substrings.drop_repeated_passages(_documents(spark, folder))
+    return cut.select("doc_id", "n_words", "n_removed", hash_of("kept_text").alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
+    "op5_suffix_dedup": op5_suffix_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op4_license_scan": oracles.license_scan(),
