@@ -46,3 +46,25 @@ SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_b
   CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
 FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """
+
+
+def benchmark_overlap() -> str:
+    return f"""
+WITH item AS (SELECT item_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM benchmark WHERE item_id IS NOT NULL),
+span AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM item, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS r(i) WHERE len(w) > 0
+),
+doc AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
+run AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM doc, (SELECT DISTINCT n FROM span), unnest(range(1, greatest(len(w) - n, -1) + 2)) AS r(i)
+),
+hit AS (SELECT DISTINCT doc_id, item_id, i, run.n FROM run JOIN span USING (n, g)),
+place AS (SELECT doc_id, count(DISTINCT j) AS n FROM hit, unnest(range(i, i + hit.n)) AS r(j) GROUP BY doc_id),
+ids AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(place.n, 0) AS n_hit,
+  CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256,
+  coalesce(place.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN ids USING (doc_id)
+"""

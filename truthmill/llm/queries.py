@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from truthmill.llm import licenses, oracles, substrings, suffixes
+from truthmill.llm import licenses, oracles, substrings, suffixes, winnow
 from truthmill.llm.repeats import hash_of
 
 
@@ -14,6 +14,15 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op3_winnow_overlap(spark: SparkSession, folder: str) -> DataFrame:
+    found = winnow.benchmark_overlap(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+    n_hit = F.size("hits").cast("long")
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op4_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(_documents(spark, folder)).drop("blocks")
 
@@ -29,10 +38,12 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_winnow_overlap": op3_winnow_overlap,
     "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
+    "op3_winnow_overlap": oracles.benchmark_overlap(),
     "op4_license_scan": oracles.license_scan(),
 }
