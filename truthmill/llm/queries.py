@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from truthmill.llm import licenses, oracles, substrings, suffixes, winnow
+from truthmill.llm import licenses, oracles, packing, shards, substrings, suffixes, winnow
 from truthmill.llm.repeats import hash_of
 
 
@@ -14,6 +15,17 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = _documents(spark, folder).select(
+        "doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64(text).alias("text_hash"),
+    )
+    return shards.shard(rows, "size", "text_hash").select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op3_winnow_overlap(spark: SparkSession, folder: str) -> DataFrame:
     found = winnow.benchmark_overlap(_documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
     n_hit = F.size("hits").cast("long")
@@ -32,15 +44,27 @@ def op5_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", hash_of("kept").alias("kept_sha256"))
 
 
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """The digest of best-fit packing, as the pipeline's last stage returns it too."""
+    packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packed_documents(_documents(spark, folder))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.drop_repeated_passages(_documents(spark, folder))
     return cut.select("doc_id", "n_words", "n_removed", hash_of("kept_text").alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_histogram_shards": op2_histogram_shards,
     "op3_winnow_overlap": op3_winnow_overlap,
     "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
