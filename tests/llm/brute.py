@@ -49,3 +49,29 @@ def suffixes(docs, window=400):
         spans = len(re.findall(b"\1+", bytes(gone)))
         out.append((key, len(b), sum(gone), spans, sha(bytes(x for x, g in zip(b, gone) if not g))))
     return out
+
+
+def near(docs, size=5, similar=75):
+    sets = []
+    for _, text in docs:
+        w = BLANK_WORD.findall((text or "").translate(UPPER))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} if len(w) >= size else ({tuple(w)} if w else set()))
+    root = list(range(len(docs)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and 100 * min(len(a), len(b)) >= similar * max(len(a), len(b)):
+                shared = len(a & b)
+                if 100 * shared >= similar * (len(a) + len(b) - shared):
+                    root[find(i)] = find(j)
+    least = {}
+    for i, (key, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), key), key)
+    return [(key, len(s), least[find(i)], key == least[find(i)]) for i, ((key, _), s) in enumerate(zip(docs, sets))]
