@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from truthmill.llm import licenses
+from truthmill.llm import licenses, linedups, quality
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -68,3 +68,85 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(place.n, 0) AS n_hit,
   coalesce(place.n, 0) > 0 AS contaminated
 FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
+
+
+BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+
+def line_dedup() -> str:
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+line AS (
+  SELECT doc_id, i - 1 AS place, trim(lines[i], {BLANKS}) AS line, lines[i] AS whole FROM doc, unnest(range(1, len(lines) + 1)) AS r(i)
+),
+worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM line WHERE line <> ''),
+run AS (
+  SELECT a.doc_id, a.place, b.place AS place2, c.place AS place3, [a.line, b.line, c.line] AS three
+  FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN worded c ON a.doc_id = c.doc_id AND c.n = a.n + {linedups.RUN - 1}
+),
+later AS (SELECT *, row_number() OVER (PARTITION BY three ORDER BY doc_id, place) AS k FROM run),
+gone AS (SELECT DISTINCT doc_id, unnest([place, place2, place3]) AS place FROM later WHERE k > 1),
+kept AS (
+  SELECT doc_id, count(gone.place) AS n, string_agg(CASE WHEN gone.place IS NULL THEN whole END, chr(10) ORDER BY place) AS text
+  FROM line LEFT JOIN gone USING (doc_id, place) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, (SELECT count(*) FROM worded w WHERE w.doc_id = doc.doc_id) AS n_word_lines,
+  kept.n AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM doc JOIN kept USING (doc_id)
+"""
+
+
+def _steps(source: str, names: str, steps: list[dict[str, str]]) -> str:
+    """Nested selects that add columns step by step."""
+    for step in steps:
+        source = f"(SELECT *, {', '.join(f'{sql} AS {name}' for name, sql in step.items())} FROM {source})"
+    return f"SELECT {names} FROM {source}"
+
+
+def quality_rules() -> str:
+    q = quality
+    group, same = "lang, source, small", "lang IS NOT DISTINCT FROM g.lang AND x.source IS NOT DISTINCT FROM g.source AND x.small = g.small"
+    features = ", ".join(q.FEATURES)
+    sums = ", ".join(f"{sql} AS {name}" for name, sql in q.sums_sql().items())
+    parts = [
+        f"doc AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)",
+        "gram AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS r(i))",
+        "twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM gram) WHERE c > 1)",
+        "rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + 5)) AS r(j) GROUP BY doc_id)",
+        f"ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc) WHERE trim(line, {BLANKS}) <> '' GROUP BY doc_id)",
+        """stat AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+  CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+  length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ!]', '', 'g')) AS n_capitals,
+  coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM doc LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id))""",
+        "feat AS (SELECT *, " + ", ".join(f"{sql} AS {f}" for f, sql in q.FEATURE_SQL.items())
+        + f", n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM stat)",
+        "size AS (SELECT lang, source, count(*) AS n FROM feat WHERE NOT base_failed GROUP BY ALL)",
+        f"""placed AS (SELECT feat.* EXCLUDE (source), CASE WHEN size.n >= {q.LEAST_ROWS} THEN feat.source END AS source, coalesce(size.n < {q.LEAST_ROWS}, true) AS small
+  FROM feat LEFT JOIN size ON feat.lang IS NOT DISTINCT FROM size.lang AND feat.source IS NOT DISTINCT FROM size.source)""",
+        "judged AS (SELECT * FROM placed WHERE NOT base_failed)",
+        f"mid AS (SELECT {group}, " + ", ".join(f"quantile_cont({f}, 0.5) AS mid_{f}" for f in q.FEATURES) + f" FROM judged GROUP BY ALL HAVING count(*) >= {q.LEAST_ROWS})",
+        f"mad AS (SELECT g.lang, g.source, g.small, " + ", ".join(f"quantile_cont(abs(x.{f} - g.mid_{f}), 0.5) AS mad_{f}" for f in q.FEATURES)
+        + f", " + ", ".join(f"any_value(mid_{f}) AS mid_{f}" for f in q.FEATURES) + f" FROM judged x JOIN mid g ON x.{same} GROUP BY ALL)",
+        f"level0 AS (SELECT x.*, {q.level_sql(q.first_distance_sql())} AS level FROM judged x JOIN mad g ON x.{same})",
+    ]
+    kept = ", ".join([group, *[f"mean_{i}" for i in range(len(q.FEATURES))], *[f"l_{i}_{j}" for i in range(len(q.FEATURES)) for j in range(i + 1)]])
+    for n in range(q.STEPS + 1):
+        parts += [
+            f"cut{n} AS (SELECT {group}, quantile_cont(level, {q.SUPPORT}) AS cut FROM level{n} GROUP BY ALL)",
+            f"sum{n} AS (SELECT {group}, {sums} FROM (SELECT x.* FROM level{n} x JOIN cut{n} g ON x.{same} WHERE level <= cut) GROUP BY ALL)",
+            f"factor{n} AS ({_steps(f'sum{n}', kept, q.factor_sql())})",
+            f"near{n} AS (SELECT x.*, g.* EXCLUDE ({group}) FROM placed x LEFT JOIN factor{n} g ON x.{same})",
+            f"scored{n} AS ({_steps(f'near{n}', f'doc_id, {group}, {features}, base_failed, d2', q.distance_sql())})",
+            f"level{n + 1} AS (SELECT *, {q.level_sql('d2')} AS level FROM scored{n} WHERE NOT base_failed AND d2 IS NOT NULL)",
+        ]
+    last = q.STEPS + 1
+    parts += [
+        f"median AS (SELECT {group}, quantile_cont(level, 0.5) AS mid FROM level{last} GROUP BY ALL)",
+        f"dist AS (SELECT x.doc_id, d2 / greatest(1.0, (exp((mid + 1) / 64) - 1) / {q.MEDIAN_DISTANCE}) AS distance FROM level{last} x JOIN median g ON x.{same})",
+    ]
+    return f"""
+WITH {",".join(chr(10) + p for p in parts)}
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, distance, base_failed,
+  NOT base_failed AND coalesce(distance, 0) <= {q.CUTOFF} AS kept
+FROM placed LEFT JOIN dist USING (doc_id)
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from truthmill.llm import licenses, nearcopies, oracles, packing, shards, substrings, suffixes, winnow
+from truthmill.llm import licenses, linedups, nearcopies, oracles, packing, quality, shards, substrings, suffixes, winnow
 from truthmill.llm.repeats import hash_of
 
 
@@ -54,10 +54,19 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packed_documents(_documents(spark, folder))
 
 
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    cut = linedups.drop_repeated_lines(_documents(spark, folder))
+    return cut.select("doc_id", "n_lines", "n_word_lines", "n_removed", hash_of("kept_text").alias("kept_sha256"))
+
+
 def op8_near_copies(spark: SparkSession, folder: str) -> DataFrame:
     return nearcopies.near_copies(_documents(spark, folder))
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_rules(_documents(spark, folder))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cut = substrings.drop_repeated_passages(_documents(spark, folder))
     return cut.select("doc_id", "n_words", "n_removed", hash_of("kept_text").alias("kept_sha256"))
@@ -69,10 +78,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_license_scan": op4_license_scan,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_line_dedup": op7_line_dedup,
     "op8_near_copies": op8_near_copies,
+    "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES: dict[str, str] = {
     "op3_winnow_overlap": oracles.benchmark_overlap(),
     "op4_license_scan": oracles.license_scan(),
+    "op7_line_dedup": oracles.line_dedup(),
+    "op9_quality_rules": oracles.quality_rules(),
 }
