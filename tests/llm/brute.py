@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 BLANK_WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -75,3 +77,53 @@ def near(docs, size=5, similar=75):
     for i, (key, _) in enumerate(docs):
         least[find(i)] = min(least.get(find(i), key), key)
     return [(key, len(s), least[find(i)], key == least[find(i)]) for i, ((key, _), s) in enumerate(zip(docs, sets))]
+
+
+def language_model(docs):
+    """{doc_id: (held_out, n_tokens, n_known, train_tokens, base, score)} with plain dictionaries."""
+    texts = []
+    for key, text in docs:
+        fold = zlib.crc32(str(key).encode()) % 10
+        texts.append((key, fold, [*BLANK_WORD.findall((text or "").translate(UPPER)), None]))
+    word, pair, context = Counter(), Counter(), Counter()
+    word8, pair8, context8 = Counter(), Counter(), Counter()
+    for _, fold, w in texts:
+        pairs = list(zip(["<", *[(x,) for x in w]], w))
+        if fold:
+            word.update(w)
+            pair.update(pairs)
+            context.update(p[0] for p in pairs)
+            if fold != 9:
+                word8.update(w)
+                pair8.update(pairs)
+                context8.update(p[0] for p in pairs)
+    size, total, total8 = len(word), sum(word.values()), sum(word8.values())
+    band = lambda n: int(math.log2(n)) + 1 if n else 0
+    seen = Counter()
+    for _, fold, w in texts:
+        if fold == 9:
+            for p in zip(["<", *[(x,) for x in w]], w):
+                n = context8[p[0]]
+                seen[band(n), pair8[p] / max(n, 1), word8[p[1]] / max(total8, 1)] += 1
+    weights = {f: [0.4, 0.5, 0.1] for f in range(64)}
+    weights[0] = [0.0, 0.9, 0.1]
+    for _ in range(15):
+        got = {}
+        for (f, p2, p1), n in seen.items():
+            a, b, c = weights[f][0] * p2, weights[f][1] * p1, weights[f][2] / (size + 1)
+            own = got.setdefault(f, [0.0, 0.0, 0.0])
+            for i, x in enumerate((a, b, c)):
+                own[i] += n * x / (a + b + c)
+        for f, x in got.items():
+            extra = [0.3 if f else 0.0, 0.4, 0.3]
+            weights[f] = [(y + e) / (sum(x) + sum(extra)) for y, e in zip(x, extra)]
+    out = []
+    for key, fold, w in texts:
+        base = sum(math.log10((word[x] + 0.1) / (total + 0.1 * (size + 1))) for x in w)
+        score = 0.0
+        for p in zip(["<", *[(x,) for x in w]], w):
+            n = context[p[0]]
+            m = weights[band(n)]
+            score += math.log10(m[0] * pair[p] / max(n, 1) + m[1] * word[p[1]] / max(total, 1) + m[2] / (size + 1))
+        out.append((key, fold == 0, len(w), sum(word[x] > 0 for x in w), total, base, score))
+    return out

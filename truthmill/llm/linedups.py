@@ -56,23 +56,33 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select("*", F.col(key).alias("_key"), value.alias("_text"), F.xxhash64(value).alias("_mark"))
 
 
+def with_kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """All rows and columns, with ``_lines``, ``_gone`` (line numbers, null if none) and ``_kept_text``."""
+    found = repeated_line_runs(docs, key, text).withColumnsRenamed({"_key": "_k", "_mark": "_m"})
+    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
+    rows = keyed(docs, key, text).join(found.hint("shuffle_hash"), same, "left").withColumn("_lines", F.split("_text", "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    rest = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+    return rows.withColumn("_kept_text", F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(rest))
+
+
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text without the lines of repeated runs of three or more lines, but for their first occurrence.
 
-    Returns key, n_lines (parted by ``\\n``; a null or empty text has one empty line), n_word_lines (those with a
-    word), n_removed and kept_text, one row per input row. Runs are judged on the input, within
-    and across texts. Rows of the same key and text are one document read twice and keep the same
-    lines; a null key comes before all others. Other columns are not read.
+    Returns key, n_lines (parted by ``\\n``; a null or empty text has one empty line), n_word_lines
+    (those with a word), n_removed and kept_text, one row per input row. Runs are judged on the
+    input, within and across texts. Rows of the same key and text are one document read twice
+    and keep the same lines; a null key comes before all others. Other columns are not read.
     """
-    found = repeated_line_runs(docs, key, text).withColumnsRenamed({"_key": "_k", "_mark": "_m"})
-    same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
-    rows = keyed(docs.select(key, text), key, text).select("_key", "_mark", "_text")
-    rows = rows.join(found.hint("shuffle_hash"), same, "left").withColumn("_lines", F.split("_text", "\n"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    rows = with_kept_text(docs.select(key, text), key, text)
     return rows.select(
         F.col("_key").alias(key),
         F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_lines", lambda x: F.btrim(x, F.lit(BLANKS)) != "")).cast("long").alias("n_word_lines"),
+        F.size(F.filter("_lines", has_word)).cast("long").alias("n_word_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
-        F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")).alias("kept_text"),
+        F.col("_kept_text").alias("kept_text"),
     )
+
+
+def has_word(line: Column) -> Column:
+    return F.btrim(line, F.lit(BLANKS)) != ""

@@ -159,8 +159,8 @@ def near_copies(
     times as many centres each round, until no such pair is left unseen: links that the first
     centre lacks are found, and a bucket that is one group costs nothing more.
 
-    Returns key, n_shingles, component_id (the smallest key of the group) and kept (whether
-    that is the row's own key), one row per input row. Words are lower-cased in A-Z and parted
+    Returns key, n_shingles, component_id (the smallest key of the group), kept (whether
+    that is the row's own key) and text_hash (``xxhash64`` of the text), one row per input row. Words are lower-cased in A-Z and parted
     by blanks; a text of fewer words than a shingle is one shingle; a text without words, or
     null, is a group of its own. Null keys are ignored in the smallest key, and a group without any
     other has a null id. Repeated rows are copies of each other. Other columns are not read.
@@ -219,8 +219,9 @@ def near_copies(
     smallest = group.groupBy("label").agg(F.min("least").alias("smallest"))
     group = stored(group.join(smallest, "label").select("s1", "s2", "n", "smallest"))
     alone = F.col("n") == 0
-    out = base.select("_key", "n", "s1", "s2").join(group, ["s1", "s2", "n"], "left")
+    out = base.select("_key", "_mark", "n", "s1", "s2").join(group, ["s1", "s2", "n"], "left")
     component = F.when(alone, F.col("_key")).otherwise(F.col("smallest"))
     return out.select(
-        F.col("_key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept")
-    )
+        F.col("_key").alias(key), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("_key").eqNullSafe(component).alias("kept"),
+        F.col("_mark").alias("text_hash"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from truthmill.llm import licenses, linedups, nearcopies, oracles, packing, quality, shards, substrings, suffixes, winnow
+from truthmill.llm import language_model, licenses, linedups, nearcopies, oracles, packing, quality, shards, substrings, suffixes, winnow
 from truthmill.llm.repeats import hash_of
 
 
@@ -15,6 +15,10 @@ def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def op1_interpolated_model(spark: SparkSession, folder: str) -> DataFrame:
+    return language_model.score_texts(_documents(spark, folder))
+
+
 def op2_histogram_shards(spark: SparkSession, folder: str) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = _documents(spark, folder).select(
@@ -73,6 +77,7 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_interpolated_model": op1_interpolated_model,
     "op2_histogram_shards": op2_histogram_shards,
     "op3_winnow_overlap": op3_winnow_overlap,
     "op4_license_scan": op4_license_scan,
