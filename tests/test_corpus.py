@@ -62,15 +62,15 @@ def test_running_sums_with_one_hot_value(spark):
     assert {r.upto_total for r in out} == {total}
 
 
-def test_salted_join_equals_broadcast_join(spark):
-    """A third of the rows on one word, with the bound forcing the salted way."""
+def test_shuffled_join_equals_broadcast_join(spark):
+    """A third of the rows on one word, with the bound forcing the shuffle."""
     bag = spark.range(3_000).select(
         F.col("id").alias("doc_id"),
         F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("w"), (F.col("id") % 50).cast("string"))).alias("word"),
     )
     words = bag.select("word").distinct().withColumn("x", F.length("word"))
-    a = shared.join_words(bag, words, "word", "doc_id")
-    b = shared.join_words(bag, words, "word", "doc_id", broadcast_rows=5)
+    a = shared.join_words(bag, words, "word")
+    b = shared.join_words(bag, words, "word", broadcast_rows=5)
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.select(a.columns).collect()))
     assert a.count() == 3_000
 
@@ -133,3 +133,11 @@ def test_most_similar_per_label(spark):
 
 def test_shared_folder_is_the_session_setting(spark):
     assert shared.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_release_removes_stored_tables(spark):
+    shared.release(spark)
+    spark_rows = shared.stored(spark.range(5).toDF("id"))
+    assert spark_rows.count() == 5
+    assert shared.release(spark) == 1
+    assert shared.release(spark) == 0

@@ -17,13 +17,13 @@ def docs(spark):
 
 def test_bulgarian_ratios(spark, docs):
     row = features.credibility_features(docs, lexicon=BULGARIAN).filter("doc_id = 1").first()
-    # kept: Аз ТЕ видяхме Лош филм през май Ние сме сами Край ("и", "не" are stop words)
-    n = 11.0
-    assert row.negative_ratio == 1 / n
-    assert row.has_upper_ratio == 5 / n
+    # kept: Аз ТЕ видяхме филм Ние сами Край (the others are stop words and no pronouns)
+    n = 7.0
+    assert row.negative_ratio == 0
+    assert row.has_upper_ratio == 4 / n
     assert row.all_upper_ratio == 1 / n
-    assert row.first_upper_ratio == 5 / n
-    assert row.all_lower_ratio == 6 / n
+    assert row.first_upper_ratio == 4 / n
+    assert row.all_lower_ratio == 3 / n
     assert row.first_person_ratio == 2 / n
     assert row.second_person_ratio == 1 / n  # "те" is in three lists
     assert row.plural_pronoun_ratio == 2 / n
@@ -33,10 +33,18 @@ def test_bulgarian_ratios(spark, docs):
 
 def test_extra_counters(docs):
     row = features.credibility_features(docs, lexicon=BULGARIAN, extras=True).filter("doc_id = 1").first()
-    assert row.month_ratio == 1 / 11.0
-    assert row.singular_pronoun_ratio == 2 / 11.0
+    assert row.month_ratio == 0.0  # the month is a stop word too
+    assert row.singular_pronoun_ratio == 2 / 7.0
     assert row.digit_ratio == 0.0
-    assert row.negative_score == 1.0
+
+
+def test_stage_keeps_its_lexicon(spark, docs, tmp_path):
+    own = BULGARIAN.with_stop(["филм"])
+    stage = features.CredibilityFeatures(inputCol="content").setLexicon(own)
+    stage.save(str(tmp_path / "stage"))
+    again = features.CredibilityFeatures.load(str(tmp_path / "stage"))
+    assert again.lexicon == own
+    assert again.transform(docs).select("commonfeatures").collect() == stage.transform(docs).select("commonfeatures").collect()
 
 
 def test_empty_and_null_texts_give_zeros(docs):

@@ -32,6 +32,33 @@ def test_every_match_is_taken(spark):
     assert one(spark, nested, lambda h: select_text(h, ".a")) == "x y z y w"
 
 
+def test_children_and_descendants_differ(spark):
+    html = '<div class="n"><div class="side"><h1>Other</h1></div><br><img src="x"/><h1>Main</h1></div><h1>Out</h1>'
+    assert one(spark, html, lambda h: select_text(h, ".n > h1")) == "Main"
+    assert one(spark, html, lambda h: select_text(h, ".n h1")) == "Other Main"
+    nested = '<div class="a"><p>1</p><div class="a"><p>2</p></div></div><p>3</p>'
+    assert one(spark, nested, lambda h: select_text(h, ".a > p")) == "1 2"
+    assert one(spark, nested, lambda h: select_text(h, ".a p")) == "1 2"
+
+
+def test_bad_date_and_counter_are_rejected(spark):
+    page = (
+        '<div id="box_10020914d10495"><span class="article_date">{}</span></div>'
+        '<div id="box_10020907d10500"><p class="article_views"><span>{}</span></p></div>'
+        '<div id="box_10020915d10503"><div class="article_body">Text</div></div>'
+    )
+    rows = [(1, "http://x.bg/a", page.format("bad", "7")), (2, "http://x.bg/a", page.format("05.03.2016 14:07", "")),
+            (3, "http://x.bg/a", page.format("05.03.2016 14:07", "7"))]
+    out = records(spark, rows, (pages.LIFESTYLE_SITE,))
+    assert [out[i].reject_reason for i in (1, 2, 3)] == ["bad_date", "bad_count", None]
+
+
+def test_unused_fields_are_not_looked_for(spark):
+    df = spark.createDataFrame([(1, "http://x.bg/a", "<title>a</title>")], "page_id long, url string, html string")
+    plan = pages.extract_records(df, pages.SITES).select("key", "category")._jdf.queryExecution().optimizedPlan().toString()
+    assert "<(nav)" in plan and "<(title)" not in plan and "<(article)" not in plan
+
+
 def test_unclosed_element_runs_to_the_end(spark):
     assert one(spark, "<article>a <p>b", lambda h: select_text(h, "article")) == "a b"
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+from truthmill.operators import dataset
 from truthmill.plans.catalog import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,13 +21,15 @@ def test_document_work_shuffles_no_rows_but_the_small_input_spread(spark, name):
 def test_scan_reads_only_the_needed_columns(spark):
     text = plan(QUERIES["token_length"](spark, SF))
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
-    text = plan(QUERIES["category_to_label"](spark, SF))
+    text = plan(QUERIES["without_source"](spark, SF))
     assert "PushedFilters: [IsNotNull(source), Not(EqualTo(source,src0))]" in text
     assert "text" not in text.split("ReadSchema")[1]
 
 
 def test_top_k_is_bounded_per_task(spark):
     assert "TakeOrderedAndProject" in plan(QUERIES["latest_k"](spark, SF))
+    small = dataset.latest_k(spark.read.parquet(f"{SF}/events.parquet"), 50, "ts", "event_id")
+    assert "GreaterThanOrEqual(ts," in plan(small)  # the cut reaches the scan
     assert "TakeOrderedAndProject" in plan(QUERIES["top_word"](spark, SF))
     assert "WindowGroupLimit" in plan(QUERIES["cosine_topk"](spark, SF))
 

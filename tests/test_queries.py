@@ -61,7 +61,7 @@ def test_flagship(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"model_svm", "tune_cv"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) ))
 def test_runs_without_sql(spark, name):
     assert entry.queries()[name](spark, FOLDER).count() > 0
 

@@ -54,7 +54,7 @@ def test_bigrams_bridge_removed_words_but_shingles_do_not(spark):
 @pytest.mark.parametrize(
     "word, stem",
     [("книгата", "книг"), ("градове", "град"), ("училища", "учил"), ("ученици", "ученик"), ("столът", "стол"),
-     ("героят", "гер"), ("мъжът", "мъжът"), ("вълци", "вълц"), ("бял", "бял"), ("ята", "ята"), ("приятелите", "приятял"), ("добрият", "добр")],
+     ("героят", "гер"), ("мъжът", "мъжът"), ("вълци", "вълц"), ("бял", "бял"), ("ята", "ята"), ("приятелите", "приятял"), ("добрият", "добр"), ("стая", "ст")],
 )
 def test_stem(spark, word, stem):
     assert one(spark, word, tok.stem) == stem
@@ -75,7 +75,7 @@ def test_scratch_sentence(spark):
 def test_normalised_words_drop_every_other_of_consecutive_numbers(spark):
     words = lambda c: tok.normalised_words(c, BULGARIAN.word_count_stop)
     assert one(spark, "цена 10 20 30 лева", words) == ["цена", "20", "лева"]
-    assert one(spark, "Край br2n (нов) - ред: \"х\" и ѝ", words) == ["край", "нов", "ред", "х"]
+    assert one(spark, "Край br2n (зелен) - ред: \"х\" и ѝ", words) == ["край", "зелен", "ред", "х"]
 
 
 def test_stop_list_keeps_pronouns_for_the_features():

@@ -1,9 +1,9 @@
 """Element selection and text of HTML held in a string column.
 
 Everything is regular-expression and array expressions, so a page stays in the JVM.
-A selector is a chain of simple parts joined by ``>``; each part is an optional tag
-with ``#id`` and ``.class`` marks, and narrows the elements found by the part before to
-those anywhere inside them.
+A selector is a chain of simple parts, each an optional tag with ``#id`` and ``.class``
+marks. A part after ``>`` narrows the elements found before to their children, a part after
+a blank to the elements anywhere inside them.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ ENTITIES = {
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
 _INLINE = r"(?i)</?(?:" + "|".join(INLINE_TAGS) + r")(?=[\s/>])[^>]*>"
+_OPENS = r"(?is)^<(?!(?:area|base|br|col|embed|hr|img|input|link|meta|source|track|wbr)[\s/>])[a-z][^>]*(?<!/)>"
 _NUMERIC_PIECE = r"(?i)&#x?[0-9a-f]{1,6};|[^&]+|&"
 
 
@@ -88,13 +89,22 @@ def open_tag(part: str) -> str:
     return rf"(?is)<({m.group(1) or '[a-z][a-z0-9-]*'})(?=[\s/>]){needs}[^>]*>"
 
 
-def selector_patterns(selector: str) -> list[str]:
-    """Opening-tag patterns of a selector chain, outermost first."""
-    return [open_tag(part) for part in selector.split(">")]
+def selector_steps(selector: str) -> list[tuple[bool, str]]:
+    """(child of the step before, opening-tag pattern) of each part, outermost first."""
+    out, child = [], False
+    for word in selector.replace(">", " > ").split():
+        if word == ">":
+            child = True
+        else:
+            out.append((child, open_tag(word)))
+            child = False
+    if child or not out or out[0][0]:
+        raise ValueError(f"not a selector: {selector!r}")
+    return out
 
 
 def _element_body(rest: Column) -> Column:
-    """``struct<closed, inner>`` of the element whose opening tag starts the text.
+    """``struct<closed, inner, length>`` of the element whose opening tag starts the text.
 
     The text is cut at every tag of the same name and the pieces are counted up and down
     to find where the element closes, so nested elements of the same name stay inside it.
@@ -119,17 +129,17 @@ def _element_body(rest: Column) -> Column:
         )
 
         def cut(e: Column) -> Column:
-            kept = F.slice(p, F.lit(1), F.when(e > 0, e).otherwise(F.size(p)))
-            inner = F.regexp_replace(F.array_join(kept, ""), "(?s)^<[^>]*>", "")
-            return F.struct((e > 0).alias("closed"), inner.alias("inner"))
+            kept = F.array_join(F.slice(p, F.lit(1), F.when(e > 0, e).otherwise(F.size(p))), "")
+            inner = F.regexp_replace(kept, "(?s)^<[^>]*>", "")
+            return F.struct((e > 0).alias("closed"), inner.alias("inner"), F.length(kept).alias("length"))
 
         return let(end, cut)
 
     return let(pieces, until_closed)
 
 
-def all_bodies(html: Column, opening: Column) -> Column:
-    """Inner markup of every element whose opening tag fits, in page order.
+def all_elements(html: Column, opening: str) -> Column:
+    """``struct<start, closed, inner, length>`` of every element whose opening tag fits, in page order.
 
     The page is cut before each such tag. An element mostly closes within its own cut; one
     that holds another match does not, and is then read on to the end of the page.
@@ -138,36 +148,81 @@ def all_bodies(html: Column, opening: Column) -> Column:
     def bodies(cuts: Column) -> Column:
         def body(cut: Column, i: Column) -> Column:
             whole = F.array_join(F.slice(cuts, i + 1, F.size(cuts)), "")
-            own = let(
-                _element_body(cut),
-                lambda r: F.when(r["closed"], r["inner"]).otherwise(_element_body(whole)["inner"]),
-            )
-            return F.when(F.regexp_like(cut, F.concat(F.lit("^"), opening)), own)
+            start = F.length(F.array_join(F.slice(cuts, F.lit(1), i), ""))
+            own = let(_element_body(cut), lambda r: F.when(r["closed"], r).otherwise(_element_body(whole)))
+            found = let(own, lambda r: F.struct(start.alias("start"), r["closed"], r["inner"], r["length"]))
+            return F.when(cut.rlike("^" + opening), found)
 
         return F.array_compact(F.transform(cuts, body))
 
-    return let(F.split(html, F.concat(F.lit("(?="), opening, F.lit(")"))), bodies)
+    return let(F.split(html, f"(?={opening})"), bodies)
+
 
+def outermost(elements: Column) -> Column:
+    """The elements that stand in no other of them."""
+    kind = "array<struct<start:int,closed:boolean,inner:string,length:int>>"
+    start = F.struct(F.lit(0).alias("upto"), F.array().cast(kind).alias("kept"))
+
+    def step(acc: Column, e: Column) -> Column:
+        free = e["start"] >= acc["upto"]
+        return F.struct(
+            F.when(free, e["start"] + e["length"]).otherwise(acc["upto"]).alias("upto"),
+            F.when(free, F.concat(acc["kept"], F.array(e))).otherwise(acc["kept"]).alias("kept"),
+        )
 
-def select_bodies(markup: Column, selectors: Column) -> Column:
-    """Inner markup for each selector of an ``array<array<string>>`` of tag patterns.
+    return F.aggregate(elements, start, step, lambda acc: acc["kept"])
 
-    Elements that fit one selector are joined by a blank. The selectors are data, so one
-    expression serves every field of every site. A null selector gives ''.
+
+def child_bodies(html: Column, opening: str) -> Column:
+    """Inner markup of the fitting elements that stand in no other element of the fragment.
+
+    One walk over the tags counts how deep each stands; tags that take no content count for nothing.
     """
 
-    def narrowed(bodies: Column, opening: Column) -> Column:
-        return F.flatten(F.transform(bodies, lambda b: all_bodies(b, opening)))
+    def children(p: Column) -> Column:
+        none = F.array().cast("array<int>")
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("seen"), none.alias("at"))
+
+        def step(acc: Column, piece: Column) -> Column:
+            fits = (acc["depth"] == 0) & piece.rlike("^" + opening)
+            change = F.when(piece.rlike("^</[a-zA-Z]"), -1).when(piece.rlike(_OPENS), 1).otherwise(0)
+            return F.struct(
+                F.greatest(acc["depth"] + change, F.lit(0)).alias("depth"),
+                (acc["seen"] + 1).alias("seen"),
+                F.when(fits, F.concat(acc["at"], F.array(acc["seen"]))).otherwise(acc["at"]).alias("at"),
+            )
+
+        at = F.aggregate(p, start, step, lambda acc: acc["at"])
+        return F.transform(at, lambda i: _element_body(F.array_join(F.slice(p, i + 1, F.size(p)), ""))["inner"])
+
+    return let(F.split(html, "(?=<)"), children)
+
+
+def select_bodies(markup: Column, selector: str) -> Column:
+    """Inner markup of the selected elements, each once, in page order.
+
+    The patterns are literals, so each is compiled once for the whole job.
+    """
+    (_, first), *rest = selector_steps(selector)
+    found = all_elements(markup, first)
+    if rest and not rest[0][0]:
+        found = outermost(found)
+    bodies = F.transform(found, lambda e: e["inner"])
+    for child, opening in rest:
+        if child:
+            bodies = F.flatten(F.transform(bodies, lambda b: child_bodies(b, opening)))  # noqa: B023
+        else:
+            bodies = F.flatten(F.transform(bodies, lambda b: F.transform(all_elements(b, opening), lambda e: e["inner"])))  # noqa: B023
+    return bodies
 
-    def selected(parts: Column) -> Column:
-        return F.coalesce(F.array_join(F.aggregate(parts, F.array(markup), narrowed), " "), F.lit(""))
 
-    return F.transform(selectors, selected)
+def select_markup(markup: Column, selector: str) -> Column:
+    """The selected elements' inner markup, joined by a blank; '' if there is none."""
+    return F.array_join(select_bodies(markup, selector), " ")
 
 
 def select_text(markup: Column, selector: str) -> Column:
-    patterns = F.array(F.array(*[F.lit(p) for p in selector_patterns(selector)]))
-    return markup_text(select_bodies(markup, patterns)[0])
+    return markup_text(select_markup(markup, selector))
 
 
 def link_markup(fragment: Column) -> Column:

@@ -125,9 +125,9 @@ PLURAL_RULES = (
     (6, "е?и", 3, "я?"),
     (5, "си", 2, "х"), (5, "и", 1, ""),
 )
-# A final я goes first, then a final vowel of what is left.
+# A final я goes first, then a final vowel of what is left; the length is that before either goes.
 VOWEL_RULES = (
-    (5, "ая", 2, ""), (5, "оя", 2, ""), (5, "ея", 2, ""), (4, "я", 1, ""),
+    (4, "ая", 2, ""), (4, "оя", 2, ""), (4, "ея", 2, ""), (4, "я", 1, ""),
     (4, "а", 1, ""), (4, "о", 1, ""), (4, "е", 1, ""),
 )
 # ен becomes н first, then a ъ before the last letter goes.

@@ -119,7 +119,7 @@ def tfidf(
     the default is the stored number of occurrences.
     """
     words = vocab.select("word", "idx", F.col(frequency).alias("_df"))
-    joined = join_words(bag.select(*keys, "word", "tf"), words, "word", keys[0])
+    joined = join_words(bag.select(*keys, "word", "tf"), words, "word")
     return joined.select(
         *keys, "word", "idx", "tf", tfidf_weight(F.col("tf"), F.col("_df"), documents).alias("weight")
     )
@@ -142,7 +142,7 @@ def tfidf_vectors(weights: DataFrame, documents: DataFrame, size: Column, key: s
 
 def score_words(bag: DataFrame, scored: DataFrame, key: str = "doc_id") -> DataFrame:
     """Positive and negative score sums of every document against a (word, score) table."""
-    hits = join_words(bag, scored, "word", key)
+    hits = join_words(bag, scored, "word")
     score = F.col("tf") * F.col("score")
     return hits.groupBy(key).agg(
         F.sum(F.when(F.col("score") > 0, score).otherwise(0.0)).alias("positive_score"),
@@ -163,7 +163,7 @@ def class_similarity(df: DataFrame, terms: Column, key: str = "doc_id") -> DataF
         F.sum(F.col("cnt0").cast("double") * F.col("cnt0")).alias("n0"),
         F.sum(F.col("cnt1").cast("double") * F.col("cnt1")).alias("n1"),
     )
-    hits = join_words(bag.select(key, "word", "tf"), sums, "word", key)
+    hits = join_words(bag.select(key, "word", "tf"), sums, "word")
     tf = F.col("tf").cast("double")
     dots = hits.groupBy(key).agg(
         F.sum(tf * F.col("cnt0")).alias("d0"),

@@ -30,6 +30,11 @@ def labelled(df: DataFrame, body: str, label: Column | float, key: str = "doc_id
     )
 
 
+def without_value(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows of all other values; a null is no value."""
+    return df.filter(F.col(column) != value)
+
+
 def category_label(category: Column, credible_category: str) -> Column:
     return F.when(category == credible_category, CREDIBLE).otherwise(UNRELIABLE)
 
@@ -44,21 +49,23 @@ def token_length(tokens: Column) -> Column:
 
 
 def first_k(df: DataFrame, k: int, by: str, tie: str, descending: bool = False) -> DataFrame:
-    """First k rows by (by, tie).
+    """First k rows by (by, tie); nulls come last.
 
-    The k-th key is found on the two key columns alone. Only rows up to it then
-    enter the top-k with their wide columns.
+    A quantile of ``by`` gives a cut behind the k-th row; a count proves that enough rows
+    lie before it, or the cut moves on. The wide rows are then read up to the cut, a plain comparison that
+    the scan takes, so little more than k rows are sorted.
     """
-    order = [F.desc(by) if descending else F.asc_nulls_last(by), F.asc(tie)]
-    keys = df.select(by, tie).orderBy(*order).limit(k)
-    cut = keys.agg(
-        F.struct(
-            (F.min if descending else F.max)(by).alias("last"),
-            (F.count_if(F.col(by).isNull()) > 0).alias("nulls_reached"),
-        )
-    ).scalar()
-    within = F.col(by) >= cut["last"] if descending else F.col(by) <= cut["last"]
-    return df.filter(F.coalesce(within, cut["nulls_reached"])).orderBy(*order).limit(k)
+    order = [F.desc_nulls_last(by) if descending else F.asc_nulls_last(by), F.asc(tie)]
+    total = df.filter(F.col(by).isNotNull()).count()
+    share = k / total if total else 1.0
+    while share < 1:
+        share = min(1.0, 1.02 * share + 10 / total)
+        cut = df.select(F.percentile_approx(by, F.lit(1 - share if descending else share), 100_000)).first()[0]
+        within = F.col(by) >= F.lit(cut) if descending else F.col(by) <= F.lit(cut)
+        if df.filter(within).count() >= k:
+            df = df.filter(within)
+            break
+    return df.orderBy(*order).limit(k)
 
 
 def latest_k(df: DataFrame, k: int, date: str, tie: str) -> DataFrame:

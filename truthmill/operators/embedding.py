@@ -32,7 +32,7 @@ def sum_by_label(df: DataFrame, column: str = "embedding") -> DataFrame:
 def similarity_to_label(df: DataFrame, column: str = "embedding", key: str = "vec_id") -> DataFrame:
     """Cosine of each vector with the sum of its label's vectors."""
     sums = stored(label_vectors(df, column))
-    joined = join_words(df, sums, "label", key, LABELS_TO_BROADCAST)
+    joined = join_words(df, sums, "label", LABELS_TO_BROADCAST)
     return joined.withColumn("cosine", cosine(F.col(column), F.col("label_sum")))
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark import keyword_only
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector
+from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.ml.linalg import VectorUDT
@@ -46,18 +50,25 @@ class CredibilityFeatures(
 ):
     """ML stage: text column in, vector of the ten ratios out.
 
-    The lexicon is not a parameter of the stage and is not saved with it; set
-    ``lexicon`` again after loading when it is not the default one.
+    The lexicon is a parameter, as JSON, so a saved stage keeps it.
     """
 
-    lexicon: Lexicon = MULTILINGUAL
+    lexiconJson = Param(Params._dummy(), "lexiconJson", "word lists of the ratios, as JSON", TypeConverters.toString)
 
     @keyword_only
     def __init__(self, *, inputCol: str = "content", outputCol: str = "commonfeatures"):
         super().__init__()
-        self._setDefault(inputCol="content", outputCol="commonfeatures")
+        self._setDefault(inputCol="content", outputCol="commonfeatures", lexiconJson=json.dumps(asdict(MULTILINGUAL)))
         self._set(**self._input_kwargs)
 
+    @property
+    def lexicon(self) -> Lexicon:
+        lists = json.loads(self.getOrDefault(self.lexiconJson))
+        return Lexicon(**{k: v if isinstance(v, dict) else tuple(v) for k, v in lists.items()})
+
+    def setLexicon(self, lexicon: Lexicon) -> "CredibilityFeatures":
+        return self._set(lexiconJson=json.dumps(asdict(lexicon)))
+
     def setInputCol(self, value: str) -> "CredibilityFeatures":
         return self._set(inputCol=value)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -11,15 +10,17 @@ from pyspark.sql import Column, DataFrame, functions as F
 from truthmill.functions.html import (
     link_markup,
     markup_text,
-    select_bodies,
-    selector_patterns,
+    select_markup,
     visible_markup,
 )
 
 
 @dataclass(frozen=True)
 class SiteProfile:
-    """Where one site keeps its fields. ``host`` and ``article`` are regular expressions."""
+    """Where one site keeps its fields. ``host`` and ``article`` are regular expressions.
+
+    A page of a site with ``needs_date`` or ``needs_views`` is rejected if that does not parse.
+    """
 
     host: str
     title: str
@@ -32,6 +33,8 @@ class SiteProfile:
     comments: str = ""
     dated_views: str = ""
     article: str = ""
+    needs_date: bool = False
+    needs_views: bool = False
 
 
 # --- fixed values: selectors and phrases of the supported sites ----------------------
@@ -42,6 +45,8 @@ LIFESTYLE_SITE = SiteProfile(
     category="#box_10020908d10494",
     dates=("#box_10020914d10495 > .article_date",),
     views="#box_10020907d10500 > .article_views > span",
+    needs_date=True,
+    needs_views=True,
 )
 SATIRE_SITE = SiteProfile(
     host=r".*",
@@ -49,15 +54,17 @@ SATIRE_SITE = SiteProfile(
     content=".newsTextt",
     category=".caTTL > h2",
     dated_views=".newsBoxN > .date",
+    needs_date=True,
+    needs_views=True,
 )
 BLOG_SITE = SiteProfile(
     host=r"^neverojatno\.wordpress\.com$",
     title=".post-title > h1",
     content=".post-entry",
-    category=".post-info.clear-fix",
+    category=".post-info.clear-fix > p",
     category_links=True,
     category_holding="category tag",
-    dates=(".post-title > .post-date > strong", ".post-title > .post-date > span"),
+    dates=(".post-title .post-date > strong", ".post-title .post-date > span"),
     comments="h3#comments-title > span",
     article=r"^https://neverojatno\.wordpress\.com/\d+/\d+/\d+/[A-Za-zА-Яа-я0-9.-]+/$",
 )
@@ -101,12 +108,12 @@ def count_or_zero(text: Column) -> Column:
 
 
 def dated_view_parts(text: Column) -> tuple[Column, Column]:
-    """(date, views) of a field such as ``01.02.2016 10:30 <phrase> 17 <phrase>``."""
+    """(date, text of the views) of a field such as ``01.02.2016 10:30 <phrase> 17 <phrase>``."""
     for phrase in VIEW_PHRASES:
         text = F.replace(text, F.lit(phrase), F.lit(""))
     parts = F.split(text, r"\s+")
     date = F.concat_ws(" ", F.get(parts, F.lit(0)), F.get(parts, F.lit(1)))
-    return parse_date(date), count_or_zero(F.get(parts, F.lit(2)))
+    return parse_date(date), F.get(parts, F.lit(2))
 
 
 def is_article(url: Column, pattern: str) -> Column:
@@ -118,16 +125,6 @@ def article_content(url: Column, content: Column, pattern: str) -> Column:
     return F.when(is_article(url, pattern) & (content != ""), content).otherwise("")
 
 
-_FIELDS = ("title", "content", "category", "date_1", "date_2", "views", "comments", "dated_views")
-
-
-def _selectors(p: SiteProfile) -> Column:
-    """The profile's selectors in field order, null for a field the site does not keep."""
-    texts = [p.title, p.content, p.category, *(p.dates + ("", ""))[:2], p.views, p.comments, p.dated_views]
-    patterns = [selector_patterns(t) if t else None for t in texts]
-    return F.from_json(F.lit(json.dumps(patterns)), "array<array<string>>")
-
-
 def _by_site(sites: tuple[SiteProfile, ...], value: Callable[[SiteProfile], Column]) -> Column:
     """Value of the first site whose host fits, null when none does."""
     out = None
@@ -141,38 +138,63 @@ def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES) ->
     """One record per page by the first site whose host fits, with a ``reject_reason``.
 
     A page that fails is kept and marked, and the rest go on: ``bad_url`` when the
-    address does not parse or no site fits, ``no_content`` when no text was found.
+    address does not parse or no site fits, ``bad_date`` and ``bad_count`` when a date or counter the
+    site must have does not parse, ``no_content`` when no text was found. Every field is an
+    expression of its own, so fields that are not asked for are not looked for.
     """
-    rows = (
-        pages.withColumn("_host", url_part(F.col("url"), "HOST"))
-        .withColumn("_markup", visible_markup(F.col("html")))
-        .withColumn("_bodies", select_bodies(F.col("_markup"), _by_site(sites, _selectors)))
-    )
-    body = {name: F.col("_bodies")[i] for i, name in enumerate(_FIELDS)}
-    by_links = _by_site(sites, lambda p: F.lit(p.category_links))
-    holding = _by_site(sites, lambda p: F.lit(p.category_holding))
-    links = F.filter(link_markup(body["category"]), lambda a: a.contains(holding))
+    rows = pages.withColumn("_host", url_part(F.col("url"), "HOST")).withColumn("_markup", visible_markup(F.col("html")))
+
+    def markup(selector: Callable[[SiteProfile], str]) -> Column:
+        return _by_site(sites, lambda p: select_markup(F.col("_markup"), selector(p)) if selector(p) else F.lit(""))
+
+    def date_part(i: int) -> Callable[[SiteProfile], str]:
+        return lambda p: p.dates[i] if i < len(p.dates) else ""
+
+    text = {
+        name: markup_text(markup(selector))
+        for name, selector in {
+            "title": lambda p: p.title, "content": lambda p: p.content, "date_1": date_part(0), "date_2": date_part(1),
+            "views": lambda p: p.views, "comments": lambda p: p.comments, "dated_views": lambda p: p.dated_views,
+        }.items()
+    }
+
+    def category(p: SiteProfile) -> Column:
+        if not p.category:
+            return F.lit("")
+        inner = select_markup(F.col("_markup"), p.category)
+        if not p.category_links:
+            return markup_text(inner)
+        links = F.filter(link_markup(inner), lambda a: a.contains(p.category_holding))
+        return F.array_join(F.transform(links, markup_text), ",")
+
+    rows = rows.withColumns({f"_{name}": value for name, value in text.items()})
+    dated, dated_views = dated_view_parts(F.col("_dated_views"))
+    seen = F.when(F.col("_views") != "", F.col("_views")).otherwise(dated_views)
+    date = F.coalesce(parse_date(F.concat_ws(" ", "_date_1", "_date_2")), dated)
+    views, comments = F.trim(seen).try_cast("long"), F.trim("_comments").try_cast("long")
     article = _by_site(sites, lambda p: is_article(F.col("url"), p.article))
-    rows = rows.withColumn("_texts", F.transform("_bodies", markup_text)).withColumn(
-        "_links", F.when(by_links, F.array_join(F.transform(links, markup_text), ","))
+    content = F.when(article, F.col("_content")).otherwise("")
+    bad_count = _by_site(sites, lambda p: F.lit(p.needs_views)) & views.isNull() | (F.col("_comments") != "") & comments.isNull()
+    reason = (
+        F.when(article.isNull(), "bad_url")
+        .when((content == "") & _by_site(sites, lambda p: F.lit(bool(p.article))), "no_content")
+        .when(_by_site(sites, lambda p: F.lit(p.needs_date)) & date.isNull(), "bad_date")
+        .when(bad_count, "bad_count")
+        .when(content == "", "no_content")
     )
-    text = {name: F.col("_texts")[i] for i, name in enumerate(_FIELDS)}
-    dated, dated_views = dated_view_parts(text["dated_views"])
-    views = F.coalesce(F.trim(text["views"]).try_cast("long"), dated_views)
-    content = F.when(article, text["content"]).otherwise("")
-    reason = F.when(F.col("_bodies").isNull(), "bad_url").when(F.col("content") == "", "no_content")
+    zero = F.lit(0).cast("long")
     return rows.select(
         F.col("page_id").alias("key"),
         "url",
         "html",
-        text["title"].alias("title"),
+        F.col("_title").alias("title"),
         content.alias("content"),
-        F.coalesce("_links", text["category"]).alias("category"),
-        F.coalesce(parse_date(F.concat_ws(" ", text["date_1"], text["date_2"])), dated).alias("publish_date"),
-        F.coalesce(views, F.lit(0).cast("long")).alias("view_count"),
-        count_or_zero(text["comments"]).alias("comment_count"),
-        "_bodies",
-    ).withColumn("reject_reason", reason).drop("_bodies")
+        _by_site(sites, category).alias("category"),
+        date.alias("publish_date"),
+        F.coalesce(views, zero).alias("view_count"),
+        F.coalesce(comments, zero).alias("comment_count"),
+        reason.alias("reject_reason"),
+    )
 
 
 def record_json(records: DataFrame) -> DataFrame:

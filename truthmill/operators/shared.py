@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
+import atexit
 import uuid
+from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BROADCAST_ROWS = 200_000
-SALTS = 32
+#: Folders of the stored tables that are not released yet, by application.
+_STORED: dict[str, list[str]] = defaultdict(list)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
+    """The folder named by ``spark.checkpoint.dir``, else one in the warehouse, which executors share too."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="truthmill-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_truthmill"
     return folder.rstrip("/")
 
 
@@ -28,11 +26,32 @@ def stored(df: DataFrame) -> DataFrame:
 
     Cuts the lineage and computes the rows once, whatever is derived from them. Unlike
     ``checkpoint()``, which runs the plan a second time to write it, the table is
-    columnar, so later steps read only the columns they use, and its size is known.
+    columnar, so later steps read only the columns they use, and its size is known. It
+    stays until ``release``.
     """
-    path = f"{shared_folder(df.sparkSession)}/truthmill/{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/truthmill/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STORED:
+        atexit.register(_release_at_end, spark, app)
+    _STORED[app].append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables this application has stored; results are lazy, so call it once they are written."""
+    paths = _STORED.pop(spark.sparkContext.applicationId, [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(conf).delete(place, True)
+    return len(paths)
+
+
+def _release_at_end(spark: SparkSession, app: str) -> None:
+    if app in _STORED and spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
+        release(spark)
 
 
 def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -40,20 +59,16 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def join_words(
-    bag: DataFrame, words: DataFrame, key: str, salt_by: str, broadcast_rows: int = BROADCAST_ROWS
-) -> DataFrame:
+def join_words(bag: DataFrame, words: DataFrame, key: str, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large table on a skewed word key with one row per word.
 
-    Up to the bound the word table is broadcast. Beyond it the join is salted: the
-    large side is split by its own key and every word is copied to each salt, so the
-    rows of one frequent word spread over ``SALTS`` tasks.
+    Up to the bound the word table is broadcast. Beyond it both sides are shuffled
+    by word, and adaptive execution splits the rows of a frequent word over tasks; the words
+    must be a stored table, so that their side of the join is a plain shuffle too.
     """
     if is_small(words, broadcast_rows):
         return bag.join(F.broadcast(words), key)
-    salted = bag.withColumn("_salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    copies = words.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [key, "_salt"]).drop("_salt")
+    return bag.join(words, key)
 
 
 def ordered(df: DataFrame, *order: Column | str) -> DataFrame:

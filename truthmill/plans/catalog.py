@@ -9,8 +9,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from truthmill.functions import credibility as cred
@@ -63,12 +61,15 @@ def news(spark: SparkSession, d: str, *more: str) -> DataFrame:
 
 
 def all_sets(spark: SparkSession, d: str) -> DataFrame:
-    """The four sets: marked documents, conversation turns, and the extra unreliable source."""
+    """The four sets: marked documents, conversation turns, and the extra unreliable source.
+
+    Keys are text, and those of the other sources are prefixed, so no two rows share one.
+    """
     turns = readers.spread(table(spark, d, "conversations", "conv_id", "turn", "role", "text"), "conv_id", "turn")
-    turns = turns.withColumn("doc_id", F.col("conv_id") * 1000 + F.col("turn"))
-    extra = table(spark, d, "benchmark", F.col("item_id").alias("doc_id"), "text")
+    turns = turns.withColumn("doc_id", F.concat_ws(":", F.lit("turn"), "conv_id", "turn"))
+    extra = table(spark, d, "benchmark", F.concat(F.lit("item:"), F.col("item_id").cast("string")).alias("doc_id"), "text")
     return dataset.build_sets(
-        news(spark, d),
+        news(spark, d).withColumn("doc_id", F.col("doc_id").cast("string")),
         dataset.labelled(turns, "text", dataset.category_label(F.col("role"), "user")),
         dataset.labelled(extra, "text", dataset.UNRELIABLE),
     )
@@ -110,7 +111,7 @@ def lexicon_dedup(spark, d):
         "doc_id", "label", F.posexplode(tok.letter_tokens(F.col("content"))).alias("pos", "word")
     )
     lines = words.select(
-        (F.shiftleft("doc_id", 24) + F.col("pos")).alias("at"),
+        F.struct("doc_id", "pos").alias("at"),
         F.concat_ws(",", F.lower("word"), F.col("label").cast("string")).alias("line"),
     )
     return readers.parse_scored_words(lines)
@@ -123,13 +124,10 @@ def page_to_json(spark, d):
 
 @query
 def export_features(spark, d):
-    sets = all_sets(spark, d)
-    marked = news(spark, d)
-    rows = (
-        dataset.one_set(sets, "held_out")
-        .unionByName(marked)
-        .unionByName(dataset.one_set(sets, "validation"))
-    )
+    """All marked documents, the validation set and the held-out set, which holds some of the marked ones again."""
+    marked = F.col("dataset").isin("train", "test", "held_out") & ~F.col("doc_id").contains(":")
+    times = F.when(marked, 1).otherwise(0) + F.when(F.col("dataset").isin("held_out", "validation"), 1).otherwise(0)
+    rows = all_sets(spark, d).withColumn("_copy", F.explode(F.array_repeat(F.lit(0), times))).drop("_copy", "dataset")
     return features.credibility_features(rows).select("label", "doc_id", *cred.FEATURES)
 
 
@@ -246,14 +244,19 @@ def labelled_docs(spark, d):
 
 @query
 def category_to_label(spark, d):
-    docs = table(spark, d, "documents", "doc_id", "lang", "source")
-    return docs.filter(F.col("source") != "src0").select(
+    docs = table(spark, d, "documents", "doc_id", "lang")
+    return docs.select(
         "doc_id",
         F.col("lang").alias("category"),
         dataset.category_label(F.col("lang"), CREDIBLE_CATEGORY).alias("label"),
     )
 
 
+@query
+def without_source(spark, d):
+    return dataset.without_value(table(spark, d, "documents", "doc_id", "source"), "source", "src0")
+
+
 @query
 def latest_k(spark, d):
     rows = dataset.latest_k(table(spark, d, "events"), dataset.LATEST_CREDIBLE, "ts", "event_id")
@@ -447,9 +450,8 @@ def class_word_count(spark, d):
 
 @query
 def class_count_outer_join(spark, d):
-    marked = news(spark, d)
-    counts = [corpus.word_count(marked.filter(F.col("label") == c), terms()) for c in (0.0, 1.0)]
-    return corpus.join_class_counts(*counts)
+    counts = stored(corpus.class_word_count(news(spark, d), terms()).filter(F.col("word") != ""))
+    return corpus.join_class_counts(*[counts.filter(F.col("label") == c) for c in (0.0, 1.0)])
 
 
 @query
@@ -532,38 +534,40 @@ def hashing_tf(spark, d):
     kept = tok.drop_stop_words(tok.split_tokens(F.col("text")), LEX.stop)
     docs = documents(spark, d, "text").withColumn("k", kept).select(tok.ngrams(F.col("k"), 2).alias("ngrams"))
     hashed = HashingTF(inputCol="ngrams", outputCol="tf", numFeatures=1 << 18).transform(docs)
-    summary = hashed.select(Summarizer.metrics("numNonZeros", "sum").summary(F.col("tf")).alias("s"))
-    cells = F.arrays_zip(
-        vector_to_array("s.numNonZeros").alias("docs"), vector_to_array("s.sum").alias("total")
-    )
-    rows = summary.select(F.posexplode(cells).alias("bucket", "c"))
-    return rows.select("bucket", F.col("c.docs"), F.col("c.total")).filter(F.col("docs") > 0)
+    cells = hashed.select(F.unwrap_udt("tf").alias("v")).select(F.inline(F.arrays_zip("v.indices", "v.values")))
+    return cells.groupBy(F.col("indices").alias("bucket")).agg(F.count("*").alias("docs"), F.sum("values").alias("total"))
 
 
 def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
-    """Tokens of the bounded word-vector corpus."""
-    return readers.spread(corpus_sample(spark, d), "doc_id").select(
-        "doc_id", tok.split_tokens(F.col("content")).alias("tokens")
-    )
+    return documents(spark, d, "text").select("doc_id", tok.split_tokens(F.col("text")).alias("tokens"))
+
+
+def corpus_vectors(spark: SparkSession, d: str):
+    """Word vectors learnt from all documents, with the standard settings."""
+    kept = stored(corpus_tokens(spark, d))
+    return kept, models.train_word_vectors(kept)
 
 
 @query
 def word2vec_docs(spark, d):
-    kept = corpus_tokens(spark, d).persist()
-    model = models.train_word_vectors(kept)
-    kept.unpersist()
-    docs = documents(spark, d, "text").select("doc_id", tok.split_tokens(F.col("text")).alias("tokens"))
-    return model.transform(docs).select("doc_id", vector_to_array("word_vector").alias("vector"))
+    kept, model = corpus_vectors(spark, d)
+    return models.mean_vectors(model, kept, "doc_id")
 
 
 @query
 def w2v_synonyms(spark, d):
-    kept = corpus_tokens(spark, d).persist()
-    model = models.train_word_vectors(kept, vectorSize=20, maxIter=2)
-    kept.unpersist()
+    _, model = corpus_vectors(spark, d)
     return model.findSynonyms("the", 10)
 
 
+@query
+def word2vec_train_set(spark, d):
+    """Word vectors with the library's own settings, learnt from the training set and given to its documents."""
+    train = dataset.one_set(all_sets(spark, d), "train")
+    kept = stored(train.select("doc_id", tok.split_tokens(F.col("content")).alias("tokens")))
+    return models.mean_vectors(models.train_word_vectors(kept, standard=False), kept, "doc_id")
+
+
 # ---- models ----------------------------------------------------------------------------
 
 
@@ -574,20 +578,26 @@ def feature_rows(spark: SparkSession, d: str) -> DataFrame:
     return features.CredibilityFeatures().transform(rows).drop("content")
 
 
-def tfidf_rows(spark: SparkSession, d: str) -> DataFrame:
-    """Marked documents as TF-IDF vectors over the news vocabulary."""
+def tfidf_rows(spark: SparkSession, d: str, least: float | None = None) -> DataFrame:
+    """Marked documents as TF-IDF vectors, with their part; words, counts and the number of documents are those of part 0.
+
+    A word with more occurrences than three times the documents weighs less than 0; ``least`` lifts such weights.
+    """
+    part = dataset.split_number(F.col("doc_id"), dataset.UNRELIABLE_WEIGHTS)
     bag = news_bag(spark, d)
-    vocab = corpus.vocabulary(corpus.bag_class_counts(bag))
-    marks = news(spark, d).select("doc_id", "label")
-    weights = corpus.tfidf(bag, vocab, marks.select(F.count("*")).scalar(), "doc_id")
+    vocab = corpus.vocabulary(corpus.bag_class_counts(bag.filter(part == 0)))
+    marks = news(spark, d).select("doc_id", "label", part.alias("part"))
+    n = marks.filter("part = 0").select(F.count("*")).scalar()
+    weights = corpus.tfidf(bag, vocab, n, "doc_id")
+    if least is not None:
+        weights = weights.withColumn("weight", F.greatest("weight", F.lit(least)))
     return corpus.tfidf_vectors(weights, marks, F.lit(vocab.count()))
 
 
 def _model_scores(spark: SparkSession, d: str, name: str) -> DataFrame:
-    rows = stored(tfidf_rows(spark, d))
-    part = dataset.split_number(F.col("doc_id"), dataset.UNRELIABLE_WEIGHTS)
-    model = models.fit_persisted(models.estimator(name), rows.filter(part == 0))
-    return models.score(model, rows.filter(part == 1), "doc_id")
+    rows = stored(tfidf_rows(spark, d, 0.0 if name == "nb" else None))  # naive Bayes takes no weight below 0
+    model = models.fit_persisted(models.estimator(name), rows.filter("part = 0"))
+    return models.score(model, rows.filter("part = 1"), "doc_id")
 
 
 @query
@@ -615,19 +625,20 @@ def nb_theta(spark, d):
 @query
 def credibility_model(spark, d):
     """Word vectors from the corpus and the ten ratios into the tuned pipeline, scored on all sets."""
-    corpus_kept = corpus_tokens(spark, d).persist()
-    word_vectors = models.train_word_vectors(corpus_kept)
-    corpus_kept.unpersist()
+    _, word_vectors = corpus_vectors(spark, d)
     rows = stored(feature_rows(spark, d))
     pipeline = models.credibility_pipeline(word_vectors)
-    tuned = models.tune_by_split(pipeline, models.parameter_grid(pipeline), dataset.one_set(rows, "train"))
-    return models.score(tuned.bestModel, rows, "dataset", "doc_id")
+    best, _ = models.tune_by_split(pipeline, models.parameter_grid(pipeline), dataset.one_set(rows, "train"))
+    return models.score(best, rows, "dataset", "doc_id")
 
 
 @query
 def model_mlp(spark, d):
-    rows = stored(feature_rows(spark, d).withColumnRenamed("commonfeatures", "features"))
-    model = models.fit_persisted(models.perceptron(len(cred.FEATURES)), dataset.one_set(rows, "train"))
+    """The perceptron over the ten ratios and the word vector."""
+    _, word_vectors = corpus_vectors(spark, d)
+    rows = stored(models.assembled(word_vectors, feature_rows(spark, d)))
+    inputs = len(cred.FEATURES) + word_vectors.getVectorSize()
+    model = models.fit_persisted(models.perceptron(inputs), dataset.one_set(rows, "train"))
     return models.score(model, dataset.one_set(rows, "test"), "doc_id")
 
 
@@ -635,18 +646,22 @@ def _average_areas(spark: SparkSession, metrics: list[float]) -> DataFrame:
     return spark.createDataFrame([(i, float(m)) for i, m in enumerate(metrics)], "grid_point int, area_under_roc double")
 
 
+def tuning_rows(spark: SparkSession, d: str):
+    """The pipeline with its word vectors, and the training set."""
+    _, word_vectors = corpus_vectors(spark, d)
+    return models.credibility_pipeline(word_vectors), stored(dataset.one_set(feature_rows(spark, d), "train"))
+
+
 @query
 def tune_tvs(spark, d):
-    rows = stored(dataset.one_set(feature_rows(spark, d), "train"))
-    pipeline = models.credibility_pipeline(None)
-    tuned = models.tune_by_split(pipeline, models.parameter_grid(pipeline, (10, 20)), rows)
-    return _average_areas(spark, tuned.validationMetrics)
+    pipeline, rows = tuning_rows(spark, d)
+    _, metrics = models.tune_by_split(pipeline, models.parameter_grid(pipeline, (10, 20)), rows)
+    return _average_areas(spark, metrics)
 
 
 @query
 def tune_cv(spark, d):
-    rows = stored(dataset.one_set(feature_rows(spark, d), "train"))
-    pipeline = models.credibility_pipeline(None)
+    pipeline, rows = tuning_rows(spark, d)
     tuned = models.tune_by_folds(pipeline, models.parameter_grid(pipeline), rows)
     return _average_areas(spark, tuned.avgMetrics)
 

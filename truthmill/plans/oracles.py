@@ -30,17 +30,17 @@ U12 = HASH.format(seed=12)
 
 SETS = f"""{NEWS},
 sets AS (
-  SELECT CASE WHEN {U11} < 0.7 THEN 'train' ELSE 'test' END AS dataset, doc_id, content, label
+  SELECT CASE WHEN {U11} < 0.7 THEN 'train' ELSE 'test' END AS dataset, CAST(doc_id AS VARCHAR) AS doc_id, content, label
   FROM news WHERE label = 0
   UNION ALL
   SELECT CASE WHEN {U11} < 0.6 THEN 'train' WHEN {U11} < 0.6 + 0.3 THEN 'test' ELSE 'held_out' END,
-         doc_id, content, label
+         CAST(doc_id AS VARCHAR), content, label
   FROM news WHERE label = 1
   UNION ALL
-  SELECT 'validation', conv_id * 1000 + turn, text, CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END
+  SELECT 'validation', concat('turn:', conv_id, ':', turn), text, CASE WHEN role = 'user' THEN 1.0 ELSE 0.0 END
   FROM conversations WHERE trim(coalesce(text, '')) <> ''
   UNION ALL
-  SELECT 'held_out', item_id, text, 0.0 FROM benchmark WHERE trim(coalesce(text, '')) <> ''
+  SELECT 'held_out', concat('item:', item_id), text, 0.0 FROM benchmark WHERE trim(coalesce(text, '')) <> ''
 )"""
 
 SPLIT = r"""[\s!,.?;''"]+"""
@@ -91,7 +91,7 @@ def word_list(col: str) -> str:
 
 
 def _stem_ctes(source: str, word: str = "word") -> str:
-    """CTEs s0 … s7 stemming the word column of a relation; s7 has the stem as ``stem``."""
+    """CTEs s0 … s5 stemming the word column of a relation; s5 has the stem as ``stem``."""
 
     def phase(n: int, cases: str) -> str:
         return f"s{n} AS (SELECT * EXCLUDE (stem), CASE WHEN done THEN stem {cases} ELSE stem END AS stem FROM s{n - 1})"
@@ -117,11 +117,10 @@ def _stem_ctes(source: str, word: str = "word") -> str:
                  ELSE {word} END AS stem FROM {source})""",
             phase(1, " ".join(rule(*r) for r in ARTICLE_RULES)),
             phase(2, " ".join(plural(*r) for r in PLURAL_RULES)),
-            phase(3, rule(4, "я", 1, "")),
-            phase(4, " ".join(rule(4, v, 1, "") for v in ("а", "о", "е"))),
-            phase(5, rule(5, "ен", 2, "н")),
+            phase(3, "WHEN length(stem) >= 4 THEN regexp_replace(regexp_replace(stem, 'я$', ''), '[аое]$', '')"),
+            phase(4, rule(5, "ен", 2, "н")),
             phase(
-                6,
+                5,
                 "WHEN length(stem) >= 6 AND left(right(stem, 2), 1) = 'ъ' "
                 "THEN left(stem, length(stem) - 2) || right(stem, 1)",
             ),
@@ -260,7 +259,7 @@ ORACLES["page_scan"] = "SELECT page_id, url, html FROM pages"
 
 ORACLES["lexicon_dedup"] = f"""WITH {NEWS},
 words AS ({unnested('news', letters('content'), 'doc_id, label')})
-SELECT lower(word) AS word, arg_min(label, doc_id * 1000000 + pos) AS score FROM words GROUP BY 1"""
+SELECT lower(word) AS word, arg_min(label, (doc_id, pos)) AS score FROM words GROUP BY 1"""
 
 ORACLES["page_to_json"] = f"""WITH {PAGES}
 SELECT key, CAST(json_object('key', CAST(key AS VARCHAR), 'url', url, 'html', html, 'title', title,
@@ -269,7 +268,7 @@ SELECT key, CAST(json_object('key', CAST(key AS VARCHAR), 'url', url, 'html', ht
 ORACLES["export_features"] = f"""WITH {SETS},
 chosen AS (
   SELECT doc_id, content, label FROM sets WHERE dataset IN ('held_out', 'validation')
-  UNION ALL SELECT doc_id, content, label FROM news
+  UNION ALL SELECT CAST(doc_id AS VARCHAR), content, label FROM news
 ), {feature_columns('chosen', 'label, doc_id')}
 SELECT * FROM features"""
 
@@ -327,7 +326,9 @@ ORACLES["labelled_docs"] = f"WITH {NEWS} SELECT doc_id, content, label FROM news
 
 ORACLES["category_to_label"] = """
 SELECT doc_id, lang AS category, CASE WHEN lang = 'en' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS label
-FROM documents WHERE source <> 'src0'"""
+FROM documents"""
+
+ORACLES["without_source"] = "SELECT doc_id, source FROM documents WHERE source <> 'src0'"
 
 ORACLES["latest_k"] = """
 SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, user_id, props
@@ -390,7 +391,7 @@ WITH cyrillic AS (
 ),
 words AS (SELECT * FROM ({unnested('cyrillic', letters('c'), 'doc_id')}) WHERE length(word) BETWEEN 3 AND 1000),
 {_stem_ctes('words')},
-grouped AS (SELECT doc_id, string_agg(stem, '|' ORDER BY pos) AS tokens FROM s6 GROUP BY doc_id)
+grouped AS (SELECT doc_id, string_agg(stem, '|' ORDER BY pos) AS tokens FROM s5 GROUP BY doc_id)
 SELECT doc_id, coalesce(tokens, '') AS tokens FROM documents LEFT JOIN grouped USING (doc_id)"""
 
 ORACLES["gap_aware_shingles"] = f"""

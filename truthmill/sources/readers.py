@@ -6,6 +6,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from truthmill.operators.shared import stored
+
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Put a small input on all cores; a large one already has more splits and is left alone.
@@ -53,8 +55,10 @@ def parse_scored_words(lines: DataFrame, on_bad_number: str = "empty") -> DataFr
     )
     if on_bad_number == "skip":
         parsed = parsed.filter(F.col("score").isNotNull())
-    words = parsed.groupBy("word").agg(
-        F.min_by("score", "at").alias("score"), F.count_if(F.col("score").isNull()).alias("_bad")
+    words = stored(
+        parsed.groupBy("word").agg(
+            F.min_by("score", "at").alias("score"), F.count_if(F.col("score").isNull()).alias("_bad")
+        )
     )
     if on_bad_number == "empty":
         bad = words.agg(F.coalesce(F.sum("_bad"), F.lit(0))).scalar()
@@ -75,7 +79,10 @@ def read_scored_words(spark: SparkSession, path: str, on_bad_number: str = "empt
 
 
 def read_word_list(spark: SparkSession, path: str, limit: int = 100_000) -> list[str]:
-    """One word per line, for use as a literal set; refuses a file too large for one."""
+    """One word per line, for use as a literal set of at most ``limit`` words.
+
+    Refuses a longer list: read it as a table and drop its words by an anti-join.
+    """
     rows = spark.read.text(path).select(F.trim("value").alias("w")).limit(limit + 1).collect()
     if len(rows) > limit:
         raise ValueError(f"word list {path} holds more than {limit} words; join it as a table")
