@@ -1,0 +1,107 @@
+"""The registered queries against their SQL, and the pipeline stage by stage against SQL and plain versions."""
+
+import math
+import sys
+from pathlib import Path
+
+import duckdb
+import pytest
+
+sys.path.insert(0, str(Path(__file__).parent))
+
+import brute
+import corpus_pipeline
+
+import __spark_entry__ as entry
+from truthmill.llm import oracles
+from truthmill.llm.queries import ORACLES, QUERIES
+from truthmill.operators.shared import stored
+
+FOLDER = "/root/testdata/sf0.001"
+
+
+def same(a, b):
+    return a == b or (isinstance(a, float) and b is not None and math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-9))
+
+
+@pytest.fixture(scope="module")
+def duck():
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
+def test_matches_sql(spark, duck, name):
+    df = QUERIES[name](spark, FOLDER)
+    result = duck.execute(ORACLES[name])
+    columns = [c[0] for c in result.description]
+    assert sorted(columns) == sorted(df.columns)
+    theirs = {r[columns.index("doc_id")]: dict(zip(columns, r)) for r in result.fetchall()}
+    ours = df.collect()
+    assert len(ours) == len(theirs)
+    for row in ours:
+        assert all(same(row[c], theirs[row.doc_id][c]) for c in columns), (row, theirs[row.doc_id])
+
+
+@pytest.mark.parametrize("name", ["op4_license_scan", "op7_line_dedup", "op9_quality_rules"])
+def test_native_plans_hold_no_python(spark, name):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("EvalPython", "MapIn", "InPandas", "InArrow", "Cartesian"))
+
+
+@pytest.mark.parametrize("name", ["op2_histogram_shards", "op1_interpolated_model", "op10_substring_dedup"])
+def test_rows_of_the_others(spark, name):
+    assert QUERIES[name](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
+
+
+def test_all_are_registered():
+    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
+
+
+def test_pipeline_stages(spark, tmp_path):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW benchmark AS SELECT * FROM '{FOLDER}/benchmark.parquet'")
+
+    def run(i, docs):
+        """The stage's result, its input now being DuckDB's documents."""
+        path = f"{tmp_path}/in{i}"
+        docs.write.parquet(path)
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+        out = stored(corpus_pipeline.STAGES[i][1](spark, spark.read.parquet(path), FOLDER))
+        if i < 4:
+            assert out.columns == docs.columns
+        return out
+
+    ids = lambda df: sorted(r[0] for r in df.select("doc_id").collect())
+    rules = run(0, docs)
+    assert ids(rules) == [r[0] for r in con.execute(f"SELECT doc_id FROM ({oracles.quality_rules()}) WHERE kept ORDER BY 1").fetchall()]
+    lines = run(1, rules)
+    cut = con.execute(f"SELECT doc_id, kept_sha256 FROM ({oracles.line_dedup()}) WHERE n_removed < n_word_lines ORDER BY 1").fetchall()
+    assert sorted((r.doc_id, brute.sha(r.text)) for r in lines.select("doc_id", "text").collect()) == cut
+    assert lines.filter("n_chars <> length(text)").isEmpty()
+    near = run(2, lines)
+    groups = brute.near([(r.doc_id, r.text) for r in lines.select("doc_id", "text").collect()])
+    assert ids(near) == sorted(key for key, _, _, kept in groups if kept)
+    clean = run(3, near)
+    assert ids(clean) == [r[0] for r in con.execute(f"SELECT doc_id FROM ({oracles.benchmark_overlap()}) WHERE NOT contaminated ORDER BY 1").fetchall()]
+    packed = run(4, clean)
+    assert sorted({r.doc_id for r in packed.collect()}) == ids(clean)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, FOLDER).select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted(
+        map(tuple, packed.select("doc_id", "piece", "length", "ids_crc32").collect())
+    )
+
+
+def test_pipeline_carries_odd_rows_and_columns(spark, odd, nothing):
+    docs = odd
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, FOLDER))
+        assert docs.columns == odd.columns
+    assert {r.doc_id for r in docs.select("doc_id").collect()} <= {None, 5, 6, 7, 8}
+    docs = nothing
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, FOLDER))
+    assert docs.count() == 0
