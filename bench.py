@@ -37,6 +37,9 @@ HEADLINE = (
     "roc_curve",
     "auc_metrics",
     "nb_theta",
+    "page_link_list",
+    "model_lr",
+    "word2vec_docs",
 )
 
 
