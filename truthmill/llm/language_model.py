@@ -20,7 +20,7 @@ ROUNDS = 15
 FREQUENCIES = 32
 #: Up to so many words (16 bytes each) travel to every task; with more, tokens are joined with them by shuffles.
 SENT_WORDS = 8_000_000
-BUCKET_TOKENS = 3_000_000
+BUCKET_TOKENS = 1_200_000
 END, START = np.uint64(1), np.uint64(2)
 
 
@@ -66,8 +66,9 @@ class Lookup:
 
     def __init__(self, vocabulary: dict[str, np.ndarray]):
         self.word = vocabulary["word"]
-        self.n = np.append(vocabulary["n"], [0, vocabulary["docs"][0]])
-        self.counted = np.append(vocabulary["counted"], [0, vocabulary["docs"][1]])
+        kind, (docs, counted) = vocabulary["n"].dtype, vocabulary["docs"]
+        self.n = np.append(vocabulary["n"], np.array([0, docs], dtype=kind))
+        self.counted = np.append(vocabulary["counted"], np.array([0, counted], dtype=kind))
 
     def ids(self, word: np.ndarray) -> np.ndarray:
         size = len(self.word)
@@ -76,6 +77,24 @@ class Lookup:
         return np.where(known, at, size)
 
 
+def _in_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        packed = [pa.array([np.ascontiguousarray(c.to_numpy()).tobytes()], pa.binary()) for c in batch.columns]
+        yield pa.RecordBatch.from_arrays(packed, names=["word", "n", "held"])
+
+
+def _collected(vocabulary: DataFrame, size: int, kind: type, docs) -> dict[str, np.ndarray]:
+    """The vocabulary as arrays in the order of its hashes; one partition at a time comes to the driver."""
+    word, n, counted, at = np.empty(size, np.uint64), np.empty(size, kind), np.empty(size, kind), 0
+    packed = vocabulary.select("word", "n", "held").mapInArrow(_in_columns, "word binary, n binary, held binary")
+    for row in packed.toLocalIterator():
+        own, total, held = np.frombuffer(row[0], np.uint64), np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int64)
+        word[at : at + len(own)], n[at : at + len(own)], counted[at : at + len(own)] = own, total, total - held
+        at += len(own)
+    order = np.argsort(word)
+    return {"word": word[order], "n": n[order], "counted": counted[order], "docs": np.array(docs, dtype=np.int64)}
+
+
 _PACKET = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
 
 
@@ -91,8 +110,8 @@ def _packets(sent, buckets: int, learn: bool) -> Callable:
         tokens, look = Tokens(), Lookup(sent.value)
         size = len(look.word)
         chunk = TaskContext.get().partitionId() << 32
-        total = int(look.n[:size].sum())
-        base = np.log10((look.n[: size + 1] + 0.1) / (total + 0.1 * (size + 1)))
+        total = int(look.n[:size].sum(dtype=np.int64))
+        base = None if learn else np.log10((look.n[: size + 1] + 0.1) / (total + 0.1 * (size + 1)))
         for batch in batches:
             fold = batch.column("_fold").to_numpy()
             for lo, hi, data, offsets in pieces(batch.column("_text")):
@@ -183,7 +202,7 @@ def _scored(sent, weights: np.ndarray) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         look = Lookup(sent.value)
-        size, total = len(look.word), int(look.n[: len(look.word)].sum())
+        size, total = len(look.word), int(look.n[: len(look.word)].sum(dtype=np.int64))
         packets = table.filter(pa.compute.equal(table.column("kind"), 1))
         packet, pair, reach, count, docs = _unpacked(packets)
         distinct, place = np.unique(pair, return_inverse=True)
@@ -341,14 +360,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_w
         out = named.select("_row", "_key", (F.col("_fold") == 0).alias("held_out")).join(sums, "_row")
         out = out.withColumn("train_tokens", F.lit(total).cast("long"))
     else:
-        table = vocabulary.toPandas()
-        order = np.argsort(table["word"].to_numpy().view(np.uint64))
-        n, part = table["n"].to_numpy()[order], table["held"].to_numpy()[order]
-        kind = np.uint32 if total < 1 << 32 else np.int64
-        sent = spark.sparkContext.broadcast(
-            {"word": table["word"].to_numpy().view(np.uint64)[order], "n": n.astype(kind), "counted": (n - part).astype(kind), "docs": np.array(ends, dtype=kind)}
-        )
-        del table, n, part, order
+        sent = spark.sparkContext.broadcast(_collected(vocabulary, size, np.uint32 if total < 1 << 32 else np.int64, ends))
         buckets = int(total // BUCKET_TOKENS) + 1
         columns = rows.select("_key", "_fold", "_text")
         pairs = columns.mapInArrow(_packets(sent, buckets, True), _PACKET)
