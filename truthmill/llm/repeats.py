@@ -9,8 +9,9 @@ Steps, each on all documents:
 3. The documents that hold the others are joined with them and read again; the super-windows
    travel as one packed slice of the text to the bucket of their minimiser.
 4. In a bucket all windows are ranked, and those found more than once are reported.
-   Minimisers of very many super-windows would make one bucket too large: their windows are
-   counted by a grouping on the whole window instead, combined before the shuffle.
+   Minimisers of very many super-windows would make one bucket too large. Theirs are dealt to parts by
+   document; a part sends each distinct window once, packed with the others of its hash
+   share; the shares add up the parts and send back what repeats.
 5. The reported stretches are joined with the documents.
 
 Windows are held equal when two independent 64-bit hashes agree.
@@ -22,14 +23,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from truthmill.llm.textarrays import BLANKS, Rolling, pieces, signed, window_minima, words
 from truthmill.operators.shared import stored
 
-#: A minimiser of more super-windows than this is counted window by window.
-HOT = 4096
-BUCKET_BYTES = 4 << 20
+#: A minimiser of more super-windows than this is dealt to several parts of about as many.
+HOT = 8192
+BUCKET_BYTES = 2 << 20
 LEAST_ID = -(1 << 63)
 
 
@@ -120,14 +122,14 @@ def _packed(by_words: bool, window: int, k: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(by_words)
         for batch in batches:
-            lists, hots = batch.column("_hs"), batch.column("_hots")
+            lists, splits = batch.column("_hs"), batch.column("_splits")
             for lo, hi, data, offsets in pieces(batch.column("_text")):
                 units.read(data, offsets)
                 found, first, count = super_windows(units, window, k)
                 part = lists.slice(lo, hi - lo)
                 owners = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
                 asked = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-                hot = hots.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
+                split = splits.slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False)
                 place = _member(units.doc[first], found, owners, asked)
                 kept = place >= 0
                 found, first, count, place = found[kept], first[kept], count[kept], place[kept]
@@ -136,12 +138,12 @@ def _packed(by_words: bool, window: int, k: int) -> Callable:
                 row = pa.array(lo + units.doc[first])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(found)), pa.array(hot[place] if len(place) else np.zeros(0, bool)),
+                        pa.array(signed(found)), pa.array(split[place] if len(place) else np.zeros(0, np.int64)),
                         batch.column("_key").take(row), batch.column("_mark").take(row),
                         pa.array(first - units.first[units.doc[first]]), pa.array(count),
                         pa.array([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()),
                     ],
-                    names=["h", "hot", "_key", "_mark", "first", "n", "packed"],
+                    names=["h", "split", "_key", "_mark", "first", "n", "packed"],
                 )
 
     return run
@@ -192,48 +194,122 @@ def _runs(row: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.
     return row[firsts], at[firsts], at[last] + window
 
 
+def _repeated(ranks: np.ndarray, ids: np.ndarray, later: bool) -> np.ndarray:
+    if not later:
+        return np.bincount(ranks)[ranks] > 1
+    least = np.full(ranks.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, ranks, ids)
+    return ids > least[ranks]
+
+
+def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values, pa.int64()))
+
+
 def _bucket(by_words: bool, window: int, later: bool, rank: Callable) -> Callable:
+    """The repeated windows among the super-windows of some minimisers."""
+
     def run(table: pa.Table) -> pa.Table:
         units = Units(by_words)
         row, number, at = _all_windows(units, table, window)
         ranks = rank(units, at, window)
+        repeated = _repeated(ranks, _owners(table.column("_key").combine_chunks())[row], later)
+        return _found(table, *_runs(row[repeated], number[repeated], window))
+
+    return run
+
+
+def _hot_windows(units: Units, table: pa.Table, window: int):
+    """(row, number, two hashes) of every window of the super-windows of one part of a hot minimiser."""
+    row, number, at = _all_windows(units, table, window)
+    return row, number, *[units.hashes(i, units.sums(i), at, window) for i in (0, 1)]
+
+
+def _grouped(one: np.ndarray, two: np.ndarray, ids: np.ndarray, n: np.ndarray):
+    """Distinct windows with their smallest id and how often they stand."""
+    ranks = ranks_by_sorting(one, two)
+    m = ranks.max(initial=-1) + 1
+    first, least, total = np.zeros(m, np.int64), np.full(m, np.iinfo(np.int64).max), np.zeros(m, np.int64)
+    first[ranks] = np.arange(len(ranks))
+    np.minimum.at(least, ranks, ids)
+    np.add.at(total, ranks, n)
+    return one[first], two[first], least, total
+
+
+_TOTALS = "h long, part long, share long, w1 array<long>, w2 array<long>, least array<long>, n array<long>"
+
+
+def _totals(h: int, part, share, lengths, *columns: np.ndarray) -> pa.Table:
+    return pa.table(
+        {"h": pa.array([h] * len(lengths), pa.int64()), "part": pa.array(part, pa.int64()), "share": pa.array(share, pa.int64())}
+        | {name: _lists(lengths, x) for name, x in zip(("w1", "w2", "least", "n"), columns)}
+    )
+
+
+def _part_totals(by_words: bool, window: int) -> Callable:
+    """The distinct windows of one part, in one row for each share of the hashes."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        units, (h, part) = Units(by_words), (k.as_py() for k in key)
+        row, _, one, two = _hot_windows(units, table, window)
         ids = _owners(table.column("_key").combine_chunks())[row]
-        if later:
-            least = np.full(ranks.max(initial=-1) + 1, np.iinfo(np.int64).max)
-            np.minimum.at(least, ranks, ids)
-            repeated = ids > least[ranks]
-        else:
-            repeated = np.bincount(ranks)[ranks] > 1
-        rows, start, end = _runs(row[repeated], number[repeated], window)
-        take = pa.array(rows)
-        return pa.table(
-            {"_key": table.column("_key").take(take), "_mark": table.column("_mark").take(take), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64())}
-        )
+        one, two, least, n = _grouped(one, two, ids, np.ones(len(row), np.int64))
+        share = (one % np.uint64(table.column("split")[0].as_py())).astype(np.int64)
+        order = np.argsort(share, kind="stable")
+        shares, lengths = np.unique(share, return_counts=True)
+        return _totals(h, [part] * len(shares), shares, lengths, *[x[order] for x in (signed(one), signed(two), least, n)])
 
     return run
 
 
-def _window_rows(by_words: bool, window: int) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(by_words)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                part = batch.slice(lo, 2048)
-                row, number, at = _all_windows(units, part, window)
-                one, two = (signed(units.hashes(i, units.sums(i), at, window)) for i in (0, 1))
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one), pa.array(two), part.column("_key").take(take), part.column("_mark").take(take), pa.array(number)],
-                    names=["w1", "w2", "_key", "_mark", "start"],
-                )
+def _share_totals(key: tuple, table: pa.Table) -> pa.Table:
+    """For each part the windows of one share that repeat in any of the parts."""
+
+    table = table.combine_chunks()
+    flat = lambda c: pc.list_flatten(table.column(c)).to_numpy()
+    row = pc.list_parent_indices(table.column("w1")).to_numpy()
+    one, two, least, n = (flat(c) for c in ("w1", "w2", "least", "n"))
+    ranks = ranks_by_sorting(one, two)
+    lowest = np.full(ranks.max(initial=-1) + 1, np.iinfo(np.int64).max)
+    total = np.zeros(len(lowest), np.int64)
+    np.minimum.at(lowest, ranks, least)
+    np.add.at(total, ranks, n)
+    kept = total[ranks] > 1
+    parts = table.column("part").to_numpy()
+    has, lengths = np.unique(row[kept], return_counts=True)
+    return _totals(key[0].as_py(), parts[has], [key[1].as_py()] * len(has), lengths, one[kept], two[kept], lowest[ranks][kept], total[ranks][kept])
+
+
+def _hot_spans(by_words: bool, window: int, later: bool) -> Callable:
+    """The repeated windows among the super-windows of one part, one row for each document's super-window."""
+
+    def run(table: pa.Table, totals: pa.Table) -> pa.Table:
+        units, totals = Units(by_words), totals.combine_chunks()
+        row, number, one, two = _hot_windows(units, table, window)
+        flat = [pc.list_flatten(totals.column(c)).to_numpy() for c in ("w1", "w2", "least")]
+        ranks = ranks_by_sorting(np.concatenate([flat[0], signed(one)]), np.concatenate([flat[1], signed(two)]))
+        least = np.full(ranks.max(initial=-1) + 1, np.iinfo(np.int64).max)
+        least[ranks[: len(flat[0])]] = flat[2]
+        mine = least[ranks[len(flat[0]) :]]
+        ids = _owners(table.column("_key").combine_chunks())[row]
+        repeated = ids > mine if later else mine < np.iinfo(np.int64).max
+        return _found(table, *_runs(row[repeated], number[repeated], window))
 
     return run
 
 
+def _found(table: pa.Table, rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
+    has, lengths = np.unique(rows, return_counts=True)
+    take = pa.array(has)
+    return pa.table(
+        {"_key": table.column("_key").take(take), "_mark": table.column("_mark").take(take), "starts": _lists(lengths, start), "ends": _lists(lengths, end)}
+    )
+
+
 def repeated_stretches(
     docs: DataFrame, key: str, text: str, window: int, k: int, by_words: bool, later: bool, rank: Callable = ranked_by_hash, hot: int = HOT
 ) -> DataFrame:
-    """(_key, _mark, spans) of the documents with repeated windows; spans of units, in no order.
+    """(_key, _mark, _starts, _ends) of the documents with repeated windows: stretches of units, in no order.
 
     With ``later`` a window counts if it also starts in a document of a smaller key (a null
     key is the smallest), else if it starts anywhere else.
@@ -242,40 +318,38 @@ def repeated_stretches(
     order = F.coalesce("_key", F.lit(LEAST_ID))
     one = stored(rows.select("_key", "_mark", "_text").mapInArrow(_minimisers(by_words, window, k), "h long, _key long, _mark long"))
     counted = one.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    counted = counted.filter("lo < hi" if later else "n > 1").select("h", (F.col("n") > hot).alias("hot"))
+    counted = counted.filter("lo < hi" if later else "n > 1")
+    counted = stored(counted.select("h", F.ceil(F.col("n") / hot).alias("split")))  # stored: both sides of the join are then shuffles, which split if skewed
     lists = (
         one.join(counted, "h")
         .groupBy("_key", "_mark")
-        .agg(F.collect_set(F.struct("h", "hot")).alias("found"))
-        .select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), F.col("found.h").alias("_hs"), F.col("found.hot").alias("_hots"))
+        .agg(F.collect_set(F.struct("h", "split")).alias("found"))
+        .select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), F.col("found.h").alias("_hs"), F.col("found.split").alias("_splits"))
     )
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
-    again = rows.join(lists.hint("shuffle_hash"), same).select("_key", "_mark", "_text", "_hs", "_hots")
+    again = rows.join(lists.hint("shuffle_hash"), same).select("_key", "_mark", "_text", "_hs", "_splits")
     packed = stored(
-        again.mapInArrow(_packed(by_words, window, k), "h long, hot boolean, _key long, _mark long, first long, n long, packed binary")
+        again.mapInArrow(_packed(by_words, window, k), "h long, split long, _key long, _mark long, first long, n long, packed binary")
     )
     size = packed.agg(F.coalesce(F.sum(F.length("packed")), F.lit(0))).first()[0]
     buckets = max(1, size // BUCKET_BYTES)
-    spans = "_key long, _mark long, start long, end long"
+    spans = "_key long, _mark long, starts array<long>, ends array<long>"
     cold = (
-        packed.filter(~F.col("hot"))
+        packed.filter("split = 1")
         .groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
         .applyInArrow(_bucket(by_words, window, later, rank), spans)
     )
-    each = packed.filter("hot").select("_key", "_mark", "first", "n", "packed")
-    each = each.mapInArrow(_window_rows(by_words, window), "w1 long, w2 long, _key long, _mark long, start long")
-    groups = each.groupBy("w1", "w2").agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
-    groups = groups.filter("lo < hi" if later else "n > 1").select("w1", "w2", "lo")
-    warm = each.join(groups, ["w1", "w2"])
-    if later:
-        warm = warm.filter(order > F.col("lo"))
-    warm = warm.select("_key", "_mark", "start", (F.col("start") + window).alias("end"))
-    return cold.unionByName(warm).groupBy("_key", "_mark").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    hot_rows = packed.filter("split > 1").withColumn("part", F.pmod(F.xxhash64("_key", "_mark"), "split"))
+    totals = hot_rows.groupBy("h", "part").applyInArrow(_part_totals(by_words, window), _TOTALS)
+    totals = totals.groupBy("h", "share").applyInArrow(_share_totals, _TOTALS)
+    warm = hot_rows.groupBy("h", "part").cogroup(totals.groupBy("h", "part")).applyInArrow(_hot_spans(by_words, window, later), spans)
+    both = cold.unionByName(warm).groupBy("_key", "_mark")
+    return both.agg(F.flatten(F.collect_list("starts")).alias("_starts"), F.flatten(F.collect_list("ends")).alias("_ends"))
 
 
 def with_spans(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFrame:
     """(_key, _text, _starts, _ends) of all documents; the arrays are null where nothing repeats."""
-    found = found.select(F.col("_key").alias("_k"), F.col("_mark").alias("_m"), F.col("spans.start").alias("_starts"), F.col("spans.end").alias("_ends"))
+    found = found.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
     return _keyed(docs, key, text).join(found.hint("shuffle_hash"), same, "left").select("_key", "_text", "_starts", "_ends")
 
