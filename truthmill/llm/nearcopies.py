@@ -15,6 +15,12 @@ SHINGLE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
 BINS = 128
+#: Classes of different groups in a bucket of up to so many are compared by their signatures.
+COMPARED = 1024
+#: Larger ones are dealt to new buckets by four more values, in so many ways: 95 % of the pairs at the threshold stay together.
+REFINED = 8
+#: After so many dealings, what is still large is compared block by block.
+LEVELS = 2
 #: Values in a band; 32 bands of 4 miss a pair at the threshold once in 200,000.
 BAND = 4
 
@@ -49,19 +55,20 @@ class Sets:
 
 def densified(filled: np.ndarray, minima: np.ndarray) -> np.ndarray:
     """Optimal densification: an empty bin takes the minimum of the first filled bin of its own random sequence."""
-    n, bins = filled.shape
-    out, todo, step = minima.copy(), ~filled & filled.any(axis=1, keepdims=True), 0
-    while todo.any():
+    out, step = minima.copy(), 0
+    row, bin_ = np.nonzero(~filled & filled.any(axis=1, keepdims=True))
+    while len(row):
         step += 1
-        probe = (mix(np.arange(bins, dtype=np.uint64) + np.uint64(step * 1_000_003)) % np.uint64(bins)).astype(np.int64)
-        hit = todo & filled[:, probe]
-        out[hit] = minima[:, probe][hit]
-        todo &= ~hit
+        probe = (mix(np.arange(filled.shape[1], dtype=np.uint64) + np.uint64(step * 1_000_003)) % np.uint64(filled.shape[1])).astype(np.int64)
+        at = probe[bin_]
+        hit = filled[row, at]
+        out[row[hit], bin_[hit]] = minima[row[hit], at[hit]]
+        row, bin_ = row[~hit], bin_[~hit]
     return out
 
 
-def band_keys(sets: Sets, bins: int, band: int) -> np.ndarray:
-    """One row of band hashes for each text with a set.
+def band_keys(sets: Sets, bins: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """One row of band hashes for each text, and 16 bits of each of its values.
 
     The upper bits of a shingle's hash are its bin; the least hash of a bin is the bin's value.
     """
@@ -77,7 +84,7 @@ def band_keys(sets: Sets, bins: int, band: int) -> np.ndarray:
     key = np.broadcast_to(mix(np.arange(bins // band, dtype=np.uint64) + np.uint64(77)), (n, bins // band))
     for i in range(band):
         key = mix(key ^ values[:, :, i]) + np.uint64(i)
-    return key
+    return key, mix(values.reshape(n, bins)).astype("<u2")
 
 
 def _signatures(size: int, bins: int, band: int) -> Callable:
@@ -89,20 +96,69 @@ def _signatures(size: int, bins: int, band: int) -> Callable:
                 n = hi - lo
                 count = np.diff(sets.first)
                 total = [np.append(np.uint64(0), np.cumsum(x)) for x in (mix(sets.values), mix(sets.values ^ np.uint64(0x5BD1E995)))]
-                keys = band_keys(sets, bins, band)
+                keys, values = band_keys(sets, bins, band)
+                values = pa.array([row.tobytes() for row in values], pa.binary())
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (bins // band)), pa.array(signed(np.ascontiguousarray(keys).ravel())))
                 part = batch.slice(lo, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("_row"), part.column("_key"), part.column("_mark"), pa.array(count),
-                        *[pa.array(signed(t[sets.first[1:]] - t[sets.first[:-1]])) for t in total], keys,
+                        *[pa.array(signed(t[sets.first[1:]] - t[sets.first[:-1]])) for t in total], keys, values,
                     ],
-                    names=["_row", "_key", "_mark", "n", "s1", "s2", "bands"],
+                    names=["_row", "_key", "_mark", "n", "s1", "s2", "bands", "sig"],
                 )
 
     return run
 
 
+def _alike(table: pa.Table) -> pa.Table:
+    """Pairs of classes of different groups in one bucket whose signatures leave a link possible.
+
+    At the least similarity three quarters of the values agree on average; pairs more than 5.5 standard
+    deviations below go. A small set fills few bins, so it has fewer values of its own and a wider range.
+    """
+    c, n, label = (table.column(name).to_numpy() for name in ("c", "n", "label"))
+    sig = np.stack([np.frombuffer(x, "<u2") for x in table.column("sig").to_pylist()])
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i in range(len(c) - 1):
+        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        own = np.minimum(np.minimum(n[i], n[other]), sig.shape[1])
+        least = (SIMILAR / 100 - 5.5 * np.sqrt(0.1875 / own)) * sig.shape[1]
+        other = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= least]
+        a.append(np.minimum(c[i], c[other]))
+        b.append(np.maximum(c[i], c[other]))
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
+
+
+def _compared(members: DataFrame) -> DataFrame:
+    """Likely links (a, b) between groups in each bucket; a bucket beyond the bound is compared by pairs of blocks."""
+    blocks = F.ceil(F.col("size") / COMPARED)
+    own = F.pmod(F.xxhash64("c"), blocks)
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    placed = members.select("*", own.alias("own"), other.alias("other"))
+    placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    return placed.groupBy("bucket", "i", "j").applyInArrow(_alike, "a long, b long").distinct()
+
+
+def _refined(band: int) -> Callable:
+    """Members of a large bucket under new keys: the old one with some more values of the signature."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig = np.stack([np.frombuffer(x, "<u2") for x in batch.column("sig").to_pylist()]).astype(np.uint64)
+            old = batch.column("bucket").to_numpy().view(np.uint64)
+            for way in range(REFINED):
+                key = mix(old + np.uint64(way + 1))
+                for i in range(band):
+                    at = mix(mix(old + np.uint64(way)) + np.uint64(i)) % np.uint64(sig.shape[1])
+                    key = mix(key ^ sig[np.arange(len(old)), at.astype(np.int64)])
+                yield pa.RecordBatch.from_arrays([batch.column("c"), batch.column("n"), pa.array(signed(key))], names=["c", "n", "bucket"])
+
+    return run
+
+
 def _confirmed(size: int, similar: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, two = Sets(size), Sets(size)
@@ -146,6 +202,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select("node", "label")
 
 
+def _shared(placed: DataFrame) -> DataFrame:
+    """(bucket, c, n, size, first) of the buckets with more than one class.
+
+    ``first``, the centre of a bucket's star, is the class that meets most others in all its buckets: of an original
+    and its edited copies, which are less like each other, that is the original.
+    """
+    placed = stored(placed)
+    sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    placed = stored(placed.join(sizes, "bucket"))
+    met = stored(placed.groupBy("c").agg(F.sum("size").alias("met")))
+    first = placed.join(met, "c").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("c")).alias("least")))["least"]).alias("first"))
+    return stored(placed.join(stored(first), "bucket"))
+
+
 def near_copies(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similar: int = SIMILAR, bins: int = BINS, band: int = BAND
 ) -> DataFrame:
@@ -153,11 +223,12 @@ def near_copies(
 
     Texts of equal shingle sets are one class and go on as one row. One permutation of the shingles
     is cut into bins; empty bins are filled by optimal densification; bands of values are bucket
-    keys. In each bucket all classes are paired with one centre, never with each other, and
-    pairs are confirmed on the full sets. Where a bucket still holds several groups, a few
-    more centres are drawn and classes of other groups are paired with them, with four
-    times as many centres each round, until no such pair is left unseen: links that the first
-    centre lacks are found, and a bucket that is one group costs nothing more.
+    keys. In each bucket all classes are paired with one centre, and pairs are confirmed on the
+    full sets. Where a bucket then still holds several groups, its classes of different groups are
+    compared by their signatures inside the task, and only likely links leave it to be confirmed.
+    A bucket of several groups that is too large for that is dealt to smaller ones by more values
+    of the signature, so a common passage does not bring all its documents together; what is
+    still large after two dealings is compared block by block.
 
     Returns key, n_shingles, component_id (the smallest key of the group), kept (whether
     that is the row's own key) and text_hash (``xxhash64`` of the text), one row per input row. Words are lower-cased in A-Z and parted
@@ -165,19 +236,19 @@ def near_copies(
     null, is a group of its own. Null keys are ignored in the smallest key, and a group without any
     other has a null id. Repeated rows are copies of each other. Other columns are not read.
     """
+    spark = docs.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(value).alias("_mark"), value.alias("_text"))
     signed_rows = rows.withColumn("_row", F.monotonically_increasing_id()).select("_row", "_key", "_mark", "_text")
     base = stored(
-        signed_rows.mapInArrow(_signatures(shingle, bins, band), "_row long, _key long, _mark long, n long, s1 long, s2 long, bands array<long>")
+        signed_rows.mapInArrow(_signatures(shingle, bins, band), "_row long, _key long, _mark long, n long, s1 long, s2 long, bands array<long>, sig binary")
     )
     classes = base.filter("n > 0").groupBy("s1", "s2", "n").agg(F.min("_row").alias("c"), F.min("_key").alias("least"))
     classes = stored(classes)
     one_each = base.join(classes.select(F.col("c").alias("_row")), "_row")
-    placed = stored(one_each.select(F.col("_row").alias("c"), "_key", "_mark", "n", F.explode("bands").alias("bucket")))
-    buckets = stored(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.min("c").alias("first")).filter("size > 1"))
-    members = stored(placed.join(buckets, "bucket"))
-    asked = members.select("c", F.col("_key").alias("_k"), F.col("_mark").alias("_m")).distinct()
+    one_each = stored(one_each.select(F.col("_row").alias("c"), "_key", "_mark", "n", "sig", "bands"))
+    members = _shared(one_each.select("c", "n", F.explode("bands").alias("bucket")))
+    asked = one_each.join(members.select("c").distinct(), "c").select("c", F.col("_key").alias("_k"), F.col("_mark").alias("_m"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
     texts = stored(rows.join(asked.hint("shuffle_hash"), same).select("c", F.col("_text").alias("text")))
     sized = 100 * F.least("an", "n") >= similar * F.greatest("an", "n")  # sets of other sizes cannot be similar
@@ -187,33 +258,29 @@ def near_copies(
         both = left.join(texts.select(F.col("c").alias("a"), F.col("text").alias("one")), "a")
         return stored(both.select("a", "b", "one", "two").mapInArrow(_confirmed(shingle, similar), "a long, b long").distinct())
 
-    first = members.filter("c = first").select("bucket", F.col("c").alias("a"), F.col("n").alias("an"))
-    stars = members.filter("c <> first").select("bucket", F.col("first").alias("a"), F.col("c").alias("b"), "n")
-    tested = stored(stars.join(first, ["bucket", "a"]).filter(sized).select("a", "b").distinct())
-    links = links_among(tested)
-    labels = components(links)
-    centres = 1
-    while True:
-        centres *= 4
+    links = tested = spark.createDataFrame([], "a long, b long")
+    for level in range(LEVELS + 1):
+        first = members.filter("c = first").select("bucket", F.col("c").alias("a"), F.col("n").alias("an"))
+        stars = members.filter("c <> first").select("bucket", F.col("first").alias("a"), F.col("c").alias("b"), "n")
+        pairs = stars.join(first, ["bucket", "a"]).filter(sized)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
+        links, tested = links.unionByName(links_among(pairs)), tested.unionByName(pairs)
+        labels = components(links)
         named = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi and lo is not null")
-        open_ = stored(named.join(mixed.select("bucket"), "bucket"))
-        if open_.isEmpty():
-            break
-        drawn = F.pmod(F.xxhash64("c", F.lit(centres)), F.lit(1 << 32)) * F.col("size") < centres * (1 << 32)
-        chosen = open_.filter(drawn).select("bucket", F.col("c").alias("x"), F.col("n").alias("an"), F.col("label").alias("other"))
-        pairs = open_.join(chosen, "bucket").filter(F.col("label") != F.col("other")).filter(sized)
-        pairs = pairs.select(F.least("c", "x").alias("a"), F.greatest("c", "x").alias("b")).distinct()
+        mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
+        open_ = named.join(stored(mixed), "bucket").filter("size > 2").join(one_each.select("c", "sig"), "c")
+        open_ = stored(open_.select("bucket", "size", "c", "n", "label", "sig"))
+        large = F.col("size") > COMPARED
+        last = level == LEVELS or open_.filter(large).isEmpty()
+        pairs = _compared(open_ if last else open_.filter(~large))
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        whole = open_.agg(F.max("size")).first()[0] <= centres
         if not pairs.isEmpty():
-            found = links_among(pairs)
-            tested = tested.unionByName(pairs)
-            if not found.isEmpty():
-                links = links.unionByName(found)
-                labels = components(links)
-        if whole:
+            links, tested = links.unionByName(links_among(pairs)), tested.unionByName(pairs)
+            labels = components(links)
+        if last:
             break
+        members = _shared(open_.filter(large).select("bucket", "c", "n", "sig").mapInArrow(_refined(band), "c long, n long, bucket long"))
     group = classes.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     group = stored(group)
     smallest = group.groupBy("label").agg(F.min("least").alias("smallest"))
