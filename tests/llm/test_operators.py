@@ -209,6 +209,28 @@ def test_runs_of_lines(spark):
     assert out[4].kept_text == "q" and out[None].n_removed == 0 and out[5].kept_text == "p"
 
 
+def test_repeated_paragraphs_of_one_or_two_lines(spark, real):
+    para, half = " ".join(f"p{i}" for i in range(60)), [" ".join(f"{c}{i}" for i in range(30)) for c in "gh"]
+    rows = [(1, f"a\n{para}\nb"), (2, para), (3, "\n".join(["x", *half, "y"])), (4, "\n\n".join(half)), (5, f"{half[0]}\na"), (6, "x\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in linedups.drop_repeated_lines(docs, long_words=50).collect()}
+    assert [out[k].n_removed for k in range(1, 7)] == [0, 1, 0, 2, 0, 0] and out[2].kept_text == ""
+    assert linedups.drop_repeated_lines(docs).filter("n_removed > 0").isEmpty()  # the registered rule: runs of three only
+
+    seen, expected = set(), {}
+    for key, text in sorted(pairs(real)):
+        whole, gone = text.split("\n"), set()
+        lines = [(x.strip(linedups.BLANKS), i) for i, x in enumerate(whole) if x.strip(linedups.BLANKS)]
+        for n in (1, 2, 3):
+            for i in range(len(lines) - n + 1):
+                run = tuple(x for x, _ in lines[i : i + n])
+                if n == 3 or sum(len(x.split()) for x in run) >= 50:
+                    gone |= {at for _, at in lines[i : i + n]} if run in seen else set()
+                    seen.add(run)
+        expected[key] = "\n".join(x for i, x in enumerate(whole) if i not in gone)
+    assert {r.doc_id: r.kept_text for r in linedups.drop_repeated_lines(real, long_words=50).collect()} == expected
+
+
 def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     rng = np.random.default_rng(5)
     words = [f"{a}{b}" for a in ("wor", "te", "ran", "mil") for b in ("d", "xt", "ge", "ler", "sing")]
