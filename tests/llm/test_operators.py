@@ -200,6 +200,37 @@ def test_overlap_on_odd_rows(spark, odd, odd_rows):
     assert empty.filter(F.size("hits") > 0).isEmpty() and empty.count() == len(odd_rows)
 
 
+def test_notices_wrapped_over_lines(spark, real):
+    text = {label: t.lower() for label, t in licenses.TEMPLATES if label in ("mit", "bsd", "cc-by")}
+    text["mit"] = licenses.TEMPLATES[4][1]
+
+    def wrapped(label, width, mark=""):
+        w = text[label].split()
+        return "x y\n" + "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width)) + "\nthe end of it"
+
+    rows = [(1, wrapped("mit", 9)), (2, wrapped("bsd", 7, " * ")), (3, wrapped("cc-by", 4, "// ")), (4, wrapped("mit", 1)), (5, wrapped("bsd", 99))]
+    far = "\n".join(w + " z" * 5 for w in text["bsd"].split())  # all its words, but no stretch holds enough of them
+    other = "it was released\nLicensed under the Apache License, Version 2.0."  # four of five words of a notice it does not hold
+    docs = spark.createDataFrame([*rows, (6, far), (7, "\n \n"), (8, other)], "doc_id long, text string")
+    out = {r.doc_id: r for r in licenses.license_scan(docs).collect()}
+    assert [out[k].labels for k in range(1, 9)] == ["mit", "bsd", "cc-by", "mit", "bsd", "", "", "apache"]
+    assert all(out[k].score >= 0.8 for k in range(1, 6)) and out[6].score == 0
+
+    # given texts, each line broken after every fourth blank, against plain lines and stretches of words
+    broken = [(k, "\n".join(" ".join(w[i : i + 4]) for x in t.split("\n") for w in [x.split(" ")] for i in range(0, len(w), 4))) for k, t in pairs(real)]
+    expected = {}
+    for key, t in broken:
+        w, shares = licenses.words_of(t), []
+        for label, template in licenses.TEMPLATES:
+            own, reach = set(licenses.tokens(template)), len(licenses.words_of(template))
+            blocks = [set(licenses.words_of(x)) for x in t.split("\n")] + [set(w[i : i + reach]) for i in range(len(w))]
+            shares += [(len(b & own) / len(own), label) for b in blocks if len(b & own) >= licenses.needed(len(own), licenses.THRESHOLD)]
+        labels = {label for _, label in shares} | {label for p, label in licenses.PHRASES.items() if f" {p} " in f" {' '.join(w)} "}
+        expected[key] = ",".join(sorted(labels))
+    found = licenses.license_scan(spark.createDataFrame(broken, "doc_id long, text string"))
+    assert {r.doc_id: r.labels for r in found.collect()} == expected
+
+
 def test_runs_of_lines(spark):
     rows = [(1, "a\nb\nc\nd"), (2, "x\n b \nc\n\nd\ny"), (3, "b\nc"), (4, "q\nq\nq\nq\nq"), (None, "m\nn\no"), (5, "m\nn\no\np")]
     out = {r.doc_id: r for r in linedups.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}

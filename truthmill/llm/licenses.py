@@ -7,6 +7,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from truthmill.functions.arrays import let
 from truthmill.operators.shared import stored
 
 # The phrases and their labels, and one-line notices with theirs.
@@ -31,8 +32,12 @@ THRESHOLD = 0.8
 _PART = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # what parts words
 
 
+def words_of(text: str) -> list[str]:
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())
+
+
 def tokens(text: str) -> list[str]:
-    return sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
+    return sorted(set(words_of(text)))
 
 
 def needed(size: int, threshold: float) -> int:
@@ -54,19 +59,56 @@ def _prefixes(order: list[str], templates, threshold: float) -> Column:
         for at, word in enumerate(ranked[: len(ranked) - least + 1]):
             rows.append(
                 F.struct(
-                    F.lit(word).alias("token"), F.lit(number).alias("template"), F.lit(label).alias("label"),
+                    F.lit(word).alias("token"), F.lit(number).alias("template"), F.lit(label).alias("label"), F.lit(len(words_of(text))).alias("length"),
                     F.lit(at).alias("at"), F.lit(least).alias("needed"), _strings(ranked).alias("ranked"),
                 )
             )
     return F.array(*rows)
 
 
+def _windows(lower: Column, templates, threshold: float) -> Column:
+    """Stretches of words that cross line ends, as sets of template words with the line they start in.
+
+    A stretch is as long as a template and stands for the templates of that length (``reach``): in a longer
+    one, words of other notices would make up a short template. Only stretches that start at a
+    template word are taken: the others hold no more template words than the next of these.
+    """
+    sets = {}
+    for _, text in templates:
+        sets.setdefault(len(words_of(text)), []).append(tokens(text))
+
+    def of(t: Column, reach: int) -> Column:
+        vocabulary = sorted(set().union(*sets[reach]))
+        last = lambda i: F.get(t, F.least(i + (reach - 1), F.size(t) - 1))
+        starts = F.filter(
+            F.sequence(F.lit(0), F.greatest(F.size(t) - 1, F.lit(0))),
+            lambda i: F.get(t, i)["word"].isin(vocabulary) & (last(i)["line"] > F.get(t, i)["line"]),
+        )
+        found = F.transform(
+            starts,
+            lambda i: F.struct(
+                F.get(t, i)["line"].alias("line"),
+                F.lit(reach).alias("reach"),
+                F.array_intersect(F.transform(F.slice(t, i + 1, reach), lambda x: x["word"]), _strings(vocabulary)).alias("words"),
+            ),
+        )
+        return F.filter(found, lambda b: F.size(b["words"]) >= min(needed(len(s), threshold) for s in sets[reach]))
+
+    words = F.transform(
+        F.split(lower, "\n"),
+        lambda line, i: F.transform(F.filter(F.split(line, _PART), lambda w: w != ""), lambda w: F.struct(i.alias("line"), w.alias("word"))),
+    )
+    return let(F.flatten(words), lambda t: F.concat(*[of(t, reach) for reach in sets]))
+
+
 def license_scan(
     docs: DataFrame, key: str = "doc_id", text: str = "text", templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD
 ) -> DataFrame:
     """Phrase places and notice labels of every text; one row per input row.
 
-    A block is a line, as a set of its words. Every block that holds at least the
+    A block is a line, or for each template a stretch of as many words that crosses line
+    ends, as a set of its words, so a notice wrapped over lines is one block too.
+    Every block that holds at least the
     threshold's share of a template's words is found by a prefix-filtered join: words are
     ranked by the number of texts that hold them, rarest first; a block and a template can
     only reach the needed overlap if they share a word in both prefixes, the block is long
@@ -74,7 +116,8 @@ def license_scan(
     are confirmed on the full sets. Words in no template cannot count and are left out.
 
     Returns key, n_words, n_base, first_word, last_word, base_labels, labels, score and
-    blocks (the confirmed lines: line number, label, share of the template). A null or
+    blocks (the confirmed lines and stretches: number of the line or of the stretch's first
+    line, label, largest share of the template from there). A null or
     empty text has no words, no labels and score 0. Repeated rows each get their row; a
     null key stays null; other columns are not read. The score is 1 where a phrase stands,
     else the largest share of a template in a confirmed block, else 0.
@@ -105,17 +148,18 @@ def license_scan(
         F.array(*[F.when(F.contains("_line", F.lit(f" {p} ")), F.lit(label)) for p, label in phrases.items()]),
         lambda x: x.isNotNull(),
     )
-    some = F.lit(False)  # a text that as a whole has too few words of every template has no such line
+    some = F.lit(False)  # a text that as a whole has too few words of every template has no such block
     for words in sets:
         some = some | (F.size(F.array_intersect("_seen", _strings(words))) >= needed(len(words), threshold))
-    blocks = F.filter(
-        F.transform(
-            F.split("_lower", "\n"),
-            lambda line, i: F.struct(i.alias("line"), F.array_intersect(F.split(line, _PART), _strings(vocabulary)).alias("words")),
+    lines = F.transform(
+        F.split("_lower", "\n"),
+        lambda line, i: F.struct(
+            i.alias("line"), F.lit(None).cast("int").alias("reach"), F.array_intersect(F.split(line, _PART), _strings(vocabulary)).alias("words")
         ),
-        lambda b: F.size(b["words"]) >= least,
     )
-    blocks = F.when(some, blocks).otherwise(F.array().cast("array<struct<line:int,words:array<string>>>"))
+    lines = F.filter(lines, lambda b: F.size(b["words"]) >= least)
+    blocks = F.concat(lines, _windows(F.col("_lower"), templates, threshold))
+    blocks = F.when(some, blocks).otherwise(F.array().cast("array<struct<line:int,reach:int,words:array<string>>>"))
     rows = stored(
         rows.select(
             F.monotonically_increasing_id().alias("_row"),
@@ -134,7 +178,7 @@ def license_scan(
     spark = docs.sparkSession
     prefixes = spark.range(1).select(F.inline(_prefixes(order, templates, threshold)))
     sides = rows.select("_row", F.explode("_blocks").alias("b")).select(
-        "_row", F.col("b.line").alias("line"), F.array_intersect(_strings(order), "b.words").alias("words")
+        "_row", F.col("b.line").alias("line"), F.col("b.reach").alias("reach"), F.array_intersect(_strings(order), "b.words").alias("words")
     )
     size = F.size("words")
     found = (
@@ -142,14 +186,15 @@ def license_scan(
         .filter(F.col("pos") <= size - least)
         .join(F.broadcast(prefixes), "token")
         .filter(
-            (size >= F.col("needed"))
+            (F.col("reach").isNull() | (F.col("reach") == F.col("length")))
+            & (size >= F.col("needed"))
             & (F.col("pos") <= size - F.col("needed"))
             & (F.least(size - F.col("pos"), F.size("ranked") - F.col("at")) >= F.col("needed"))
         )
         .withColumn("overlap", F.size(F.array_intersect("words", "ranked")))
         .filter(F.col("overlap") >= F.col("needed"))
-        .select("_row", "line", "template", "label", (F.col("overlap") / F.size("ranked")).alias("share"))
-        .distinct()
+        .groupBy("_row", "line", "template", "label")
+        .agg(F.max(F.col("overlap") / F.size("ranked")).alias("share"))
     )
     hits = found.groupBy("_row").agg(
         F.collect_set("label").alias("_found"),
