@@ -272,6 +272,21 @@ def test_quality_rejects_outliers_and_keeps_the_rest(spark):
     assert not any(kept[1000 + i] for i in range(20)) and sum(not kept[i] for i in range(400)) <= 2
 
 
+def test_quality_rejects_junk_beyond_a_quarter_of_a_group(spark):
+    rng = np.random.default_rng(7)
+    words = [f"{a}{b}" for a in ("wor", "te", "ran", "mil") for b in ("d", "xt", "ge", "ler", "sing")]
+    rows = []
+    for source, junk in (("s20", 20), ("s30", 30), ("s40", 40)):
+        for i in range(500):
+            bad = i < 5 * junk
+            own = rng.choice(words, 100 if bad else rng.integers(30, 300))
+            rows.append((len(rows), " ".join(w + "$$$" if bad and rng.random() < 0.8 else w for w in own) + ".", "en", source, bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, bad boolean")
+    kept = {r.doc_id: r.kept for r in quality.quality_rules(docs).filter("NOT base_failed").collect()}
+    assert {k for k, *_, bad in rows if bad and kept.get(k)} == set()
+    assert sum(not kept[k] for k, *_, bad in rows if not bad and k in kept) <= 6
+
+
 @pytest.mark.parametrize(
     "run",
     [

@@ -17,6 +17,12 @@ FEATURES = ("symbols", "capitals", "repeats", "letters")
 FLOORS = (25.0, 40.0, 60.0, 15.0)
 SUPPORT = 0.75
 STEPS = 3
+#: The support that withstands most junk, with the factor that makes its covariance that of normal statistics.
+HALF = 0.5
+HALF_FACTOR = 2.110
+#: Reweighting: the 97.5 % point of the squared distance of four normal statistics, and the factor for the rows within.
+WITHIN = 11.143
+WITHIN_FACTOR = 1.0644
 #: Groups with fewer texts are judged with the other small groups of their language.
 LEAST_ROWS = 100
 #: Median of the squared distance of four normal statistics, and the squared distance that rejects.
@@ -83,6 +89,11 @@ def level_sql(distance: str) -> str:
     return f"CAST(floor(64 * ln(1 + ({distance}))) AS BIGINT)"
 
 
+def scale_sql(mid: str) -> str:
+    """What squared distances are divided by, from their median level: never enlarged."""
+    return f"greatest(1.0D, (exp(({mid} + 1) / 64) - 1) / {MEDIAN_DISTANCE})"
+
+
 def first_distance_sql() -> str:
     parts = [f"pow(({f} - mid_{f}) / greatest(1.4826 * mad_{f}, {floor}), 2)" for f, floor in zip(FEATURES, FLOORS)]
     return " + ".join(parts)
@@ -93,11 +104,13 @@ def sums_sql() -> dict[str, str]:
     return sums | {f"s_{i}_{j}": f"sum({FEATURES[i]} * {FEATURES[j]})" for i, j in _PAIRS}
 
 
-def factor_sql() -> list[dict[str, str]]:
-    """Columns, step by step, from sums to the Cholesky factor of the covariance with its floors."""
+def factor_sql(scale: float | None = None) -> list[dict[str, str]]:
+    """Columns, step by step, from sums to the Cholesky factor of the covariance, times ``scale``, with its floors."""
+    times = "" if scale is None else f"{scale} * "
+    part = lambda sql: sql if scale is None else f"({sql})"
     means = {f"mean_{i}": f"CAST(s_{f} AS DOUBLE) / m" for i, f in enumerate(FEATURES)}
     spread = {
-        f"c_{i}_{j}": f"CAST(s_{i}_{j} AS DOUBLE) / m - mean_{i} * mean_{j}" + (f" + {FLOORS[i] ** 2}" if i == j else "") for i, j in _PAIRS
+        f"c_{i}_{j}": times + part(f"CAST(s_{i}_{j} AS DOUBLE) / m - mean_{i} * mean_{j}") + (f" + {FLOORS[i] ** 2}" if i == j else "") for i, j in _PAIRS
     }
     steps = [means, spread]
     for i in range(len(FEATURES)):
@@ -135,6 +148,10 @@ def quality_rules(
     so that the median is that of normal statistics (never enlarged), passes the cutoff. The covariance has a floor on its
     diagonal, so statistics that are constant in a group have room.
 
+    Three quarters of a group cannot be clean if more than a quarter is junk. So the estimate is
+    also made on half of the texts, with its consistency factor, and once more on the texts
+    within the 97.5 % point of it. Where this rejects more than a quarter of a group, its distances judge the group.
+
     Statistics are whole numbers and distances are cut in fine steps, so group sums, medians and
     shares are exact and combine before the shuffle; no group meets in one task.
     Small groups of a language are judged together, and are only held to the fixed limits if
@@ -166,18 +183,37 @@ def quality_rules(
     off = with_group(judged, centre)
     mads = stored(off.groupBy(*group).agg(*[middle(F.abs(F.col(f) - F.col(f"mid_{f}"))).alias(f"mad_{f}") for f in FEATURES]))
     scale = with_group(centre, mads)
-    scored = with_group(judged, stored(scale)).withColumn("level", F.expr(level_sql(first_distance_sql())))
-    factor = None
-    for _ in range(STEPS + 1):
-        cut = stored(scored.groupBy(*group).agg(F.percentile("level", F.lit(SUPPORT)).alias("cut")))
-        close = with_group(scored.select(*group, "level", *FEATURES), cut).filter("level <= cut")
+    start = with_group(judged, stored(scale)).withColumn("level", F.expr(level_sql(first_distance_sql())))
+    fields = [*[f"mean_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i, j in _PAIRS]]
+
+    def factored(close: DataFrame, times: float | None = None) -> DataFrame:
         sums = close.groupBy(*group).agg(*[F.expr(sql).alias(name) for name, sql in sums_sql().items()])
-        factor = stored(_added(sums, factor_sql()).select(*group, *[f"mean_{i}" for i in range(len(FEATURES))], *[f"l_{i}_{j}" for i, j in _PAIRS]))
-        scored = _added(with_group(judged, factor), distance_sql()).withColumn("level", F.expr(level_sql("d2")))
-    medians = scored.groupBy(*group).agg(F.percentile("level", F.lit(0.5)).alias("mid"))
-    medians = stored(with_group(factor, medians))
+        return stored(_added(sums, factor_sql(times)).select(*group, *fields))
+
+    def measured(factor: DataFrame) -> DataFrame:
+        return _added(with_group(judged, factor), distance_sql()).withColumn("level", F.expr(level_sql("d2")))
+
+    def concentrated(support: float, times: float | None = None) -> DataFrame:
+        scored = start
+        for _ in range(STEPS + 1):
+            cut = stored(scored.groupBy(*group).agg(F.percentile("level", F.lit(support)).alias("cut")))
+            factor = factored(with_group(scored.select(*group, "level", *FEATURES), cut).filter("level <= cut"), times)
+            scored = measured(factor)
+        return factor
+
+    median = F.percentile("level", F.lit(0.5)).alias("mid")
+    factor = concentrated(SUPPORT)
+    medians = with_group(factor, measured(factor).groupBy(*group).agg(median))
+    half = factored(measured(concentrated(HALF, HALF_FACTOR)).filter(F.col("d2") <= WITHIN), WITHIN_FACTOR)
+    scored = measured(half)
+    half = stored(with_group(half, scored.filter(F.col("d2") <= WITHIN).groupBy(*group).agg(median)))
+    beyond = with_group(scored.select(*group, "d2"), half.select(*group, F.expr(scale_sql("mid")).alias("scale")))
+    junk = beyond.groupBy(*group).agg(F.avg((F.col("d2") / F.col("scale") > CUTOFF).cast("int")).alias("junk"))
+    junk = stored(junk.filter(F.col("junk") > 1 - SUPPORT).select(*group))
+    clean = medians.join(junk, null_safe(medians, junk), "left_anti")
+    medians = stored(clean.unionByName(with_group(half, junk)))
     scored = _added(with_group(rows, medians, "left"), distance_sql())
-    distance = F.when(~F.col("base_failed"), F.col("d2") / F.greatest(F.lit(1.0), F.expr(f"(exp((mid + 1) / 64) - 1) / {MEDIAN_DISTANCE}")))
+    distance = F.when(~F.col("base_failed"), F.col("d2") / F.expr(scale_sql("mid")))
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     scored = scored.withColumn("distance", distance)
     kept = ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)
