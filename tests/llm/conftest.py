@@ -7,7 +7,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 @pytest.fixture(scope="session")
 def real(spark):
     """A few hundred documents of the given tables, enough copies and passages among them."""
-    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet").cache()
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
 
 
 @pytest.fixture(scope="session")
