@@ -224,7 +224,7 @@ def view_count_split(spark, d):
     ).select(
         "event_id",
         F.date_format(date, "yyyy-MM-dd HH:mm:ss").alias("published"),
-        count.alias("view_count"),
+        pages.count_or_zero(count).alias("view_count"),
         pages.count_or_zero(F.lit("")).alias("comment_count"),
     )
 
