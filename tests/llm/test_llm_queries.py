@@ -32,7 +32,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+@pytest.mark.parametrize("name", sorted(set(ORACLES) - {"op11_hard_negatives"}))  # that one has no doc_id; its test is with its operator's
 def test_matches_sql(spark, duck, name):
     df = QUERIES[name](spark, FOLDER)
     result = duck.execute(ORACLES[name])
@@ -57,7 +57,7 @@ def test_rows_of_the_others(spark, name):
 
 
 def test_all_are_registered():
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 

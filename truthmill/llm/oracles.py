@@ -150,3 +150,26 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, dist
   NOT base_failed AND coalesce(distance, 0) <= {q.CUTOFF} AS kept
 FROM placed LEFT JOIN dist USING (doc_id)
 """
+
+
+def hard_negatives() -> str:
+    """Whole-number products are exact as doubles: components are far below 2**20."""
+    return """WITH whole AS (
+  SELECT row_number() OVER () AS row, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scores AS (
+  SELECT a.row AS a_row, a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM whole a JOIN whole b ON a.vec_id % 100 = 0 AND a.row <> b.row
+), positives AS (
+  SELECT *, row_number() OVER (PARTITION BY a_row ORDER BY score DESC, vec_id) AS slot FROM scores WHERE same
+  QUALIFY slot <= 5
+), negatives AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    CAST(row_number() OVER (PARTITION BY p.a_row, p.slot ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank
+  FROM positives p JOIN scores n ON p.a_row = n.a_row AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+  QUALIFY rank <= 10
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM negatives"""

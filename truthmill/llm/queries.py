@@ -7,7 +7,23 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from truthmill.llm import language_model, licenses, linedups, nearcopies, oracles, packing, quality, shards, substrings, suffixes, winnow
+from truthmill.functions.arrays import let
+from truthmill.llm import (
+    byte_pairs,
+    hard_negatives,
+    language_model,
+    licenses,
+    linedups,
+    nearcopies,
+    oracles,
+    packing,
+    periodic,
+    quality,
+    shards,
+    substrings,
+    suffixes,
+    winnow,
+)
 from truthmill.llm.repeats import hash_of
 
 
@@ -76,6 +92,54 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", hash_of("kept_text").alias("kept_sha256"))
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Anchors are the vectors with an id divisible by 100; every seventh id has the next label."""
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_pairs.encode(_documents(spark, folder), vocabulary, public_tokenizers.PATTERN)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return byte_pairs.decode(encoded, vocabulary).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256")
+    )
+
+
+def with_planted_periods(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): about a tenth of the texts go on with a period from some word, both by a hash of the id. A null id keeps its text."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.expr("h div 10")
+
+    def rewritten(words):
+        n = F.size(words).cast("long")
+        a = g % n
+        p = F.expr("1L") + F.call_function("div", n - a, F.lit(3) + g % 8)
+        place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, place(i))), " ")).otherwise("")
+
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    text = F.when(F.col("h") % 10 == 0, let(words, rewritten)).otherwise(F.col("text"))
+    return docs.select("doc_id", "text", h.alias("h")).select("doc_id", text.alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of the texts with planted periods, and the run of the greatest length over period."""
+    found = periodic.periodic_runs(with_planted_periods(_documents(spark, folder)))
+    by_exponent = F.array_sort(
+        "runs", lambda a, b: F.signum(b["length"] * a["period"] - a["length"] * b["period"]).cast("int")
+    )  # equal ones keep their order: by start, then period
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    best = F.get(by_exponent, F.lit(0))
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), lines.alias("lines"), "kept_text").select(
+        "doc_id", "n_runs", "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join("lines", ""), 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_interpolated_model": op1_interpolated_model,
     "op2_histogram_shards": op2_histogram_shards,
@@ -87,10 +151,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_copies": op8_near_copies,
     "op9_quality_rules": op9_quality_rules,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_byte_pairs": op12_byte_pairs,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op3_winnow_overlap": oracles.benchmark_overlap(),
     "op4_license_scan": oracles.license_scan(),
     "op7_line_dedup": oracles.line_dedup(),
     "op9_quality_rules": oracles.quality_rules(),
+    "op11_hard_negatives": oracles.hard_negatives(),
 }
