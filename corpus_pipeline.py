@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written and read again as the next
 one's docs. All but the last return the columns of ``documents``. Rows are told apart by
-``doc_id`` and a hash of the text: rows that repeat both are one document read twice and
-share its fate. Other columns of any name are carried through. An empty table gives an empty
+``doc_id`` and a hash of the text: rows that repeat both are one document read twice, of which
+near_dedup keeps one; in the other stages they share its fate. Other columns of any name are carried through. An empty table gives an empty
 table. A null text counts as empty, and so fails the quality rules.
 """
 
@@ -49,18 +49,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without repeated runs of lines. A document that loses all its lines with a word is dropped: nothing new is left of it."""
-    rows = linedups.with_kept_text(docs)
+    rows = linedups.with_kept_text(docs, long_words=linedups.LONG_WORDS)
     rows = rows.filter(F.col("_gone").isNull() | linedups.has_word(F.col("_kept_text")))
-    new = {"text": F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.col("_kept_text"))}
+    row = F.col("_row")
+    new = {"text": F.when(F.col("_gone").isNull(), row["text"]).otherwise(F.col("_kept_text"))}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("_kept_text"))
-    return rows.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+        new["n_chars"] = F.when(F.col("_gone").isNull(), row["n_chars"]).otherwise(F.length("_kept_text"))
+    return rows.select(*[new.get(c, row.getField(c)).alias(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    gone = nearcopies.near_copies(docs).filter(~F.col("kept"))
-    return _without(docs, stored(gone.select(F.col("doc_id").alias("_key"), F.col("text_hash").alias("_gone_mark")).distinct()))
+    """One row of each group of near copies: that of the smallest id, of equal ids that of the smallest text hash. Null ids come last."""
+    rows = stored(docs.select(F.monotonically_increasing_id().alias("number"), F.struct("*").alias("row")))
+    found = nearcopies.near_copies(rows.select("number", F.col("row.text").alias("text")), "number")
+    id_ = F.col("row.doc_id")
+    named = rows.select("number", F.struct(id_.isNull(), id_, F.xxhash64("row.text"), "number").alias("order"))
+    least = named.join(found.select("number", "component_id"), "number").groupBy("component_id").agg(F.min("order").alias("first"))
+    kept = stored(least.select("first.number"))
+    return rows.join(kept, "number", "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
