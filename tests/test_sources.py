@@ -68,3 +68,31 @@ def test_writers(spark, tmp_path):
     lines = pages.record_json(pages.extract_records(page)).select(F.from_json("json", "key string, content string").alias("r"))
     writers.write_json_lines(lines.select("r.*"), str(tmp_path / "records"))
     assert spark.read.json(str(tmp_path / "records")).first().content == "b"
+
+
+def test_lines_are_routed_by_one_write(spark, tmp_path):
+    lines = spark.createDataFrame([('{"a": 1}',), ('{"a": ',), ("[1]",), ('{"b": "é"}',), ('{"a": 1}',), (None,)], "value string")
+    kept, skipped = readers.route_json_lines(lines, str(tmp_path / "routed"))
+    assert sorted(r.value for r in kept.collect()) == ['{"a": 1}', '{"a": 1}', '{"b": "é"}']
+    assert sorted(r.value for r in skipped.collect()) == ["[1]", '{"a": ']
+    assert "PartitionFilters" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_come_with_the_write(spark, tmp_path):
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    side = writers.own_session(spark)
+    assert side.conf.get("spark.sql.shuffle.partitions") == "7" and side.conf.get("spark.checkpoint.dir") == spark.conf.get("spark.checkpoint.dir")
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    rows = side.range(100)
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def seen(x):
+        made.add(1)
+        return x
+
+    counts = writers.write_counted(rows.select(seen("id").alias("id")), str(tmp_path / "rows"), even=F.col("id") % 2 == 0, small=F.col("id") < 7)
+    assert counts == {"even": 50, "small": 7}
+    assert made.value == 100  # every row was made once
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 100
+    assert writers.write_counted(rows.limit(0), str(tmp_path / "none"), any=F.lit(True)) == {"any": 0}

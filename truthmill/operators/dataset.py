@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from truthmill.operators.shared import dense_index, stored
 
 # --- fixed values: labels, split weights, seed and sizes --------------------------
 CREDIBLE = 1.0
@@ -140,3 +142,23 @@ def one_set(sets: DataFrame, name: str) -> DataFrame:
 def sorted_by_content(df: DataFrame, key: str = "doc_id") -> DataFrame:
     """Delivery order. The key follows the text, so copies of one text can be cut apart."""
     return df.orderBy("content", key)
+
+
+def delivered_ranges(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """(range, first, last, n, in_order) of the delivery order, as it was written.
+
+    The rows are sorted by ranges and written; each range of ``rows`` rows of what was written then tells its first and last
+    key, its length, and whether every row stands behind the one before it, the last row of the earlier range included. No task sorts more than its own range.
+    """
+    numbered = dense_index(df.select("content", key), "content", key)
+    place = F.struct("content", key)
+    part = numbered.select("content", key, "idx", F.floor(F.col("idx") / rows).alias("range"))
+    inside = Window.partitionBy("range").orderBy("idx")
+    part = stored(part.withColumn("_behind", F.coalesce(place >= F.lag(place).over(inside), F.lit(True))))
+    ends = part.groupBy("range").agg(
+        F.min_by(key, "idx").alias("first"), F.max_by(key, "idx").alias("last"), F.count("*").alias("n"), F.bool_and("_behind").alias("_sorted"),
+        F.min_by(place, "idx").alias("_first"), F.max_by(place, "idx").alias("_last"),
+    )
+    before = ends.select((F.col("range") + 1).alias("range"), F.col("_last").alias("_before"))
+    joined = ends.join(before, "range", "left")
+    return joined.select("range", "first", "last", "n", (F.col("_sorted") & F.coalesce(F.col("_first") >= F.col("_before"), F.lit(True))).alias("in_order"))

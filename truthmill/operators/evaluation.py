@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from truthmill.operators.shared import running_sums
+from truthmill.sources.writers import write_counted
 
 CLASSES = (0.0, 1.0)
 
@@ -30,6 +31,13 @@ def confusion_counts(scored: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def write_scored(scored: DataFrame, path: str) -> dict[str, int]:
+    """Write scored rows and return ``confusion_counts``' cells and the rows given to class 0, counted while they are written."""
+    label, prediction = F.col("label"), F.col("prediction")
+    cells = {name: (label == a) & (prediction == p) for name, a, p in (("tp", 0.0, 0.0), ("fp", 1.0, 0.0), ("fn", 0.0, 1.0), ("tn", 1.0, 1.0))}
+    return write_counted(scored, path, predicted_0=prediction == 0.0, predicted_0_correct=cells["tp"], **cells)
+
+
 def confusion_matrix(scored: DataFrame, *keys: str) -> DataFrame:
     """(keys, label, prediction, n): always the four cells, empty ones as 0."""
     cells = F.array(

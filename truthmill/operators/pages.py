@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,6 +13,7 @@ from truthmill.functions.html import (
     select_markup,
     visible_markup,
 )
+from truthmill.sources.writers import write_counted
 
 
 @dataclass(frozen=True)
@@ -134,15 +135,26 @@ def _by_site(sites: tuple[SiteProfile, ...], value: Callable[[SiteProfile], Colu
     return out
 
 
-def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES) -> DataFrame:
+#: Columns of a record, and the page fields that each is made from.
+FIELDS = {
+    "key": (), "url": (), "html": (), "title": ("title",), "content": ("content",), "category": (),
+    "publish_date": ("date_1", "date_2", "dated_views"), "view_count": ("views", "dated_views"), "comment_count": ("comments",),
+    "reject_reason": ("content", "date_1", "date_2", "dated_views", "views", "comments"),
+}
+
+
+def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES, fields: Sequence[str] = tuple(FIELDS)) -> DataFrame:
     """One record per page by the first site whose host fits, with a ``reject_reason``.
 
     A page that fails is kept and marked, and the rest go on: ``bad_url`` when the
     address does not parse or no site fits, ``bad_date`` and ``bad_count`` when a date or counter the
-    site must have does not parse, ``no_content`` when no text was found. Every field is an
-    expression of its own, so fields that are not asked for are not looked for.
+    site must have does not parse, ``no_content`` when no text was found. ``fields`` names the columns wanted: the expressions
+    of the others are not even built, which for a handful of sites takes longer than small tables take to read.
     """
-    rows = pages.withColumn("_host", url_part(F.col("url"), "HOST")).withColumn("_markup", visible_markup(F.col("html")))
+    wanted = {part for name in fields for part in FIELDS[name]}
+    rows = pages.withColumn("_host", url_part(F.col("url"), "HOST"))
+    if wanted or "category" in fields:
+        rows = rows.withColumn("_markup", visible_markup(F.col("html")))
 
     def markup(selector: Callable[[SiteProfile], str]) -> Column:
         return _by_site(sites, lambda p: select_markup(F.col("_markup"), selector(p)) if selector(p) else F.lit(""))
@@ -150,14 +162,16 @@ def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES) ->
     def date_part(i: int) -> Callable[[SiteProfile], str]:
         return lambda p: p.dates[i] if i < len(p.dates) else ""
 
-    text = {
-        name: markup_text(markup(selector))
-        for name, selector in {
-            "title": lambda p: p.title, "content": lambda p: p.content, "date_1": date_part(0), "date_2": date_part(1),
-            "views": lambda p: p.views, "comments": lambda p: p.comments, "dated_views": lambda p: p.dated_views,
-        }.items()
+    selectors: dict[str, Callable[[SiteProfile], str]] = {
+        "title": lambda p: p.title, "content": lambda p: p.content, "date_1": date_part(0), "date_2": date_part(1),
+        "views": lambda p: p.views, "comments": lambda p: p.comments, "dated_views": lambda p: p.dated_views,
     }
 
+    def text(name: str) -> Column:
+        # A field that no site has is the same for all: nothing to look for.
+        found = any(selectors[name](p) for p in sites)
+        return markup_text(markup(selectors[name])) if found else _by_site(sites, lambda p: F.lit(""))
+
     def category(p: SiteProfile) -> Column:
         if not p.category:
             return F.lit("")
@@ -167,57 +181,78 @@ def extract_records(pages: DataFrame, sites: tuple[SiteProfile, ...] = SITES) ->
         links = F.filter(link_markup(inner), lambda a: a.contains(p.category_holding))
         return F.array_join(F.transform(links, markup_text), ",")
 
-    rows = rows.withColumns({f"_{name}": value for name, value in text.items()})
-    dated, dated_views = dated_view_parts(F.col("_dated_views"))
-    seen = F.when(F.col("_views") != "", F.col("_views")).otherwise(dated_views)
-    date = F.coalesce(parse_date(F.concat_ws(" ", "_date_1", "_date_2")), dated)
-    views, comments = F.trim(seen).try_cast("long"), F.trim("_comments").try_cast("long")
-    article = _by_site(sites, lambda p: is_article(F.col("url"), p.article))
-    content = F.when(article, F.col("_content")).otherwise("")
-    bad_count = _by_site(sites, lambda p: F.lit(p.needs_views)) & views.isNull() | (F.col("_comments") != "") & comments.isNull()
-    reason = (
-        F.when(article.isNull(), "bad_url")
-        .when((content == "") & _by_site(sites, lambda p: F.lit(bool(p.article))), "no_content")
-        .when(_by_site(sites, lambda p: F.lit(p.needs_date)) & date.isNull(), "bad_date")
-        .when(bad_count, "bad_count")
-        .when(content == "", "no_content")
-    )
+    rows = rows.withColumns({f"_{name}": text(name) for name in selectors if name in wanted})
+
+    def content() -> Column:
+        return F.when(_by_site(sites, lambda p: is_article(F.col("url"), p.article)), F.col("_content")).otherwise("")
+
+    def date() -> Column:
+        return F.coalesce(parse_date(F.concat_ws(" ", "_date_1", "_date_2")), dated_view_parts(F.col("_dated_views"))[0])
+
+    def views() -> Column:
+        dated_views = dated_view_parts(F.col("_dated_views"))[1]
+        return F.trim(F.when(F.col("_views") != "", F.col("_views")).otherwise(dated_views)).try_cast("long")
+
+    def comments() -> Column:
+        return F.trim("_comments").try_cast("long")
+
+    def reason() -> Column:
+        article = _by_site(sites, lambda p: is_article(F.col("url"), p.article))
+        bad_count = _by_site(sites, lambda p: F.lit(p.needs_views)) & views().isNull() | (F.col("_comments") != "") & comments().isNull()
+        return (
+            F.when(article.isNull(), "bad_url")
+            .when((content() == "") & _by_site(sites, lambda p: F.lit(bool(p.article))), "no_content")
+            .when(_by_site(sites, lambda p: F.lit(p.needs_date)) & date().isNull(), "bad_date")
+            .when(bad_count, "bad_count")
+            .when(content() == "", "no_content")
+        )
+
     zero = F.lit(0).cast("long")
-    return rows.select(
-        F.col("page_id").alias("key"),
-        "url",
-        "html",
-        F.col("_title").alias("title"),
-        content.alias("content"),
-        _by_site(sites, category).alias("category"),
-        date.alias("publish_date"),
-        F.coalesce(views, zero).alias("view_count"),
-        F.coalesce(comments, zero).alias("comment_count"),
-        reason.alias("reject_reason"),
+    columns: dict[str, Callable[[], Column]] = {
+        "key": lambda: F.col("page_id"), "url": lambda: F.col("url"), "html": lambda: F.col("html"), "title": lambda: F.col("_title"),
+        "content": content, "category": lambda: _by_site(sites, category), "publish_date": date,
+        "view_count": lambda: F.coalesce(views(), zero), "comment_count": lambda: F.coalesce(comments(), zero), "reject_reason": reason,
+    }
+    return rows.select(*[columns[name]().alias(name) for name in fields])
+
+
+def _record_fields() -> Column:
+    return F.to_json(
+        F.struct(
+            F.col("key").cast("string").alias("key"),
+            "url",
+            "html",
+            "title",
+            "content",
+            "category",
+            F.date_format("publish_date", "yyyy-MM-dd HH:mm:ss").alias("publishDate"),
+            F.col("view_count").alias("viewCount"),
+            F.col("comment_count").alias("commentCount"),
+        )
     )
 
 
 def record_json(records: DataFrame) -> DataFrame:
     """Record per JSON line; null fields are left out."""
-    return records.select(
-        "key",
-        F.to_json(
-            F.struct(
-                F.col("key").cast("string").alias("key"),
-                "url",
-                "html",
-                "title",
-                "content",
-                "category",
-                F.date_format("publish_date", "yyyy-MM-dd HH:mm:ss").alias("publishDate"),
-                F.col("view_count").alias("viewCount"),
-                F.col("comment_count").alias("commentCount"),
-            )
-        ).alias("json"),
-    )
+    return records.select("key", _record_fields().alias("json"))
+
+
+#: Why a page is rejected; ``ok`` if it is not.
+OUTCOMES = ("ok", "bad_url", "no_content", "bad_date", "bad_count")
+
+
+def outcome() -> Column:
+    return F.coalesce("reject_reason", F.lit("ok"))
+
+
+def write_records(records: DataFrame, path: str) -> dict[str, int]:
+    """Write the records as JSON lines, a folder for each outcome, and return the pages of each: counted in the same pass."""
+    rows = records.select("key", outcome().alias("outcome"), _record_fields().alias("value"))
+    counts = {name: F.col("outcome") == name for name in OUTCOMES}
+    return write_counted(rows.select("value", "outcome"), path, "text", ["outcome"], **counts)
 
 
 def reject_counts(records: DataFrame) -> DataFrame:
-    return records.groupBy(F.coalesce("reject_reason", F.lit("ok")).alias("outcome")).agg(
+    return records.groupBy(outcome().alias("outcome")).agg(
         F.count("*").alias("pages")
     )

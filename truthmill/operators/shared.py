@@ -5,12 +5,16 @@ from __future__ import annotations
 import atexit
 import uuid
 from collections import defaultdict
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BROADCAST_ROWS = 200_000
 #: Folders of the stored tables that are not released yet, by application.
 _STORED: dict[str, list[str]] = defaultdict(list)
+#: What ``made_once`` keeps, by application.
+_MADE: dict[str, dict[tuple, Any]] = defaultdict(dict)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession) -> str:
+    """A path of its own in the shared folder, removed by ``release``."""
+    path = f"{shared_folder(spark)}/truthmill/{uuid.uuid4().hex}"
+    app = spark.sparkContext.applicationId
+    if app not in _STORED:
+        atexit.register(_release_at_end, spark, app)
+    _STORED[app].append(path)
+    return path
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared folder and read them from there on.
 
@@ -30,17 +44,32 @@ def stored(df: DataFrame) -> DataFrame:
     stays until ``release``.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/truthmill/{uuid.uuid4().hex}"
-    app = spark.sparkContext.applicationId
-    if app not in _STORED:
-        atexit.register(_release_at_end, spark, app)
-    _STORED[app].append(path)
+    path = new_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made_once(spark: SparkSession, key: tuple, make: Callable[[], Any]) -> Any:
+    """What ``make`` returns, made at the first call with this key and kept by the driver until ``release``.
+
+    For fits that several queries share. The key must tell inputs apart, so it should hold ``table_state`` of each.
+    """
+    kept = _MADE[spark.sparkContext.applicationId]
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
+def table_state(df: DataFrame) -> tuple:
+    """What tells one content of a table's files from another: their number, their last change and their size."""
+    files = df.select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct()
+    row = files.agg(F.count("*"), F.max("file_modification_time"), F.sum("file_size")).first()
+    return tuple(row)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the tables this application has stored; results are lazy, so call it once they are written."""
+    _MADE.pop(spark.sparkContext.applicationId, None)
     paths = _STORED.pop(spark.sparkContext.applicationId, [])
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:

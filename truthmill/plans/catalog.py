@@ -8,15 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import HashingTF
+from pyspark.ml.feature import HashingTF, Word2VecModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from truthmill.functions import credibility as cred
 from truthmill.functions import tokens as tok
 from truthmill.functions.arrays import blank_out, keep
 from truthmill.lexicon import MULTILINGUAL as LEX
-from truthmill.operators import corpus, dataset, embedding, evaluation, features, pages
-from truthmill.operators.shared import stored
+from truthmill.operators import cooccurrence, corpus, dataset, embedding, evaluation, features, hinge, neighbours, pages, pairs
+from truthmill.operators.shared import made_once, new_path, stored, table_state
 from truthmill.plans import models
 from truthmill.sources import readers, writers
 
@@ -25,6 +25,7 @@ QUERIES: dict[str, Query] = {}
 
 CREDIBLE_CATEGORY = "en"
 SCORE_CUT = 0.11
+SIMILAR_ARTICLES = 0.5
 SITE_ARTICLE = r"^https?://[^/]+/(en|fr)/[0-9]+([/?#.].*)?$"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абцдефгхийклмнопярстувътез"
@@ -150,6 +151,15 @@ def jsonl_repair(spark, d):
     )
 
 
+@query
+def jsonl_repaired_lines(spark, d):
+    """The lines that parse, as they were written next to the others and read back."""
+    cut = F.when(F.col("value") > 20, F.expr("left(props, length(props) - 1)")).otherwise(F.col("props"))
+    lines = events(spark, d, "value", "props").select(F.concat(F.lit('{"id":'), "event_id", F.lit(',"p":'), cut, F.lit("}")).alias("value"))
+    kept, _ = readers.route_json_lines(lines, new_path(spark))
+    return kept.withColumnRenamed("value", "line")
+
+
 # ---- page extraction -------------------------------------------------------------------
 
 
@@ -157,8 +167,8 @@ def page_table(spark: SparkSession, d: str) -> DataFrame:
     return readers.spread(readers.read_pages(spark, f"{d}/pages.parquet"), "page_id")
 
 
-def page_records(spark: SparkSession, d: str) -> DataFrame:
-    return pages.extract_records(page_table(spark, d))
+def page_records(spark: SparkSession, d: str, *fields: str) -> DataFrame:
+    return pages.extract_records(page_table(spark, d), fields=fields or tuple(pages.FIELDS))
 
 
 @query
@@ -172,29 +182,44 @@ def page_url_parts(spark, d):
 
 @query
 def page_extract(spark, d):
-    return page_records(spark, d).select("key", "title", "content")
+    return page_records(spark, d, "key", "title", "content")
 
 
 @query
 def page_link_list(spark, d):
-    return page_records(spark, d).select("key", "category")
+    return page_records(spark, d, "key", "category")
 
 
 @query
 def page_article_filter(spark, d):
     content = pages.article_content(F.col("url"), F.col("content"), SITE_ARTICLE)
-    return page_records(spark, d).select(
+    return page_records(spark, d, "key", "url", "content").select(
         "key", pages.is_article(F.col("url"), SITE_ARTICLE).alias("is_article"), content.alias("content")
     )
 
 
-@query
-def page_reject_counts(spark, d):
+def broken_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Records of pages of which some have no address that parses and some are no articles."""
     site = pages.SiteProfile(
         host=".", title="title", content="article", article=SITE_ARTICLE
     )
     broken = F.replace("url", F.lit("#"), F.lit(" #"))
-    return pages.reject_counts(pages.extract_records(page_table(spark, d).withColumn("url", broken), (site,)))
+    return pages.extract_records(page_table(spark, d).withColumn("url", broken), (site,))
+
+
+@query
+def page_reject_counts(spark, d):
+    return pages.reject_counts(broken_pages(spark, d))
+
+
+def _counted(spark: SparkSession, counts: dict[str, int]) -> DataFrame:
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{name} long" for name in counts))
+
+
+@query
+def page_write_counts(spark, d):
+    """Pages of each outcome, counted by the write that puts the records as JSON lines into a folder for each."""
+    return _counted(spark, pages.write_records(broken_pages(writers.own_session(spark), d), new_path(spark)))
 
 
 @query
@@ -290,6 +315,12 @@ def sorted_corpus(spark, d):
     return dataset.sorted_by_content(docs)
 
 
+@query
+def delivered_ranges(spark, d):
+    """The sorted corpus as it was written, a thousand rows a range: first and last document, length, and proof of the order."""
+    return dataset.delivered_ranges(table(spark, d, "documents", "doc_id", F.col("text").alias("content")), 1000)
+
+
 @query
 def token_length(spark, d):
     docs = documents(spark, d, "text")
@@ -497,6 +528,17 @@ def similar_news(spark, d):
     )
 
 
+@query
+def similar_pairs(spark, d):
+    """Unreliable and credible articles of similar wording, copies as one; every article's class is in ``article_classes``."""
+    return pairs.similar_articles(news(spark, d), normalised_words("content"), SIMILAR_ARTICLES)
+
+
+@query
+def article_classes(spark, d):
+    return pairs.class_members(news(spark, d), normalised_words("content"), "doc_id", "label")
+
+
 # ---- vectors ---------------------------------------------------------------------------
 
 
@@ -528,6 +570,22 @@ def cosine_topk(spark, d):
     return embedding.most_similar(vectors(spark, d), 5).withColumn("cosine", F.round("cosine", 6))
 
 
+def asked_vectors():
+    return F.col("vec_id") % 20 == 0
+
+
+@query
+def nearest_vectors(spark, d):
+    """The five vectors nearest to each vector with an id divisible by 20, among all."""
+    return neighbours.nearest(table(spark, d, "embeddings"), asked_vectors(), 5)
+
+
+@query
+def nearest_vectors_index(spark, d):
+    """The same from an index of random hyperplanes; about 97 of 100 are found, with exact cosines."""
+    return neighbours.nearest_by_index(table(spark, d, "embeddings"), asked_vectors(), 5)
+
+
 @query
 def hashing_tf(spark, d):
     """Documents and occurrences of every hash bucket over the bigrams."""
@@ -543,9 +601,13 @@ def corpus_tokens(spark: SparkSession, d: str) -> DataFrame:
 
 
 def corpus_vectors(spark: SparkSession, d: str):
-    """Word vectors learnt from all documents, with the standard settings."""
-    kept = stored(corpus_tokens(spark, d))
-    return kept, models.train_word_vectors(kept)
+    """Word vectors learnt from all documents, with the standard settings: fitted once for all queries that use them."""
+
+    def fit():
+        kept = stored(corpus_tokens(spark, d))
+        return kept, models.train_word_vectors(kept)
+
+    return made_once(spark, ("corpus_vectors", d, table_state(table(spark, d, "documents"))), fit)
 
 
 @query
@@ -560,6 +622,36 @@ def w2v_synonyms(spark, d):
     return model.findSynonyms("the", 10)
 
 
+@query
+def w2v_nearest_words(spark, d):
+    """The five nearest words of every tenth word by a hash, all at once."""
+    _, model = corpus_vectors(spark, d)
+    return models.nearest_words(models.word_table(model), F.pmod(F.xxhash64("word"), F.lit(10)) == 0, 5)
+
+
+@query
+def word2vec_saved(spark, d):
+    """The word vectors' table from a model that was saved and loaded again."""
+    _, model = corpus_vectors(spark, d)
+    path = new_path(spark)
+    writers.save_model(model, path)
+    return models.word_table(Word2VecModel.load(path))
+
+
+@query
+def cooccurrence_counts(spark, d):
+    """Pairs of words up to five tokens apart, over the whole corpus."""
+    return cooccurrence.cooccurrences(documents(spark, d, "text"), tok.split_tokens(F.col("text")))
+
+
+@query
+def cooccurrence_docs(spark, d):
+    """Mean word vectors of all documents, from the factorised co-occurrences: no vocabulary on the driver."""
+    docs, tokens = documents(spark, d, "text"), tok.split_tokens(F.col("text"))
+    weights = cooccurrence.positive_information(stored(cooccurrence.cooccurrences(docs, tokens)))
+    return cooccurrence.mean_word_vectors(docs, tokens, cooccurrence.factorise(weights, size=50).words, "doc_id")
+
+
 @query
 def word2vec_train_set(spark, d):
     """Word vectors with the library's own settings, learnt from the training set and given to its documents."""
@@ -615,6 +707,30 @@ def model_svm(spark, d):
     return _model_scores(spark, d, "svm")
 
 
+def hinge_rows(spark: SparkSession, d: str) -> tuple[DataFrame, int]:
+    """Stored TF-IDF vectors with their part, and the length of the vectors."""
+    rows = stored(tfidf_rows(spark, d))
+    size = rows.select(F.coalesce(F.max(F.unwrap_udt("features")["size"]), F.lit(0))).first()[0]
+    return rows, size
+
+
+@query
+def model_svm_l1(spark, d):
+    """Scores of the L1-penalised hinge classifier on the held-back part."""
+    rows, size = hinge_rows(spark, d)
+    return hinge.fit_hinge_l1(rows.filter("part = 0"), size).score(rows.filter("part = 1"), "doc_id")
+
+
+@query
+def svm_l1_weights(spark, d):
+    """Weights that are not 0 after three steps, by place in the vocabulary."""
+    rows, size = hinge_rows(spark, d)
+    model = hinge.fit_hinge_l1(rows.filter("part = 0"), size, steps=3, reg=0.02, tolerance=0.0)
+    at = model.weights.nonzero()[0]
+    weights = [(int(i), float(model.weights[i])) for i in at]
+    return spark.createDataFrame(weights, "idx long, weight double").withColumn("weight", F.round("weight", 6))
+
+
 @query
 def nb_theta(spark, d):
     counts = corpus.class_counts(news(spark, d), terms()).filter(F.col("cnt") > corpus.MIN_COUNT)
@@ -666,6 +782,19 @@ def tune_cv(spark, d):
     return _average_areas(spark, tuned.avgMetrics)
 
 
+@query
+def tune_stages(spark, d):
+    """Vector size, n, number of hashed features and elastic net as axes of one grid; equal beginnings are fitted once."""
+    train = dataset.one_set(all_sets(spark, d), "train")
+    rows = train.select("doc_id", "label", tok.split_tokens(F.col("content")).alias("tokens"))
+    stages, axes = models.text_tuning_stages()
+    grid, points = models.stage_grid(**axes)
+    areas = models.tune_stages(stages, grid, rows).areas
+    shown = [(i, *point.values(), float(area)) for i, (point, area) in enumerate(zip(points, areas))]
+    schema = "grid_point int, vector_size int, min_count int, n int, num_features int, elastic_net double, area_under_roc double"
+    return spark.createDataFrame(shown, schema)
+
+
 @query
 def fold_assignment(spark, d):
     return table(spark, d, "documents", "doc_id").select(
@@ -695,6 +824,12 @@ def binary_metrics(spark, d):
     return evaluation.binary_metrics(evaluation.confusion_counts(scored_news(spark, d)))
 
 
+@query
+def scored_write_counts(spark, d):
+    """The confusion cells and the rows given to class 0, counted by the write of the scored rows."""
+    return _counted(spark, evaluation.write_scored(scored_news(writers.own_session(spark), d), new_path(spark)))
+
+
 @query
 def eval_by_dataset(spark, d):
     counts = evaluation.confusion_counts(scored(all_sets(spark, d)), "dataset")

@@ -281,6 +281,12 @@ WITH lines AS (
 SELECT event_type, count(*) FILTER (json_valid(v)) AS kept, count(*) FILTER (NOT json_valid(v)) AS skipped
 FROM lines GROUP BY event_type"""
 
+ORACLES["jsonl_repaired_lines"] = """
+WITH lines AS (
+  SELECT '{"id":' || event_id || ',"p":' || CASE WHEN value > 20 THEN left(props, length(props) - 1) ELSE props END || '}' AS line FROM events
+)
+SELECT line FROM lines WHERE json_valid(line)"""
+
 ORACLES["page_url_parts"] = r"""
 SELECT page_id,
   regexp_extract(url, '^([a-z]+)://', 1) AS protocol,
@@ -304,6 +310,13 @@ SELECT CASE WHEN contains(url, '#') THEN 'bad_url'
             ELSE 'ok' END AS outcome, count(*) AS pages
 FROM page GROUP BY 1"""
 
+ORACLES["page_write_counts"] = f"""WITH {PAGES}
+SELECT count(*) FILTER (url NOT LIKE '%#%' AND regexp_matches(url, '{ARTICLE_URL}') AND content <> '') AS ok,
+  count(*) FILTER (contains(url, '#')) AS bad_url,
+  count(*) FILTER (NOT contains(url, '#') AND (NOT regexp_matches(url, '{ARTICLE_URL}') OR content = '')) AS no_content,
+  0::BIGINT AS bad_date, 0::BIGINT AS bad_count
+FROM page"""
+
 ORACLES["publish_date_parse"] = """
 SELECT o_orderkey,
   CASE o_orderstatus
@@ -346,6 +359,10 @@ SELECT dataset, doc_id, CAST(label AS DOUBLE) AS label, CAST(length(content) AS
 
 ORACLES["sorted_corpus"] = "SELECT doc_id, text AS content FROM documents ORDER BY text, doc_id"
 
+ORACLES["delivered_ranges"] = """
+WITH numbered AS (SELECT doc_id, row_number() OVER (ORDER BY text, doc_id) - 1 AS idx FROM documents)
+SELECT CAST(idx // 1000 AS BIGINT) AS range, arg_min(doc_id, idx) AS first, arg_max(doc_id, idx) AS last, count(*) AS n, true AS in_order
+FROM numbered GROUP BY 1"""
 ORACLES["token_length"] = f"""
 SELECT doc_id, CAST(greatest(len({split_list('text')}), 1) AS DOUBLE) AS length FROM documents"""
 
@@ -503,6 +520,24 @@ SELECT doc_id,
   round(sum(tf * c0) / (sqrt(sum(tf * tf)) * sqrt((SELECT sum(c0 * c0) FROM sums))), 6) AS to_unreliable,
   round(sum(tf * c1) / (sqrt(sum(tf * tf)) * sqrt((SELECT sum(c1 * c1) FROM sums))), 6) AS to_credible
 FROM bag JOIN sums USING (word) GROUP BY doc_id"""
+ARTICLES = f"""{NEWS},
+words AS ({unnested('news', normal_words('content'), 'doc_id, label')}),
+bag AS (SELECT doc_id, label, word, count(*) AS tf FROM words GROUP BY ALL),
+spelt AS (SELECT doc_id, label, string_agg(word || ' ' || tf, ' ' ORDER BY word) AS s FROM bag GROUP BY doc_id, label),
+classes AS (SELECT label, s, min(doc_id) AS id, count(*) AS articles FROM spelt GROUP BY label, s)"""
+ORACLES["article_classes"] = f"WITH {ARTICLES} SELECT doc_id, id, label FROM spelt JOIN classes USING (label, s)"
+ORACLES["similar_pairs"] = f"""WITH {ARTICLES},
+idf AS (SELECT word, ln(((SELECT count(*) FROM spelt) + 1.0) / (count(*) + 1.0)) AS idf FROM bag GROUP BY word),
+weights AS (SELECT id, c.label, articles, word, tf * idf AS w FROM classes c JOIN bag b ON b.doc_id = c.id JOIN idf USING (word)),
+lengths AS (SELECT id, sqrt(sum(w * w)) AS length FROM weights GROUP BY id),
+dots AS (
+  SELECT u.id AS unreliable_id, c.id AS credible_id, any_value(u.articles) AS unreliable_articles,
+    any_value(c.articles) AS credible_articles, sum(u.w * c.w) AS dot
+  FROM weights u JOIN weights c ON u.word = c.word AND u.label = 0 AND c.label = 1 GROUP BY u.id, c.id
+)
+SELECT unreliable_id, credible_id, unreliable_articles, credible_articles, round(dot / (a.length * b.length), 6) AS cosine
+FROM dots JOIN lengths a ON a.id = unreliable_id JOIN lengths b ON b.id = credible_id
+WHERE round(dot / (a.length * b.length), 6) >= 0.5"""
 ORACLES["nb_theta"] = f"""WITH {TERMS},
 totals AS (SELECT sum(cnt0) AS t0, sum(cnt1) AS t1, count(*) AS v FROM vocab)
 SELECT 0.0::DOUBLE AS label, word, round(ln((cnt0 + 1.0) / (t0 + v)), 6) AS theta FROM vocab, totals
@@ -531,6 +566,52 @@ ORACLES["cosine_topk"] = f"""WITH {SIMILAR},
 ranked AS (SELECT label, vec_id, c, row_number() OVER (PARTITION BY label ORDER BY c DESC, vec_id) AS rank FROM nearness)
 SELECT label, vec_id, round(c, 6) AS cosine, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 5"""
 
+ORACLES["nearest_vectors"] = """WITH units AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_inner_product(v, v)) AS length FROM embeddings
+),
+scored AS (
+  SELECT q.vec_id AS query, r.vec_id AS neighbour, round(list_inner_product(q.v, r.v) / (q.length * r.length), 6) AS cosine
+  FROM units q JOIN units r ON q.vec_id % 20 = 0 AND q.vec_id <> r.vec_id
+)
+SELECT query, neighbour, cosine, CAST(row_number() OVER (PARTITION BY query ORDER BY cosine DESC, neighbour) AS INT) AS rank
+FROM scored QUALIFY rank <= 5"""
+
+
+def _hinge_steps(steps: int, reg: float) -> str:
+    """Gradient steps on the mean hinge loss with soft thresholding, from the definition: step i is 1 / sqrt(i) long."""
+    sql = "w0 AS (SELECT idx, 0.0::DOUBLE AS weight FROM (SELECT DISTINCT idx FROM cells))"
+    for i in range(1, steps + 1):
+        step = f"(1.0 / sqrt({i}.0))"
+        sql += f""",
+margin{i} AS (SELECT doc_id, side, sum(x * weight) AS m FROM cells JOIN w{i - 1} USING (idx) GROUP BY doc_id, side),
+moved{i} AS (
+  SELECT idx, weight + {step} * coalesce(pull, 0) / (SELECT count(*) FROM fitted) AS weight
+  FROM w{i - 1} LEFT JOIN (
+    SELECT idx, sum(side * x) AS pull FROM cells JOIN margin{i} USING (doc_id, side) WHERE side * m < 1 GROUP BY idx
+  ) USING (idx)
+),
+w{i} AS (SELECT idx, sign(weight) * greatest(abs(weight) - {reg} * {step}, 0) AS weight FROM moved{i})"""
+    return sql
+
+
+ORACLES["svm_l1_weights"] = f"""WITH {TERMS},
+fitted AS (SELECT doc_id, 2 * label - 1 AS side FROM news WHERE {U11} < 0.7),
+fit_words AS (SELECT word, count(*) AS cnt FROM terms JOIN fitted USING (doc_id) GROUP BY word HAVING count(*) > 10),
+numbered AS (SELECT word, cnt, row_number() OVER (ORDER BY word) - 1 AS idx FROM fit_words),
+bag AS (SELECT doc_id, word, count(*) AS tf FROM terms GROUP BY doc_id, word),
+cells AS (
+  SELECT doc_id, side, idx, sqrt(tf) * (ln((SELECT count(*) FROM fitted) / (cnt + 1.0)) + 1) AS x
+  FROM bag JOIN fitted USING (doc_id) JOIN numbered USING (word)
+),
+{_hinge_steps(3, 0.02)}
+SELECT CAST(idx AS BIGINT) AS idx, round(weight, 6) AS weight FROM w3 WHERE weight <> 0"""
+
+ORACLES["cooccurrence_counts"] = f"""WITH words AS ({unnested('documents', split_list('text'), 'doc_id')}),
+known AS (SELECT word FROM words GROUP BY word HAVING count(*) >= 20)
+SELECT least(x.word, y.word) AS a, greatest(x.word, y.word) AS b, count(*) AS n
+FROM words x JOIN words y ON x.doc_id = y.doc_id AND y.pos > x.pos AND y.pos <= x.pos + 5
+WHERE x.word IN (SELECT word FROM known) AND y.word IN (SELECT word FROM known) GROUP BY 1, 2"""
+
 # ---- evaluation -------------------------------------------------------------------------
 
 CELL_SUMS = """
@@ -571,6 +652,7 @@ FROM grid g LEFT JOIN scored s ON g.label = s.label AND g.prediction = s.predict
 ORACLES["per_label_metrics"] = f"{CM} {_label_rows()}"
 ORACLES["binary_metrics"] = f"""{CM}
 SELECT tp, fp, fn, tn, {BINARY}, tp + fp AS predicted_0, tp AS predicted_0_correct FROM cm"""
+ORACLES["scored_write_counts"] = f"{CM} SELECT tp + fp AS predicted_0, tp AS predicted_0_correct, tp, fp, fn, tn FROM cm"
 ORACLES["eval_by_dataset"] = f"""{CM_SETS}
 SELECT dataset, tp, fp, fn, tn, {BINARY}, tp + fp AS predicted_0, tp AS predicted_0_correct FROM cm"""
 ORACLES["eval_report"] = f"""{CM_SETS},

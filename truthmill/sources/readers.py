@@ -97,3 +97,11 @@ def is_json_object(line: Column) -> Column:
 def repair_json_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     """Every line with a ``parses`` flag; keep the true ones, count the false ones."""
     return lines.withColumn("parses", F.coalesce(is_json_object(F.col(column)), F.lit(False)))
+
+
+def route_json_lines(lines: DataFrame, path: str, column: str = "value") -> tuple[DataFrame, DataFrame]:
+    """(kept, skipped) lines: one read, one write that puts good and bad lines into folders of their own, read back."""
+    flagged = repair_json_lines(lines, column).select(F.col(column).alias("value"), "parses").filter("value is not null")
+    flagged.write.partitionBy("parses").text(path)
+    written = lines.sparkSession.read.schema("value string, parses boolean").text(path)
+    return written.filter("parses").select("value"), written.filter(~F.col("parses")).select("value")
