@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from truthmill.llm.textarrays import BLANKS, Rolling, pieces, signed, window_minima, words
+from truthmill.llm.textarrays import BLANKS, Rolling, pieces, signed, window_minima, word_hashes, words
 from truthmill.operators.shared import stored
 
 #: A minimiser of more super-windows than this is dealt to several parts of about as many.
@@ -40,7 +40,7 @@ class Units:
 
     def __init__(self, by_words: bool):
         self.by_words = by_words
-        self.rolls = [(Rolling(1), Rolling(3)), (Rolling(2), Rolling(4))]
+        self.rolls = (Rolling(3), Rolling(4)) if by_words else (Rolling(1), Rolling(2))
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> None:
         self.data = data
@@ -56,13 +56,11 @@ class Units:
 
     def sums(self, which: int) -> np.ndarray:
         """Prefix sums of one of the two hashes over the units."""
-        inner, outer = self.rolls[which]
-        if not self.by_words:
-            return inner.sums(self.data)
-        return outer.sums(inner.stretch(inner.sums(self.data), self.start, self.end))
+        units = word_hashes(self.data, self.start, self.end, which + 1) if self.by_words else self.data
+        return self.rolls[which].sums(units)
 
     def hashes(self, which: int, sums: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-        return self.rolls[which][self.by_words].stretch(sums, at, at + length)
+        return self.rolls[which].stretch(sums, at, at + length)
 
     def slices(self, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Byte bounds of the stretches from the first to the last unit."""

@@ -7,12 +7,14 @@ the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 PIECE = 1 << 21
+LONG_WORD = 512
 BLANKS = frozenset([0x20, *range(0x09, 0x0E)])
 #: Bytes that part words of lower-cased letters and digits; bytes of other scripts belong to words.
 NON_WORD = frozenset([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
@@ -28,7 +30,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any stretch of a sequence: a polynomial modulo 2**64 with an odd base."""
+    """Hashes of any stretch of a sequence: a polynomial modulo 2**64 with an odd base.
+
+    For windows of bytes or of word hashes. Long patterns of only two values can agree (from 1,024 values on), so words themselves are
+    hashed by ``word_hashes``.
+    """
 
     def __init__(self, seed: int = 1):
         start = mix(np.arange(1, 259, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
@@ -58,6 +64,30 @@ class Rolling:
         return mix((sums[end] - sums[start]) * self.inverses[start])
 
 
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """One hash for each stretch of bytes, eight bytes mixed in at a time.
+
+    Unlike sums of powers, which some long patterns of two letters leave equal whatever the base, a step mixes all that came before with the next bytes;
+    stretches of one length and up to eight bytes never agree. Very long ones are hashed one by one.
+    """
+    padded = np.append(data, np.zeros(8, dtype=np.uint8))
+    eights = np.ndarray(len(data) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    length = end - start
+    out = mix(length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    left = np.flatnonzero((length > 0) & (length <= LONG_WORD))
+    step = 0
+    while len(left):
+        rest = length[left] - 8 * step
+        bits = np.uint64(8) * np.minimum(rest, 8).astype(np.uint64)
+        part = eights[start[left] + 8 * step] << (np.uint64(64) - bits)  # drops the bytes behind the stretch
+        out[left] = mix(out[left] ^ part) + np.uint64(seed)
+        left, step = left[rest > 8], step + 1
+    for i in np.flatnonzero(length > LONG_WORD):
+        whole = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=seed.to_bytes(4, "little"))
+        out[i] = np.frombuffer(whole.digest(), dtype="<u8")[0]
+    return out
+
+
 def pieces(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of pieces of a column; null texts are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from truthmill.llm.textarrays import NON_WORD, Rolling, lowered, pieces, signed, window_minima, words
+from truthmill.llm.textarrays import NON_WORD, Rolling, lowered, pieces, signed, window_minima, word_hashes, words
 from truthmill.operators.shared import stored
 
 WINDOW = 10
@@ -24,13 +24,13 @@ class Windows:
 
     def __init__(self, window: int, gram: int):
         self.window, self.gram = window, gram
-        self.byte_rolls, self.word_rolls = (Rolling(1), Rolling(2)), (Rolling(3), Rolling(4))
+        self.word_rolls = Rolling(3), Rolling(4)
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> None:
         data = lowered(data)
         self.doc, start, end = words(data, offsets, NON_WORD)
         self.first = np.searchsorted(self.doc, np.arange(len(offsets)))
-        self.sums = [outer.sums(inner.stretch(inner.sums(data), start, end)) for inner, outer in zip(self.byte_rolls, self.word_rolls)]
+        self.sums = [roll.sums(word_hashes(data, start, end, seed)) for seed, roll in enumerate(self.word_rolls, 1)]
 
     def hashes(self, at: np.ndarray, length: int | np.ndarray) -> list[np.ndarray]:
         return [roll.stretch(s, at, at + length) for roll, s in zip(self.word_rolls, self.sums)]
