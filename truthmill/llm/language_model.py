@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from truthmill.llm.textarrays import BLANKS, Rolling, lowered, pieces, signed, words
+from truthmill.llm.textarrays import BLANKS, lowered, pieces, signed, word_hashes, words
 from truthmill.operators.shared import stored
 
 #: Of the training folds 1 to 9, this one is held back from the counts that the weights are learnt on.
@@ -21,21 +21,20 @@ FREQUENCIES = 32
 #: Up to so many words (16 bytes each) travel to every task; with more, tokens are joined with them by shuffles.
 SENT_WORDS = 8_000_000
 BUCKET_TOKENS = 1_200_000
+#: Pairs of so many tokens are scored where they stand; there are at most total / HOT_TOKENS of them.
+HOT_TOKENS = 100_000
 END, START = np.uint64(1), np.uint64(2)
 
 
 class Tokens:
     """Word hashes of the texts of a piece, each text followed by its end."""
 
-    def __init__(self):
-        self.roll = Rolling(1)
-
     def read(self, data: np.ndarray, offsets: np.ndarray) -> None:
         """Sets word (hashes), doc, and first: the bounds of each text's tokens."""
         data = lowered(data)
         n = len(offsets) - 1
         doc, start, end = words(data, offsets, BLANKS)
-        hashes = self.roll.stretch(self.roll.sums(data), start, end)
+        hashes = word_hashes(data, start, end, 1)
         hashes += np.uint64(3) * (hashes < np.uint64(3))  # keeps the marks of end and start free
         self.doc = np.concatenate([doc, np.arange(n)])
         order = np.argsort(self.doc, kind="stable")
@@ -44,19 +43,15 @@ class Tokens:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each batch with their tokens in the training folds and in the deleted one."""
+    """Distinct words of each piece of texts with their tokens in the training folds and in the deleted one."""
     tokens = Tokens()
     for batch in batches:
         fold = batch.column("_fold").to_numpy()
-        found, held = [], []
         for lo, _, data, offsets in pieces(batch.column("_text")):
             tokens.read(data, offsets)
             of = fold[lo + tokens.doc]
-            found.append(tokens.word[of != 0])
-            held.append(of[of != 0] == DELETED_FOLD)
-        if found:
-            word, place = np.unique(np.concatenate(found), return_inverse=True)
-            held = np.bincount(place, weights=np.concatenate(held), minlength=len(word)).astype(np.int64)
+            word, place = np.unique(tokens.word[of != 0], return_inverse=True)
+            held = np.bincount(place, weights=of[of != 0] == DELETED_FOLD, minlength=len(word)).astype(np.int64)
             total = np.bincount(place, minlength=len(word))
             yield pa.RecordBatch.from_arrays([pa.array(signed(word)), pa.array(total), pa.array(held)], names=["word", "n", "held"])
 
@@ -65,10 +60,7 @@ class Lookup:
     """Places of words in the sorted vocabulary; unseen words share the place behind the last, starts the one after."""
 
     def __init__(self, vocabulary: dict[str, np.ndarray]):
-        self.word = vocabulary["word"]
-        kind, (docs, counted) = vocabulary["n"].dtype, vocabulary["docs"]
-        self.n = np.append(vocabulary["n"], np.array([0, docs], dtype=kind))
-        self.counted = np.append(vocabulary["counted"], np.array([0, counted], dtype=kind))
+        self.word, self.n, self.counted = (vocabulary[name] for name in ("word", "n", "counted"))
 
     def ids(self, word: np.ndarray) -> np.ndarray:
         size = len(self.word)
@@ -84,7 +76,10 @@ def _in_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collected(vocabulary: DataFrame, size: int, kind: type, docs) -> dict[str, np.ndarray]:
-    """The vocabulary as arrays in the order of its hashes; one partition at a time comes to the driver."""
+    """The vocabulary as arrays in the order of its hashes; one partition at a time comes to the driver.
+
+    The counts have two more places: 0 for unseen words, and the texts for starts.
+    """
     word, n, counted, at = np.empty(size, np.uint64), np.empty(size, kind), np.empty(size, kind), 0
     packed = vocabulary.select("word", "n", "held").mapInArrow(_in_columns, "word binary, n binary, held binary")
     for row in packed.toLocalIterator():
@@ -92,18 +87,21 @@ def _collected(vocabulary: DataFrame, size: int, kind: type, docs) -> dict[str,
         word[at : at + len(own)], n[at : at + len(own)], counted[at : at + len(own)] = own, total, total - held
         at += len(own)
     order = np.argsort(word)
-    return {"word": word[order], "n": n[order], "counted": counted[order], "docs": np.array(docs, dtype=np.int64)}
+    with_ends = lambda x, starts: np.append(x[order], np.array([0, starts], dtype=kind))
+    return {"word": word[order], "n": with_ends(n, docs[0]), "counted": with_ends(counted, docs[1])}
 
 
+_NO_PAIRS = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 _PACKET = "bucket int, chunk long, kind int, a binary, b binary, c binary, d binary"
 
 
-def _packets(sent, buckets: int, learn: bool) -> Callable:
+def _packets(sent, buckets: int, learn: bool, hot: tuple[np.ndarray, np.ndarray] = _NO_PAIRS, weights: np.ndarray | None = None) -> Callable:
     """Pairs of neighbouring tokens, packed by bucket.
 
     To learn: distinct pairs with their counts outside and inside the deleted fold. To score:
-    distinct pairs with the documents they stand in, and a packet of each document's key
-    and counts of tokens.
+    distinct pairs with the documents they stand in, and a packet of each document's key,
+    counts of tokens, and sum over the hot pairs, whose counts every task knows: those are scored in place, so no bucket
+    takes all occurrences of a frequent pair.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,10 +128,16 @@ def _packets(sent, buckets: int, learn: bool) -> Callable:
                     score = np.bincount(doc, weights=base[word], minlength=hi - lo)
                     key = batch.column("_key").slice(lo, hi - lo)
                     rows = np.stack([key.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(key.is_valid()), fold[lo:hi] == 0, n, known])
-                    out.append((chunk % buckets, 0, rows.astype(np.int64).tobytes(), score.tobytes(), b"", b""))
-                if learn:
-                    context, word, of = context[of != 0], word[of != 0], of[of != 0]
                 pair = (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
+                if learn:
+                    pair, of = pair[of != 0], of[of != 0]
+                else:
+                    at = np.minimum(np.searchsorted(hot[0], pair), max(len(hot[0]) - 1, 0))
+                    here = hot[0][at] == pair if len(hot[0]) else np.zeros(len(pair), bool)
+                    log = probability(weights, look.n[context[here]], hot[1][at[here]], look.n[word[here]], total, size) if here.any() else np.zeros(0)
+                    own = np.bincount(doc[here], weights=log, minlength=hi - lo)
+                    out.append((chunk % buckets, 0, rows.astype(np.int64).tobytes(), score.tobytes(), own.tobytes(), b""))
+                    pair, of, doc = pair[~here], of[~here], doc[~here]
                 order = np.argsort(pair, kind="stable")
                 pair = pair[order]
                 lead = np.ones(len(pair), bool)
@@ -178,27 +182,30 @@ def frequency(count: np.ndarray) -> np.ndarray:
     return np.where(count > 0, 1 + np.floor(np.log2(np.maximum(count, 1))), 0).astype(np.int64)
 
 
-def _seen(sent) -> Callable:
-    """The deleted fold's pairs as rows (context frequency, pair share, word share, tokens)."""
+def _seen(sent, hot: int) -> Callable:
+    """The deleted fold's pairs as rows (context frequency, pair share, word share, tokens), and rows of pairs with ``hot`` tokens and more."""
 
     def run(table: pa.Table) -> pa.Table:
         look = Lookup(sent.value)
         _, pair, count, held, _ = _unpacked(table)
         distinct, place = np.unique(pair, return_inverse=True)
-        count = np.bincount(place, weights=count, minlength=len(distinct))
+        count = np.bincount(place, weights=count, minlength=len(distinct)).astype(np.int64)
         held = np.bincount(place, weights=held, minlength=len(distinct)).astype(np.int64)
-        some = held > 0
+        some, often = held > 0, count + held >= hot
         context, word = (distinct[some] >> np.uint64(32)).astype(np.int64), (distinct[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cells = np.stack([look.counted[context], count[some].astype(np.int64), look.counted[word]])
+        cells = np.stack([look.counted[context], count[some], look.counted[word]])
         cells, place = np.unique(cells, axis=1, return_inverse=True)
         n = np.bincount(place.ravel(), weights=held[some], minlength=cells.shape[1]).astype(np.int64)
-        return pa.table({name: pa.array(x) for name, x in zip(("context", "pair", "word", "n"), (*cells, n))})
+        more = np.zeros(int(often.sum()), dtype=np.int64)
+        columns = [np.concatenate([x.astype(np.int64), more]) for x in (*cells, n)]
+        columns += [np.concatenate([np.full(len(n), -1), signed(distinct[often])]), np.concatenate([np.zeros(len(n), np.int64), (count + held)[often]])]
+        return pa.table(dict(zip(("context", "pair", "word", "n", "hot", "hot_n"), columns)))
 
     return run
 
 
 def _scored(sent, weights: np.ndarray) -> Callable:
-    """Log probabilities of each packet's pairs, added up by document; packets of keys pass through."""
+    """Log probabilities of each packet's pairs, added up for the documents that the packet holds; packets of keys pass through."""
 
     def run(table: pa.Table) -> pa.Table:
         look = Lookup(sent.value)
@@ -210,18 +217,21 @@ def _scored(sent, weights: np.ndarray) -> Callable:
         context, word = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
         log = probability(weights, look.n[context], count, look.n[word], total, size)[place]
         bounds = np.searchsorted(packet, np.arange(len(docs) + 1))
-        sums = []
+        places, sums = [], []
         for i, doc in enumerate(docs):
             part = slice(bounds[i], bounds[i + 1])
-            sums.append(np.bincount(doc, weights=np.repeat(log[part], reach[part])).tobytes())
+            of, at = np.unique(doc, return_inverse=True)
+            places.append(of.astype("<u4").tobytes())
+            sums.append(np.bincount(at, weights=np.repeat(log[part], reach[part]), minlength=len(of)).tobytes())
         rest = table.filter(pa.compute.equal(table.column("kind"), 0))
         chunks = packets.column("chunk").to_pylist() + rest.column("chunk").to_pylist()
         kind = [1] * packets.num_rows + [0] * rest.num_rows
         none = [None] * packets.num_rows
+        with_rest = lambda own, name: pa.array(own + rest.column(name).to_pylist(), pa.binary())
         return pa.table(
             {
                 "chunk": pa.array(chunks, pa.int64()), "kind": pa.array(kind, pa.int32()),
-                "rows": pa.array(none + rest.column("a").to_pylist(), pa.binary()), "sums": pa.array(sums + rest.column("b").to_pylist(), pa.binary()),
+                "rows": with_rest(places, "a"), "sums": with_rest(sums, "c"), "base": with_rest(none, "b"),
             }
         )
 
@@ -235,16 +245,14 @@ def _merged(total: int) -> Callable:
     """Rows of the documents of a chunk: their keys and counts, and the sums of all buckets."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows, base, parts = None, None, []
-        for kind, cells, sums in zip(*(table.column(c).to_pylist() for c in ("kind", "rows", "sums"))):
-            sums = np.frombuffer(sums)
+        rows, parts = None, []
+        for kind, cells, sums, of in zip(*(table.column(c).to_pylist() for c in ("kind", "rows", "sums", "base"))):
             if kind:
-                parts.append(sums)
+                parts.append((np.frombuffer(cells, "<u4"), np.frombuffer(sums)))
             else:
-                rows, base = np.frombuffer(cells, np.int64).reshape(5, -1), sums
-        score = np.zeros(len(base))
-        for part in sorted(parts, key=lambda x: (len(x), x.sum())):
-            score[: len(part)] += part
+                rows, score, base = np.frombuffer(cells, np.int64).reshape(5, -1), np.frombuffer(sums).copy(), np.frombuffer(of)
+        for places, sums in sorted(parts, key=lambda x: (len(x[0]), x[1].sum())):
+            score[places] += sums
         key = pa.array(rows[0], mask=rows[1] == 0)
         columns = (key, rows[2].astype(bool), rows[3], rows[4], np.full(len(base), total), base, score)
         return pa.table(dict(zip((c.split(" ")[0] for c in _OUT.split(", ")), map(pa.array, columns))))
@@ -325,8 +333,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_w
     of folds 1 to 8. Scores use the counts of all training folds.
 
     Distinct pairs of a few megabytes of text travel packed to the bucket of their hash, where their counts
-    are added; a bucket sends back one sum for each document. Words and counts are sent
-    to all tasks while they are few enough, else tokens are joined with them by shuffles, to the
+    are added; a bucket sends back one sum for each document that a packet of it holds, and pairs of very many tokens are scored
+    in place. Words and counts are sent
+    to all tasks while they are few enough (the driver then holds 16 bytes a word, and each worker a copy), else tokens are joined with them by shuffles, to the
     same scores.
 
     Returns key, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (single words with 0.1
@@ -364,9 +373,13 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_w
         buckets = int(total // BUCKET_TOKENS) + 1
         columns = rows.select("_key", "_fold", "_text")
         pairs = columns.mapInArrow(_packets(sent, buckets, True), _PACKET)
-        seen = stored(pairs.groupBy("bucket").applyInArrow(_seen(sent), "context long, pair long, word long, n long"))
-        weights = learnt_weights(seen, total - held, size)
-        packets = columns.mapInArrow(_packets(sent, buckets, False), _PACKET)
-        sums = packets.groupBy("bucket").applyInArrow(_scored(sent, weights), "chunk long, kind int, rows binary, sums binary")
-        out = sums.groupBy("chunk").applyInArrow(_merged(total), _OUT)
+        found = "context long, pair long, word long, n long, hot long, hot_n long"
+        seen = stored(pairs.groupBy("bucket").applyInArrow(_seen(sent, HOT_TOKENS), found))
+        weights = learnt_weights(seen.filter("hot = -1"), total - held, size)
+        known = seen.filter("hot <> -1").select("hot", "hot_n").toArrow().sort_by("hot")
+        hot = known["hot"].to_numpy().astype(np.int64).view(np.uint64), known["hot_n"].to_numpy()
+        packets = columns.mapInArrow(_packets(sent, buckets, False, hot, weights), _PACKET)
+        sums = packets.groupBy("bucket").applyInArrow(_scored(sent, weights), "chunk long, kind int, rows binary, sums binary, base binary")
+        out = stored(sums.groupBy("chunk").applyInArrow(_merged(total), _OUT))
+        sent.destroy()  # the vocabulary is not needed any more, and workers would keep it
     return out.select(F.col("_key").alias(key), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
