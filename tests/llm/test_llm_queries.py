@@ -6,6 +6,7 @@ from pathlib import Path
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 
@@ -56,6 +57,29 @@ def test_rows_of_the_others(spark, name):
     assert QUERIES[name](spark, FOLDER).count() == spark.read.parquet(f"{FOLDER}/documents.parquet").count()
 
 
+def test_repeated_long_lines_go_by_sql_too(spark, tmp_path):
+    """One or two lines of fifty words and more are runs; the rule of three lines alone leaves them."""
+    long, half = " ".join(f"a{i}" for i in range(50)), [" ".join(f"{c}{i}" for i in range(25)) for c in "bc"]
+    rows = [(1, f"x\n{long}\ny"), (2, f"z\n {long} \nq"), (3, "\n".join(half)), (4, "new\n" + "\n\n".join(half)), (5, half[0]), (6, f"{long}\n{long}")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    result = con.execute(ORACLES["op7_line_dedup"])
+    columns = [c[0] for c in result.description]
+    got = sorted(map(tuple, QUERIES["op7_line_dedup"](spark, str(tmp_path)).select(*columns).collect()))
+    assert got == sorted(result.fetchall())
+    assert [r[columns.index("n_removed")] for r in got] == [0, 1, 0, 2, 0, 2]
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    near = text + " tail"
+    rows = [(5, text), (5, near), (5, text), (9, near), (None, text), (7, "other words here"), (None, "quite alone"), (None, "quite alone"), (8, ""), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_dedup(spark, docs, FOLDER).collect()
+    assert sorted(str(r.doc_id) for r in kept) == ["5", "7", "8", "8", "None"]  # texts without words are no copies
+
+
 def test_all_are_registered():
     assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
@@ -95,12 +119,20 @@ def test_pipeline_stages(spark, tmp_path):
     )
 
 
+#: Names that the stages use inside.
+INSIDE = """_id _k _m _lines _gone _kept_text _gone_mark id mark number first order component_id any a b c n s1 s2 bands sig whole
+_hs _splits hit hits items _item _lang _source kept_text text_hash n_shingles least smallest size heft own other i j gone new row""".split()
+
+
 def test_pipeline_carries_odd_rows_and_columns(spark, odd, nothing):
+    odd = odd.withColumns({name: F.lit(f"own {name}") for name in INSIDE})
     docs = odd
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stored(stage(spark, docs, FOLDER))
         assert docs.columns == odd.columns
-    assert {r.doc_id for r in docs.select("doc_id").collect()} <= {None, 5, 6, 7, 8}
+    ids = [r.doc_id for r in docs.select("doc_id").collect()]
+    assert set(ids) <= {None, 5, 6, 7, 8} and len(ids) == len(set(ids))
+    assert docs.select("_k", "number").distinct().collect() == [("own _k", "own number")]
     docs = nothing
     for _, stage in corpus_pipeline.STAGES:
         docs = stored(stage(spark, docs, FOLDER))

@@ -10,6 +10,8 @@ from truthmill.operators.shared import stored
 
 #: Lines in the shortest run that counts: each such run holds a fingerprint of two lines.
 RUN = 3
+#: The query and the pipeline take a line, or two neighbouring ones, of so many words as a run too.
+LONG_WORDS = 50
 BLANKS = " \t\n\x0b\f\r"
 _BLANK = r"[\x20\x09-\x0D]+"
 
@@ -75,13 +77,13 @@ def _long_lines(texts: DataFrame, long_words: int, whole: Callable[[list[Column]
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """All columns, with the key, the text (null as empty) and a hash of the text to tell rows of one key apart."""
+    """The whole row as one column, whatever its names; the key, the text (null as empty) and a hash of the text to tell rows of one key apart."""
     value = F.coalesce(F.col(text), F.lit(""))
-    return docs.select("*", F.col(key).alias("_key"), value.alias("_text"), F.xxhash64(value).alias("_mark"))
+    return docs.select(F.struct("*").alias("_row"), F.col(key).alias("_key"), value.alias("_text"), F.xxhash64(value).alias("_mark"))
 
 
 def with_kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", long_words: int | None = None) -> DataFrame:
-    """All rows and columns, with ``_lines``, ``_gone`` (line numbers, null if none) and ``_kept_text``."""
+    """All rows as ``_row``, with ``_key``, ``_text``, ``_lines``, ``_gone`` (line numbers, null if none) and ``_kept_text``."""
     found = repeated_line_runs(docs, key, text, long_words).withColumnsRenamed({"_key": "_k", "_mark": "_m"})
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
     rows = keyed(docs, key, text).join(found.hint("shuffle_hash"), same, "left").withColumn("_lines", F.split("_text", "\n"))

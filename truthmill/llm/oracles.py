@@ -73,19 +73,26 @@ FROM doc LEFT JOIN place USING (doc_id) LEFT JOIN ids USING (doc_id)
 BLANKS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-def line_dedup() -> str:
+def line_dedup(long_words: int = linedups.LONG_WORDS) -> str:
     return f"""
 WITH doc AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 line AS (
   SELECT doc_id, i - 1 AS place, trim(lines[i], {BLANKS}) AS line, lines[i] AS whole FROM doc, unnest(range(1, len(lines) + 1)) AS r(i)
 ),
-worded AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n FROM line WHERE line <> ''),
+worded AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS n, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words
+  FROM line WHERE line <> ''
+),
 run AS (
-  SELECT a.doc_id, a.place, b.place AS place2, c.place AS place3, [a.line, b.line, c.line] AS three
+  SELECT a.doc_id, a.place, [a.place, b.place, c.place] AS places, [a.line, b.line, c.line] AS run
   FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.n = a.n + 1 JOIN worded c ON a.doc_id = c.doc_id AND c.n = a.n + {linedups.RUN - 1}
+  UNION ALL SELECT doc_id, place, [place], [line] FROM worded WHERE words >= {long_words}
+  UNION ALL
+  SELECT a.doc_id, a.place, [a.place, b.place], [a.line, b.line]
+  FROM worded a JOIN worded b ON a.doc_id = b.doc_id AND b.n = a.n + 1 WHERE a.words + b.words >= {long_words}
 ),
-later AS (SELECT *, row_number() OVER (PARTITION BY three ORDER BY doc_id, place) AS k FROM run),
-gone AS (SELECT DISTINCT doc_id, unnest([place, place2, place3]) AS place FROM later WHERE k > 1),
+later AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, place) AS k FROM run),
+gone AS (SELECT DISTINCT doc_id, unnest(places) AS place FROM later WHERE k > 1),
 kept AS (
   SELECT doc_id, count(gone.place) AS n, string_agg(CASE WHEN gone.place IS NULL THEN whole END, chr(10) ORDER BY place) AS text
   FROM line LEFT JOIN gone USING (doc_id, place) GROUP BY doc_id

@@ -75,7 +75,7 @@ def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    cut = linedups.drop_repeated_lines(_documents(spark, folder))
+    cut = linedups.drop_repeated_lines(_documents(spark, folder), long_words=linedups.LONG_WORDS)
     return cut.select("doc_id", "n_lines", "n_word_lines", "n_removed", hash_of("kept_text").alias("kept_sha256"))
 
 
