@@ -101,7 +101,8 @@ def shard(
     spread = F.xxhash64(group, F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
     at = F.xxhash64(group).bitwiseAND(F.lit(-(1 << ROW_BITS))).bitwiseOR(spread)
     names = [c for c in rows.columns if c not in ("shard", "slot")]
-    keys = stored(rows.select(*names, at.alias("_at"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row")  # one column, so that names of the input cannot clash with those used here
+    keys = stored(rows.select(whole, at.alias("_at"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size")))
     total = keys.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
     each = max(1, -(-total // (shards * task_bytes)))
     targets = [
@@ -123,5 +124,5 @@ def shard(
     return (
         dealt.withColumn("_place", place)
         .join(F.broadcast(bases), "_part")
-        .select(*names, F.floor(F.col("_part") / each).cast("int").alias("shard"), (F.col("_base") + F.col("_place")).alias("slot"))
+        .select("_row.*", F.floor(F.col("_part") / each).cast("int").alias("shard"), (F.col("_base") + F.col("_place")).alias("slot"))
     )
