@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -125,7 +126,7 @@ def license_scan(
     sets = [tokens(t) for _, t in templates]
     vocabulary = sorted(set().union(*sets))
     least = min(needed(len(s), threshold) for s in sets)
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    lower = F.translate(F.coalesce(F.col(text), F.lit("")), ascii_uppercase, ascii_lowercase)  # A-Z only: other letters have lower forms in them
     rows = docs.select(F.col(key).alias("_key"), lower.alias("_lower"))
     rows = rows.select("_key", "_lower", F.concat(F.lit(" "), F.trim(F.regexp_replace("_lower", _PART, " ")), F.lit(" ")).alias("_line"))
     rows = rows.withColumn("_words", F.split(F.trim("_line"), " "))
