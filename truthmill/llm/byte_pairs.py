@@ -12,7 +12,9 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 #: Answers kept by a worker: token ids of matches (twice so many) and pairs of tokens. Full tables are emptied, so memory is bounded.
-KNOWN_MATCHES, KNOWN_PAIRS = 1 << 18, 1 << 20
+KNOWN_MATCHES, KNOWN_PAIRS = 3 << 17, 1 << 20
+#: First bytes of a match whose last tokens are kept.
+HEAD = 6
 #: Matches of longer texts are taken one by one instead of as a list.
 LISTED = 1 << 22
 #: A match may depend on so many characters behind it: an apostrophe and its two letters.
@@ -40,7 +42,8 @@ class PrefixTokens:
             raise ValueError(f"the vocabulary has no token for the bytes {missing}")
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.longest = max(map(len, ranks))
+        self.lengths = {rank: len(token) for rank, token in self.tokens.items()}
+        self.longest = max(self.lengths.values())
         self.size = max(self.tokens) + 1
         self.pairs: dict[int, bool] = {}
         self.reached = {bytes([b]): ranks[bytes([b])] for b in range(256)}  # tokens that merging their bytes gives
@@ -134,10 +137,11 @@ class PrefixTokens:
 
     def read_off(self, last: list[int]) -> list[int]:
         """The tokens of the whole string, from the last ones of its prefixes."""
-        ids, end = [], len(last)
+        ids, end, length = [], len(last), self.lengths
         while end:
-            ids.append(last[end - 1])
-            end -= len(self.tokens[last[end - 1]])
+            token = last[end - 1]
+            ids.append(token)
+            end -= length[token]
         return ids[::-1]
 
     def whole(self, data: bytes, last: list[int]) -> list[int]:
@@ -155,16 +159,28 @@ class Encoder:
         # White space as the Unicode property: some engines count four control characters more.
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.table = PrefixTokens(read_ranks(path))
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def ids_of(self, match: str) -> list[int]:
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.heads: dict[bytes, list[int]] = {}
+
+    def last_tokens(self, data: bytes) -> list[int]:
+        """Last tokens of all prefixes of a match; many begin alike, so those of the first bytes are kept."""
+        head = data[:HEAD]
+        last = self.heads.get(head)
+        if last is None:
+            if len(self.heads) >= KNOWN_MATCHES:
+                self.heads.clear()
+            last = self.heads[head] = self.table.extended(head, [])
+        return self.table.extended(data, last) if len(data) > HEAD else last
+
+    def ids_of(self, match: str) -> bytes:
+        """Token ids of a match as 32-bit numbers."""
         ids = self.known.get(match)
         if ids is None:
             ids = self.older.get(match)
             if ids is None:
                 data = match.encode()
-                ids = self.table.whole(data, [] if data in self.table.ranks else self.table.extended(data, []))
+                ids = np.array(self.table.whole(data, [] if data in self.table.ranks else self.last_tokens(data)), dtype="<i4").tobytes()
             if len(self.known) >= KNOWN_MATCHES:
                 self.known, self.older = {}, self.known
             if len(match) < 256:
@@ -182,9 +198,10 @@ class Encoder:
         if at != len(text):
             raise ValueError("the pattern leaves characters out")
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         found = self.pattern.findall(text) if len(text) <= LISTED else (m.group() for m in self.pattern.finditer(text))
-        return list(chain.from_iterable(map(self.ids_of, found)))
+        known, ids_of = self.known.get, self.ids_of
+        return np.frombuffer(b"".join([known(m) or ids_of(m) for m in found]), dtype="<i4")
 
     def prefixes(self, text: str) -> np.ndarray:
         """For each byte the last token of its match up to there; the first byte of a match holds it as -1 - token."""
