@@ -40,6 +40,8 @@ HEADLINE = (
     "page_link_list",
     "model_lr",
     "word2vec_docs",
+    "similar_pairs",
+    "nearest_vectors",
 )
 
 

@@ -25,7 +25,7 @@ QUERIES: dict[str, Query] = {}
 
 CREDIBLE_CATEGORY = "en"
 SCORE_CUT = 0.11
-SIMILAR_ARTICLES = 0.5
+SIMILAR_ARTICLES = 0.2
 SITE_ARTICLE = r"^https?://[^/]+/(en|fr)/[0-9]+([/?#.].*)?$"
 LATIN = "abcdefghijklmnopqrstuvwxyz"
 CYRILLIC = "абцдефгхийклмнопярстувътез"

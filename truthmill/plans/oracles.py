@@ -537,7 +537,7 @@ dots AS (
 )
 SELECT unreliable_id, credible_id, unreliable_articles, credible_articles, round(dot / (a.length * b.length), 6) AS cosine
 FROM dots JOIN lengths a ON a.id = unreliable_id JOIN lengths b ON b.id = credible_id
-WHERE round(dot / (a.length * b.length), 6) >= 0.5"""
+WHERE round(dot / (a.length * b.length), 6) >= 0.2"""
 ORACLES["nb_theta"] = f"""WITH {TERMS},
 totals AS (SELECT sum(cnt0) AS t0, sum(cnt1) AS t1, count(*) AS v FROM vocab)
 SELECT 0.0::DOUBLE AS label, word, round(ln((cnt0 + 1.0) / (t0 + v)), 6) AS theta FROM vocab, totals
