@@ -19,7 +19,7 @@ import brute
 
 from truthmill.llm import language_model, licenses, linedups, nearcopies, packing, quality, shards, substrings, suffixes, winnow
 from truthmill.llm.repeats import hash_of
-from truthmill.llm.textarrays import Rolling, window_minima
+from truthmill.llm.textarrays import Rolling, window_minima, word_hashes
 
 
 def pairs(df):
@@ -104,6 +104,12 @@ def test_language_model(request, which, sent, monkeypatch):
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
 
 
+def test_only_a_to_z_are_lowered_in_license_scans(spark):
+    docs = spark.createDataFrame([(1, "MIT LICENSE"), (2, "m\u0130t license"), (3, "apache licen\u017fe"), (4, "Apache  License")], "doc_id long, text string")
+    out = {r.doc_id: (r.n_words, r.base_labels) for r in licenses.license_scan(docs).collect()}
+    assert out == {1: (2, "mit"), 2: (2, ""), 3: (2, ""), 4: (2, "apache")}
+
+
 def test_model_beats_single_words_on_held_out_texts(real):
     sums = language_model.score_texts(real).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert sums[0] > sums[1]
@@ -171,6 +177,31 @@ def test_shards(request, which):
         assert sum(len(s) > 1 for s in groups.values()) <= 4
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    rows = spark.createDataFrame([(i, 10, i, f"a{i}", "b", "c", "d", "e") for i in range(40)], "k long, n long, g long, _at string, _size string, _part string, _place string, _base string")
+    out = shards.shard(rows, "n", "g", shards=4)
+    assert out.columns == [*rows.columns, "shard", "slot"]
+    assert {(r.k, r["_at"], r["_base"]) for r in out.collect()} == {(i, f"a{i}", "e") for i in range(40)}
+
+
+def test_shard_query_against_the_contract(spark, real):
+    from truthmill.llm.queries import op2_histogram_shards
+
+    texts = {r.doc_id: r.text or "" for r in real.collect()}
+    out = op2_histogram_shards(spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in out) == sorted(texts)
+    slots, weight = defaultdict(list), defaultdict(int)
+    for r in out:
+        data = texts[r.doc_id].encode()
+        assert (r["size"], r.text_crc32, r.law, r.grown_shard) == (len(data) + 16, zlib.crc32(data), "bytes", None)
+        slots[r.shard].append(r.slot)
+        weight[r.shard] += r["size"]
+    assert set(slots) <= set(range(40))
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    mean, largest = sum(weight.values()) / 40, max(r["size"] for r in out)
+    assert max(weight.values()) <= mean + largest  # a row cannot be cut, so no shard is over by more than one
+
+
 def test_a_hot_group_is_cut_between_shards(spark):
     rows = spark.range(3000).select("id", F.lit(10).alias("size"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("g"))
     sizes = [r[1] for r in shards.shard(rows, "size", "g", shards=10).groupBy("shard").count().collect()]
@@ -315,3 +346,101 @@ def test_rolling_hash_names_equal_stretches():
     at = np.arange(7)
     names = roll.stretch(roll.sums(data), at, at + 3)
     assert names[0] == names[3] and len(set(names.tolist())) == 4
+
+
+# ---- words that a sum of powers takes for equal --------------------------------------------
+
+
+def thue_morse(n: int) -> tuple[str, str]:
+    """Two words of two letters whose sums of powers agree modulo 2**64 for every odd base."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_different_words_stay_different(spark, n):
+    one, two = thue_morse(n)
+    assert Rolling(1).sums(np.frombuffer(one.encode(), np.uint8))[-1] == Rolling(1).sums(np.frombuffer(two.encode(), np.uint8))[-1]
+    rest = " ".join(f"w{i}" for i in range(49))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"{one} {rest}"), (4, f"{two} {rest}")], "doc_id long, text string")
+    near = {r.doc_id: r.component_id for r in nearcopies.near_copies(docs).collect()}
+    assert near[1] == 1 and near[2] == 2
+    cut = {r.doc_id: r.n_removed for r in substrings.drop_repeated_passages(docs).collect()}
+    assert cut == {1: 0, 2: 0, 3: 0, 4: 0}
+    found = winnow.benchmark_overlap(docs, spark.createDataFrame([(7, one)], "item_id long, text string")).collect()
+    assert {r.doc_id: len(r.hits) for r in found} == {1: 1, 2: 0, 3: 1, 4: 0}
+    out = language_model.score_texts(docs).collect()
+    assert ordered(tuple(r)[:5] for r in out) == ordered(r[:5] for r in brute.language_model(pairs(docs)))
+
+
+def test_word_hashes_tell_lengths_and_places_apart():
+    rng = np.random.default_rng(8)
+    made = {bytes(rng.integers(0, 3, rng.integers(0, 40), dtype=np.uint8)) for _ in range(4000)} | {b"\0" * i for i in range(1, 700, 7)}
+    made = sorted(made)
+    data = np.frombuffer(b"".join(made), np.uint8)
+    end = np.cumsum([len(x) for x in made])
+    start = end - [len(x) for x in made]
+    for seed in (1, 2):
+        assert len(set(word_hashes(data, start, end, seed).tolist())) == len(made)
+    turned = np.roll(np.arange(len(made)), 1)
+    assert (word_hashes(data, start[turned], end[turned], 1) == word_hashes(data, start, end, 1)[turned]).all()
+
+
+# ---- near copies, compared inside tasks ---------------------------------------------------
+
+
+def test_intersections_and_forests():
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 90, rng.integers(1, 60)).astype("<u8")) for _ in range(40)]
+    got = nearcopies._intersections(sets)
+    for i in range(40):
+        for j in range(40):
+            if i != j:
+                assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
+    link = np.zeros((6, 6), bool)
+    for a, b in ((0, 1), (1, 2), (0, 2), (3, 4)):
+        link[a, b] = link[b, a] = True
+    assert len(nearcopies._forest(link, np.arange(6))) == 3
+    assert len(nearcopies._forest(link, np.array([0, 0, 0, 3, 4, 5]))) == 1
+    assert len(nearcopies._forest(link, np.array([0, 1, 2, 0, 4, 5]))) == 3
+
+
+@pytest.mark.parametrize("compared", [1024, 8])
+def test_links_of_a_large_family_are_as_many_as_its_copies(spark, monkeypatch, compared):
+    """Edited copies of one text, alike in all buckets: what leaves a task is bounded by the classes it reads, and no link is lost."""
+    monkeypatch.setattr(nearcopies, "COMPARED", compared)
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        own = list(words)
+        for at in rng.integers(0, 100, 3):
+            own[at] = f"x{rng.integers(10**6)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, " ".join([*words[:40], *(f"o{i}_{j}" for j in range(60))])) for i in range(60)]  # a common passage only
+    out = nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).drop("text_hash").collect()
+    assert ordered(out) == ordered(brute.near(rows))
+
+
+def test_recall_at_the_threshold_through_dealt_buckets(spark, monkeypatch):
+    """Pairs between 0.75 and 0.9 that also share a passage with hundreds of other texts, so that their buckets are dealt anew."""
+    monkeypatch.setattr(nearcopies, "COMPARED", 16)
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(60)]
+    rows, pairs_of = [], []
+    for i in range(120):
+        own = [f"p{i}_{j}" for j in range(60)]
+        other = list(own)
+        other[-int(rng.integers(1, 8)) :] = ["z"]
+        pairs_of.append((len(rows), len(rows) + 1))
+        rows += [(len(rows), " ".join(common + own)), (len(rows) + 1, " ".join(common + other))]
+    want = {r[0]: r[2] for r in brute.near(rows)}
+    got = {r.doc_id: r.component_id for r in nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = [p for p in pairs_of if want[p[0]] == want[p[1]]]
+    assert len(linked) > 100
+    assert sum(got[a] == got[b] for a, b in linked) >= 0.98 * len(linked)
+
+
+def test_bands_that_would_miss_links_are_refused(spark, odd):
+    with pytest.raises(ValueError, match="miss"):
+        nearcopies.near_copies(odd, similar=50)

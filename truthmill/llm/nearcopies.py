@@ -8,21 +8,25 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from truthmill.llm.textarrays import BLANKS, Rolling, lowered, mix, pieces, signed, words
+from truthmill.llm.textarrays import BLANKS, Rolling, lowered, mix, pieces, signed, word_hashes, words
 from truthmill.operators.shared import stored
 
 SHINGLE = 5
 #: Links need 100 * intersection >= SIMILAR * union.
 SIMILAR = 75
 BINS = 128
-#: Classes of different groups in a bucket of up to so many are compared by their signatures.
-COMPARED = 1024
+#: Classes, and shingles of all of them, that are compared in one task.
+COMPARED, BLOCK_SHINGLES = 1024, 1 << 22
+#: Shingles of up to so many classes are counted pair by pair; the others as matrices of so many columns.
+RARE, COLUMNS = 8, 2048
 #: Larger ones are dealt to new buckets by four more values, in so many ways: 95 % of the pairs at the threshold stay together.
 REFINED = 8
 #: After so many dealings, what is still large is compared block by block.
 LEVELS = 2
 #: Values in a band; 32 bands of 4 miss a pair at the threshold once in 200,000.
 BAND = 4
+#: Settings whose bands would miss a larger share of the pairs at the threshold are refused.
+MISSED = 1e-5
 
 
 class Sets:
@@ -30,13 +34,13 @@ class Sets:
 
     def __init__(self, size: int):
         self.size = size
-        self.by_byte, self.by_word = Rolling(1), Rolling(3)
+        self.by_word = Rolling(3)
 
     def read(self, data: np.ndarray, offsets: np.ndarray) -> None:
         data = lowered(data)
         n = len(offsets) - 1
         doc, start, end = words(data, offsets, BLANKS)
-        sums = self.by_word.sums(self.by_byte.stretch(self.by_byte.sums(data), start, end))
+        sums = self.by_word.sums(word_hashes(data, start, end, 1))
         first = np.searchsorted(doc, np.arange(n + 1))
         count = np.diff(first)
         at = np.arange(max(0, len(doc) - self.size + 1))
@@ -111,33 +115,97 @@ def _signatures(size: int, bins: int, band: int) -> Callable:
     return run
 
 
-def _alike(table: pa.Table) -> pa.Table:
-    """Pairs of classes of different groups in one bucket whose signatures leave a link possible.
+def _whole_sets(size: int) -> Callable:
+    """Full sets of texts, as sorted 64-bit numbers."""
 
-    At the least similarity three quarters of the values agree on average; pairs more than 5.5 standard
-    deviations below go. A small set fills few bins, so it has fewer values of its own and a wider range.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(size)
+        for batch in batches:
+            for lo, hi, data, offsets in pieces(batch.column("_text")):
+                sets.read(data, offsets)
+                bounds = pa.py_buffer((8 * sets.first).astype(np.int32))
+                whole = pa.Array.from_buffers(pa.binary(), hi - lo, [None, bounds, pa.py_buffer(sets.values.astype("<u8"))])
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column("c"), part.column("again"), whole], names=["c", "again", "whole"])
+
+    return run
+
+
+def _intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets: rare shingles pair by pair, frequent ones as a product of matrices."""
+    m = len(sets)
+    values = np.concatenate(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    lead = np.append(True, values[1:] != values[:-1])
+    number = np.cumsum(lead) - 1
+    count = np.bincount(number)[number] if len(number) else number
+    out = np.zeros((m, m))
+    rare = (count > 1) & (count <= RARE)
+    held, which = owner[rare], number[rare]
+    for step in range(1, RARE):
+        same = np.flatnonzero(which[step:] == which[:-step])
+        if not len(same):
+            break
+        out += np.bincount(held[same] * m + held[same + step], minlength=m * m).reshape(m, m)
+    out += out.T
+    often = count > RARE
+    held, which = owner[often], number[often]
+    _, column = np.unique(which, return_inverse=True)
+    for lo in range(0, int(column.max(initial=-1)) + 1, COLUMNS):
+        inside = (column >= lo) & (column < lo + COLUMNS)
+        x = np.zeros((m, COLUMNS), dtype=np.float32)
+        x[held[inside], column[inside] - lo] = 1
+        out += x @ x.T
+    return out
+
+
+def _forest(link: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links enough to connect what the given ones connect, when classes of equal label are connected already."""
+    found, seen = [], np.zeros(len(label), dtype=bool)
+    for start in range(len(label)):
+        if seen[start]:
+            continue
+        front = np.flatnonzero(label == label[start]).tolist()
+        seen[front] = True
+        while front:
+            at = front.pop()
+            for new in np.flatnonzero(link[at] & ~seen):
+                if not seen[new]:  # not yet by another class of its label
+                    found.append((at, int(new)))
+                    group = np.flatnonzero(label == label[new])
+                    seen[group] = True
+                    front += group.tolist()
+    return found
+
+
+def _linked(similar: int) -> Callable:
+    """Links between classes of different groups in a block or between two, judged on their full sets.
+
+    All pairs are judged, but only links that join two groups leave the task: fewer than there are classes.
     """
-    c, n, label = (table.column(name).to_numpy() for name in ("c", "n", "label"))
-    sig = np.stack([np.frombuffer(x, "<u2") for x in table.column("sig").to_pylist()])
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i in range(len(c) - 1):
-        other = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
-        own = np.minimum(np.minimum(n[i], n[other]), sig.shape[1])
-        least = (SIMILAR / 100 - 5.5 * np.sqrt(0.1875 / own)) * sig.shape[1]
-        other = other[np.count_nonzero(sig[other] == sig[i], axis=1) >= least]
-        a.append(np.minimum(c[i], c[other]))
-        b.append(np.maximum(c[i], c[other]))
-    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-
-def _compared(members: DataFrame) -> DataFrame:
-    """Likely links (a, b) between groups in each bucket; a bucket beyond the bound is compared by pairs of blocks."""
-    blocks = F.ceil(F.col("size") / COMPARED)
+
+    def run(table: pa.Table) -> pa.Table:
+        c, n, label, own = (table.column(name).to_numpy() for name in ("c", "n", "label", "own"))
+        shared = _intersections([np.frombuffer(x, "<u8") for x in table.column("whole").to_pylist()])
+        link = (shared > 0) & (100 * shared >= similar * (n[:, None] + n[None, :] - shared))
+        link &= (own[:, None] != own[None, :]) if table.column("i")[0] != table.column("j")[0] else True
+        pairs = np.array(_forest(link, label), dtype=np.int64).reshape(-1, 2)
+        a, b = c[pairs[:, 0]], c[pairs[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return run
+
+
+def _compared(members: DataFrame, similar: int) -> DataFrame:
+    """Links (a, b) between groups in each bucket; a bucket beyond the bounds is compared by pairs of blocks."""
+    blocks = F.greatest(F.ceil(F.col("size") / COMPARED), F.ceil(F.col("heft") / BLOCK_SHINGLES))
     own = F.pmod(F.xxhash64("c"), blocks)
     other = F.explode(F.sequence(F.lit(0), blocks - 1))
     placed = members.select("*", own.alias("own"), other.alias("other"))
     placed = placed.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    return placed.groupBy("bucket", "i", "j").applyInArrow(_alike, "a long, b long").distinct()
+    return placed.groupBy("bucket", "i", "j").applyInArrow(_linked(similar), "a long, b long").distinct()
 
 
 def _refined(band: int) -> Callable:
@@ -159,28 +227,19 @@ def _refined(band: int) -> Callable:
     return run
 
 
-def _confirmed(size: int, similar: int) -> Callable:
+def _confirmed(similar: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = Sets(size), Sets(size)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                kept = []
-                sets = []
-                for made, name in ((one, "one"), (two, "two")):
-                    own = []
-                    for _, _, data, offsets in pieces(part.column(name)):
-                        made.read(data, offsets)
-                        own += np.split(made.values, made.first[1:-1])
-                    sets.append(own)
-                for i, (a, b) in enumerate(zip(*sets)):
-                    both = np.concatenate([a, b])
-                    both.sort()
-                    shared = int(np.count_nonzero(both[1:] == both[:-1]))
-                    if shared and 100 * shared >= similar * (len(a) + len(b) - shared):
-                        kept.append(i)
-                take = pa.array(kept, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("a").take(take), part.column("b").take(take)], names=["a", "b"])
+            kept = []
+            for i, (one, two) in enumerate(zip(batch.column("one"), batch.column("two"))):
+                both = np.concatenate([np.frombuffer(one.as_buffer(), "<u8"), np.frombuffer(two.as_buffer(), "<u8")])
+                n = len(both)
+                both.sort()
+                shared = int(np.count_nonzero(both[1:] == both[:-1]))
+                if shared and 100 * shared >= similar * (n - shared):
+                    kept.append(i)
+            take = pa.array(kept, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
     return run
 
@@ -209,7 +268,7 @@ def _shared(placed: DataFrame) -> DataFrame:
     and its edited copies, which are less like each other, that is the original.
     """
     placed = stored(placed)
-    sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("size")).filter("size > 1"))
+    sizes = stored(placed.groupBy("bucket").agg(F.count("*").alias("size"), F.sum("n").alias("heft")).filter("size > 1"))
     placed = stored(placed.join(sizes, "bucket"))
     met = stored(placed.groupBy("c").agg(F.sum("size").alias("met")))
     first = placed.join(met, "c").groupBy("bucket").agg((-F.max(F.struct("met", (-F.col("c")).alias("least")))["least"]).alias("first"))
@@ -224,8 +283,8 @@ def near_copies(
     Texts of equal shingle sets are one class and go on as one row. One permutation of the shingles
     is cut into bins; empty bins are filled by optimal densification; bands of values are bucket
     keys. In each bucket all classes are paired with one centre, and pairs are confirmed on the
-    full sets. Where a bucket then still holds several groups, its classes of different groups are
-    compared by their signatures inside the task, and only likely links leave it to be confirmed.
+    full sets. Where a bucket then still holds several groups, all its classes of different groups are
+    compared on their full sets inside the task, and only links that join two groups leave it.
     A bucket of several groups that is too large for that is dealt to smaller ones by more values
     of the signature, so a common passage does not bring all its documents together; what is
     still large after two dealings is compared block by block.
@@ -236,6 +295,9 @@ def near_copies(
     null, is a group of its own. Null keys are ignored in the smallest key, and a group without any
     other has a null id. Repeated rows are copies of each other. Other columns are not read.
     """
+    missed = (1 - (similar / 100) ** band) ** (bins // band)
+    if missed > MISSED:
+        raise ValueError(f"bands of {band} in {bins} values miss {missed:.3g} of the pairs at {similar} of 100")
     spark = docs.sparkSession
     value = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(value).alias("_mark"), value.alias("_text"))
@@ -248,15 +310,20 @@ def near_copies(
     one_each = base.join(classes.select(F.col("c").alias("_row")), "_row")
     one_each = stored(one_each.select(F.col("_row").alias("c"), "_key", "_mark", "n", "sig", "bands"))
     members = _shared(one_each.select("c", "n", F.explode("bands").alias("bucket")))
+    # Rows that repeat key and text cannot be told apart when the texts are read again: of these one set is kept.
+    repeated = stored(base.groupBy("_key", "_mark").agg(F.count("*").alias("k")).filter("k > 1").select("_key", "_mark", F.lit(True).alias("again")))
     asked = one_each.join(members.select("c").distinct(), "c").select("c", F.col("_key").alias("_k"), F.col("_mark").alias("_m"))
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
-    texts = stored(rows.join(asked.hint("shuffle_hash"), same).select("c", F.col("_text").alias("text")))
+    asked = stored(asked.join(repeated, same, "left").select("c", "_k", "_m", F.coalesce("again", F.lit(False)).alias("again")))
+    found = rows.join(asked.hint("shuffle_hash"), same).select("c", "again", "_text")
+    found = stored(found.mapInArrow(_whole_sets(shingle), "c long, again boolean, whole binary"))
+    sets = found.filter(~F.col("again")).unionByName(found.filter("again").dropDuplicates(["c"])).select("c", "whole")
     sized = 100 * F.least("an", "n") >= similar * F.greatest("an", "n")  # sets of other sizes cannot be similar
 
     def links_among(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("two")), "b")
-        both = left.join(texts.select(F.col("c").alias("a"), F.col("text").alias("one")), "a")
-        return stored(both.select("a", "b", "one", "two").mapInArrow(_confirmed(shingle, similar), "a long, b long").distinct())
+        left = pairs.join(sets.select(F.col("c").alias("b"), F.col("whole").alias("two")), "b")
+        both = left.join(sets.select(F.col("c").alias("a"), F.col("whole").alias("one")), "a")
+        return stored(both.select("a", "b", "one", "two").mapInArrow(_confirmed(similar), "a long, b long").distinct())
 
     links = tested = spark.createDataFrame([], "a long, b long")
     for level in range(LEVELS + 1):
@@ -270,13 +337,13 @@ def near_copies(
         named = members.join(labels.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
         mixed = named.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("bucket")
         open_ = named.join(stored(mixed), "bucket").filter("size > 2").join(one_each.select("c", "sig"), "c")
-        open_ = stored(open_.select("bucket", "size", "c", "n", "label", "sig"))
+        open_ = stored(open_.select("bucket", "size", "heft", "c", "n", "label", "sig"))
         large = F.col("size") > COMPARED
         last = level == LEVELS or open_.filter(large).isEmpty()
-        pairs = _compared(open_ if last else open_.filter(~large))
-        pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"))
-        if not pairs.isEmpty():
-            links, tested = links.unionByName(links_among(pairs)), tested.unionByName(pairs)
+        near = open_ if last else open_.filter(~large)
+        found = stored(_compared(near.drop("sig").join(sets, "c"), similar))
+        if not found.isEmpty():
+            links = links.unionByName(found)
             labels = components(links)
         if last:
             break
