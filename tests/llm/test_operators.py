@@ -48,15 +48,51 @@ def test_substrings(request, which, hot):
     assert ordered(out) == ordered(nulled(brute.substrings(with_least(pairs(df)))))
 
 
-@pytest.mark.parametrize("hot", [8192, 1])
 @pytest.mark.parametrize("which", ["real", "odd"])
-def test_suffixes(request, which, hot):
+def test_suffixes(request, which):
     df = request.getfixturevalue(which)
-    cut = suffixes.drop_repeated_strings(df, hot=hot)
+    cut = suffixes.drop_repeated_strings(df)
     out = cut.select("doc_id", "n_bytes", "n_removed", "n_spans", hash_of("kept")).collect()
     assert ordered(out) == ordered(brute.suffixes(pairs(df)))
 
 
+def test_suffixes_of_edited_copies(spark):
+    """Copies of one text with edits, cuts and shifts at many places, so that windows are settled in every round; and runs of one byte."""
+    rng = np.random.default_rng(5)
+    base = "".join(chr(97 + c) for c in rng.integers(0, 26, 3000))
+    rows = [(0, base), (1, base), (2, "a" * 900), (3, "a" * 399), (4, "b" * 401)]
+    for key in range(5, 45):
+        lo, hi = sorted(rng.integers(0, 3000, 2).tolist())
+        at = int(rng.integers(0, 3000))
+        edited = base[:at] + "#" * int(rng.integers(0, 3)) + base[at + int(rng.integers(0, 3)) :]
+        rows.append((key, f"{key}" + edited[lo : hi + 450]))
+    for i, at in enumerate(range(1000, 1420, 7)):  # one odd byte at growing distances
+        rows.append((100 + i, f"{i}-" + base[at - 400 : at] + "?" + base[at + 1 : at + 410 - i] + f"{i}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for window, k in ((400, 100), (64, 20), (40, 40)):
+        cut = suffixes.drop_repeated_strings(docs, window=window, k=k)
+        out = cut.select("doc_id", "n_bytes", "n_removed", "n_spans", hash_of("kept")).collect()
+        assert ordered(out) == ordered(brute.suffixes(rows, window))
+
+
+def test_suffixes_catch_planted_passages(spark):
+    """Passages of 400 to 900 bytes in pairs of documents that have nothing else in common: all are removed from both, and from nothing else."""
+    rng = np.random.default_rng(8)
+    rows, planted = [], {}
+    for i in range(60):
+        passage = "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(400, 900))))
+        for j in (0, 1):
+            own = ["".join(chr(65 + c) for c in rng.integers(0, 26, 500)) for _ in (0, 1)]
+            own = [own[0] + str(j), str(j) + own[1]]  # so that no passage goes on by chance
+            rows.append((2 * i + j, own[0] + passage + own[1]))
+            planted[2 * i + j] = own[0] + own[1]
+    rows += [(1000 + i, "".join(chr(65 + c) for c in rng.integers(0, 26, 2000))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in suffixes.drop_repeated_strings(docs).collect()}
+    assert all(bytes(out[k].kept).decode() == own for k, own in planted.items())
+    assert all(out[1000 + i].n_removed == 0 for i in range(60))
+
+
 @pytest.mark.parametrize("which", ["real", "odd"])
 def test_near_copies(request, which):
     df = request.getfixturevalue(which)

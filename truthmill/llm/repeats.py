@@ -67,11 +67,11 @@ class Units:
         return self.start[first], (self.end[last] if self.by_words else last + 1)
 
 
-def super_windows(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(minimiser hash, first window, number of windows) of every super-window of a piece."""
+def super_windows(units: Units, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(minimiser hash, first window, number of windows, place of the minimiser) of every super-window of a piece."""
     n = len(units)
     if n < window:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return np.zeros(0, dtype=np.uint64), *[np.zeros(0, dtype=np.int64) for _ in range(3)]
     grams = units.hashes(0, units.sums(0), np.arange(n - k + 1), k)
     least = window_minima(grams, window - k + 1)
     at = np.flatnonzero(units.doc[: n - window + 1] == units.doc[window - 1 :])
@@ -79,10 +79,10 @@ def super_windows(units: Units, window: int, k: int) -> tuple[np.ndarray, np.nda
     new = np.ones(len(at), dtype=bool)
     new[1:] = (least[1:] != least[:-1]) | (at[1:] != at[:-1] + 1)
     firsts = np.flatnonzero(new)
-    return grams[least[firsts]], at[firsts], np.diff(np.append(firsts, len(at)))
+    return grams[least[firsts]], at[firsts], np.diff(np.append(firsts, len(at))), least[firsts]
 
 
-def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The key, a hash of the text to tell rows of one key apart, and the text, null as empty."""
     value = F.coalesce(F.col(text), F.lit(""))
     return docs.select(F.col(key).cast("long").alias("_key"), F.xxhash64(value).alias("_mark"), value.alias("_text"))
@@ -94,7 +94,7 @@ def _minimisers(by_words: bool, window: int, k: int) -> Callable:
         for batch in batches:
             for lo, _, data, offsets in pieces(batch.column("_text")):
                 units.read(data, offsets)
-                found, first, _ = super_windows(units, window, k)
+                found, first, _, _ = super_windows(units, window, k)
                 row = pa.array(lo + units.doc[first])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(signed(found)), batch.column("_key").take(row), batch.column("_mark").take(row)],
@@ -123,7 +123,7 @@ def _packed(by_words: bool, window: int, k: int) -> Callable:
             lists, splits = batch.column("_hs"), batch.column("_splits")
             for lo, hi, data, offsets in pieces(batch.column("_text")):
                 units.read(data, offsets)
-                found, first, count = super_windows(units, window, k)
+                found, first, count, _ = super_windows(units, window, k)
                 part = lists.slice(lo, hi - lo)
                 owners = np.repeat(np.arange(hi - lo), part.value_lengths().to_numpy(zero_copy_only=False))
                 asked = part.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
@@ -204,13 +204,13 @@ def _lists(lengths: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.array(values, pa.int64()))
 
 
-def _bucket(by_words: bool, window: int, later: bool, rank: Callable) -> Callable:
+def _bucket(by_words: bool, window: int, later: bool) -> Callable:
     """The repeated windows among the super-windows of some minimisers."""
 
     def run(table: pa.Table) -> pa.Table:
         units = Units(by_words)
         row, number, at = _all_windows(units, table, window)
-        ranks = rank(units, at, window)
+        ranks = ranked_by_hash(units, at, window)
         repeated = _repeated(ranks, _owners(table.column("_key").combine_chunks())[row], later)
         return _found(table, *_runs(row[repeated], number[repeated], window))
 
@@ -305,14 +305,14 @@ def _found(table: pa.Table, rows: np.ndarray, start: np.ndarray, end: np.ndarray
 
 
 def repeated_stretches(
-    docs: DataFrame, key: str, text: str, window: int, k: int, by_words: bool, later: bool, rank: Callable = ranked_by_hash, hot: int = HOT
+    docs: DataFrame, key: str, text: str, window: int, k: int, by_words: bool, later: bool, hot: int = HOT
 ) -> DataFrame:
     """(_key, _mark, _starts, _ends) of the documents with repeated windows: stretches of units, in no order.
 
     With ``later`` a window counts if it also starts in a document of a smaller key (a null
     key is the smallest), else if it starts anywhere else.
     """
-    rows = _keyed(docs, key, text)
+    rows = keyed(docs, key, text)
     order = F.coalesce("_key", F.lit(LEAST_ID))
     one = stored(rows.select("_key", "_mark", "_text").mapInArrow(_minimisers(by_words, window, k), "h long, _key long, _mark long"))
     counted = one.groupBy("h").agg(F.count("*").alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi"))
@@ -335,7 +335,7 @@ def repeated_stretches(
     cold = (
         packed.filter("split = 1")
         .groupBy(F.pmod("h", F.lit(buckets)).alias("bucket"))
-        .applyInArrow(_bucket(by_words, window, later, rank), spans)
+        .applyInArrow(_bucket(by_words, window, later), spans)
     )
     hot_rows = packed.filter("split > 1").withColumn("part", F.pmod(F.xxhash64("_key", "_mark"), "split"))
     totals = hot_rows.groupBy("h", "part").applyInArrow(_part_totals(by_words, window), _TOTALS)
@@ -349,7 +349,7 @@ def with_spans(docs: DataFrame, key: str, text: str, found: DataFrame) -> DataFr
     """(_key, _text, _starts, _ends) of all documents; the arrays are null where nothing repeats."""
     found = found.withColumnsRenamed({"_key": "_k", "_mark": "_m"})
     same = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_mark") == F.col("_m"))
-    return _keyed(docs, key, text).join(found.hint("shuffle_hash"), same, "left").select("_key", "_text", "_starts", "_ends")
+    return keyed(docs, key, text).join(found.hint("shuffle_hash"), same, "left").select("_key", "_text", "_starts", "_ends")
 
 
 def flat_spans(starts: pa.Array, ends: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
