@@ -127,3 +127,57 @@ def language_model(docs):
             score += math.log10(m[0] * pair[p] / max(n, 1) + m[1] * word[p[1]] / max(total, 1) + m[2] / (size + 1))
         out.append((key, fold == 0, len(w), sum(word[x] > 0 for x in w), total, base, score))
     return out
+
+
+def quality(rows):
+    """{row number: (distance or None, kept)} of (text, lang, source) rows, written from the definition with numpy."""
+    import numpy as np
+
+    facts, groups = [], {}
+    for text, *_ in rows:
+        text = text or ""
+        w, grams = BLANK_WORD.findall(text), Counter()
+        windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        grams.update(windows)
+        repeated = len({j for i, g in enumerate(windows) if grams[g] > 1 for j in range(i, i + 5)})
+        chars, symbols = sum(map(len, w)), sum(c in "#*$%&|<>" for c in text)
+        capitals = len(re.findall("[A-Z\u00c0-\u00d6\u00d8-\u00de!]", text))
+        x = [
+            1000 * (symbols / (chars + 250)) ** 0.5, 1000 * ((capitals + 10) / (chars + 250)) ** 0.5,
+            1000 * (repeated / (len(w) + 50)) ** 0.5, 250 * np.log((chars + 250) / (len(w) + 50)),
+        ]
+        facts.append((len(w) < 10 or 100 * repeated > 20 * len(w), np.floor(np.array(x) + 0.5)))
+    for i, (_, lang, source) in enumerate(rows):
+        if not facts[i][0]:
+            groups.setdefault((lang, source), []).append(i)
+    pooled = {}
+    for (lang, source), members in groups.items():
+        pooled.setdefault((lang, source, False) if len(members) >= 100 else (lang, None, True), []).extend(members)
+    floors, distance = np.array([25.0, 40.0, 60.0, 15.0]), {}
+    level = lambda d: np.floor(64 * np.log(1 + d))
+    rescale = lambda d: max(1.0, (np.exp((np.quantile(level(d), 0.5) + 1) / 64) - 1) / 3.357)
+
+    for members in pooled.values():
+        if len(members) < 100:
+            continue
+        x = np.array([facts[i][1] for i in members])
+        mid = np.median(x, axis=0)
+        first = (((x - mid) / np.maximum(1.4826 * np.median(abs(x - mid), axis=0), floors)) ** 2).sum(axis=1)
+
+        def by(close, factor):
+            inverse = np.linalg.inv(factor * np.cov(close.T, bias=True) + np.diag(floors**2))
+            off = x - close.mean(axis=0)
+            return np.einsum("ij,jk,ik->i", off, inverse, off)
+
+        def concentrated(share, factor):
+            d = first
+            for _ in range(4):
+                d = by(x[level(d) <= np.quantile(level(d), share)], factor)
+            return d
+
+        plain, half = concentrated(0.75, 1.0), concentrated(0.5, 2.110)
+        again = by(x[half <= 11.143], 1.0644)
+        plain, again = plain / rescale(plain), again / rescale(again[again <= 11.143])
+        chosen = again if np.mean(again > 60) > 0.25 else plain
+        distance.update(zip(members, chosen.tolist()))
+    return {i: (distance.get(i), not facts[i][0] and distance.get(i, 0.0) <= 60) for i in range(len(rows))}

@@ -5,6 +5,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ import brute
 import corpus_pipeline
 
 import __spark_entry__ as entry
-from truthmill.llm import oracles
+from truthmill.llm import licenses, oracles
 from truthmill.llm.queries import ORACLES, QUERIES
 from truthmill.operators.shared import stored
 
@@ -71,6 +72,55 @@ def test_repeated_long_lines_go_by_sql_too(spark, tmp_path):
     assert [r[columns.index("n_removed")] for r in got] == [0, 1, 0, 2, 0, 2]
 
 
+def by_query_and_sql(spark, folder, name, docs):
+    """Columns and sorted rows of a query over the given documents, equal to those of its SQL."""
+    docs.write.parquet(f"{folder}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    result = con.execute(ORACLES[name])
+    columns = [c[0] for c in result.description]
+    got = sorted(map(tuple, QUERIES[name](spark, str(folder)).select(*columns).collect()), key=str)
+    wanted = sorted(result.fetchall(), key=str)
+    assert len(got) == len(wanted) and all(same(a, b) for x, y in zip(got, wanted) for a, b in zip(x, y))
+    return columns, got
+
+
+def test_wrapped_notices_by_sql_too(spark, tmp_path):
+    rows = []
+    for i, (_, notice) in enumerate(licenses.TEMPLATES):
+        words = notice.split()
+        for width in (1, 3, 7, 99):
+            rows.append((len(rows), "a b\n" + "\n".join(" * " + " ".join(words[j : j + width]) for j in range(0, len(words), width)) + "\nend"))
+        rows.append((len(rows), "\n".join(w + " z" * 5 for w in words)))
+        rows.append((len(rows), "\n".join([" ".join(words[:3]), *words[5:]])))
+    rows += [(7, None), (8, ""), (8, "it was released\nLicensed under the Apache License, Version 2.0."), (9, "cc\nby cc by")]
+    columns, got = by_query_and_sql(spark, tmp_path, "op4_license_scan", spark.createDataFrame(rows, "doc_id long, text string"))
+    labels = {r[columns.index("doc_id")]: r[columns.index("labels")] for r in got}
+    assert labels[30] == labels[31] == labels[32] == "bsd" and labels[34] == ""  # by lines alone only number 33 has a label
+
+
+def test_junk_beyond_a_quarter_by_sql_and_numpy(spark, tmp_path):
+    """The estimate on half of the texts judges one group, the usual one another, a pool of small groups a third, and one is too small."""
+    rng = np.random.default_rng(17)
+    words = [f"{a}{b}" for a in ("wor", "te", "ran", "mil") for b in ("d", "xt", "ge", "ler", "sing")]
+    rows = []
+    for lang, source, n, junk in (("en", "a", 300, 0.4), ("en", "b", 200, 0.1), (None, "c", 70, 0.1), (None, None, 60, 0.0), ("de", "d", 40, 0.5)):
+        for i in range(n):
+            bad = i < junk * n
+            own = rng.choice(words, 100 if bad else rng.integers(30, 300))
+            text = " ".join(w + "$$$" if bad and rng.random() < 0.8 else w.title() if rng.random() < 0.05 else w for w in own)
+            rows.append((len(rows), text, lang, source))
+    rows += [(5000, None, "en", "a"), (5001, "few words", "en", "a"), (5002, "a b c d e " * 20, "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    columns, got = by_query_and_sql(spark, tmp_path, "op9_quality_rules", docs)
+    plain = brute.quality([r[1:] for r in rows])
+    found = {r[columns.index("doc_id")]: (r[columns.index("distance")], r[columns.index("kept")]) for r in got}
+    assert len(found) == len(rows)
+    for i, (key, *_) in enumerate(rows):
+        assert found[key][1] == plain[i][1] and same(found[key][0], plain[i][0]), (key, found[key], plain[i])
+    assert not any(plain[i][1] for i in range(120)) and sum(plain[i][1] for i in range(120, 300)) >= 120
+
+
 def test_one_row_of_each_group_of_near_copies_stays(spark):
     text = " ".join(f"w{i}" for i in range(80))
     near = text + " tail"

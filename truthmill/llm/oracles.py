@@ -15,36 +15,45 @@ def _text(value: str) -> str:
 def license_scan() -> str:
     phrases = ", ".join(f"({_text(p)}, {_text(label)})" for p, label in licenses.PHRASES.items())
     templates = ", ".join(f"({i}, {_text(label)}, {_text(t.lower())})" for i, (label, t) in enumerate(licenses.TEMPLATES))
+    enough = f"ceil(round({licenses.THRESHOLD} * len(t.s), 9))"
     return f"""
 WITH phrase(p, label) AS (VALUES {phrases}),
 template(id, label, t) AS (VALUES {templates}),
-sets AS (SELECT id, label, list_distinct(regexp_extract_all(t, {WORD})) AS s FROM template),
-doc AS (SELECT doc_id, {LOWER} AS text, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
+sets AS (SELECT id, label, list_distinct(regexp_extract_all(t, {WORD})) AS s, len(regexp_extract_all(t, {WORD})) AS reach FROM template),
+doc AS (SELECT doc_id, row_number() OVER () AS row, {LOWER} AS text, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
 place AS (
-  SELECT doc_id, label, i - 1 AS spot
+  SELECT row, label, i - 1 AS spot
   FROM doc, phrase, unnest(range(1, len(w) + 1)) AS r(i)
   WHERE array_to_string(w[i:i + len(string_split(p, ' ')) - 1], ' ') = p
 ),
 base AS (
-  SELECT doc_id, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list(DISTINCT label) AS labels FROM place GROUP BY doc_id
+  SELECT row, count(*) AS n, min(spot) AS lo, max(spot) AS hi, list(DISTINCT label) AS labels FROM place GROUP BY row
 ),
 block AS (
-  SELECT doc_id, list_distinct(regexp_extract_all(line, {WORD})) AS s
-  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)
+  SELECT row, list_distinct(regexp_extract_all(line, {WORD})) AS s
+  FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM doc)
+),
+holding AS (
+  SELECT row, w, t.*, flatten(list_transform(string_split(text, chr(10)), lambda x, i: list_transform(regexp_extract_all(x, {WORD}), lambda y: i))) AS l
+  FROM doc, sets t WHERE len(list_intersect(list_distinct(w), t.s)) >= {enough}
+),
+wrapped AS (
+  SELECT row, id, list_distinct(w[i:i + reach - 1]) AS s
+  FROM holding, unnest(range(1, len(w) + 1)) AS r(i) WHERE l[least(i + reach - 1, len(w))] > l[i]
 ),
 near AS (
-  SELECT doc_id, label, len(list_intersect(b.s, t.s)) / len(t.s) AS share, len(list_intersect(b.s, t.s)) AS n, len(t.s) AS size
-  FROM block b, sets t
+  SELECT row, label, len(list_intersect(b.s, t.s)) AS n, t.s FROM block b, sets t
+  UNION ALL SELECT row, label, len(list_intersect(b.s, t.s)), t.s FROM wrapped b JOIN sets t USING (id)
 ),
 found AS (
-  SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels
-  FROM near WHERE n >= ceil(round({licenses.THRESHOLD} * size, 9)) GROUP BY doc_id
+  SELECT row, max(n / len(s)) AS share, list(DISTINCT label) AS labels
+  FROM near t WHERE n >= {enough} GROUP BY row
 )
 SELECT doc.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, lo AS first_word, hi AS last_word,
   coalesce(array_to_string(list_sort(base.labels), ','), '') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels,
   CASE WHEN base.n > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0)::DOUBLE END AS score
-FROM doc LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+FROM doc LEFT JOIN base USING (row) LEFT JOIN found USING (row)
 """
 
 
@@ -116,15 +125,15 @@ def quality_rules() -> str:
     features = ", ".join(q.FEATURES)
     sums = ", ".join(f"{sql} AS {name}" for name, sql in q.sums_sql().items())
     parts = [
-        f"doc AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)",
-        "gram AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS r(i))",
-        "twice AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM gram) WHERE c > 1)",
-        "rep AS (SELECT doc_id, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + 5)) AS r(j) GROUP BY doc_id)",
-        f"ln AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc) WHERE trim(line, {BLANKS}) <> '' GROUP BY doc_id)",
-        """stat AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+        f"doc AS (SELECT doc_id, row_number() OVER () AS row, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents)",
+        "gram AS (SELECT row, i, array_to_string(w[i:i + 4], ' ') AS g FROM doc, unnest(range(1, greatest(len(w) - 4, 0) + 1)) AS r(i))",
+        "twice AS (SELECT row, i FROM (SELECT *, count(*) OVER (PARTITION BY row, g) AS c FROM gram) WHERE c > 1)",
+        "rep AS (SELECT row, count(DISTINCT j) AS n FROM twice, unnest(range(i, i + 5)) AS r(j) GROUP BY row)",
+        f"ln AS (SELECT row, count(*) - count(DISTINCT line) AS n FROM (SELECT row, unnest(string_split(text, chr(10))) AS line FROM doc) WHERE trim(line, {BLANKS}) <> '' GROUP BY row)",
+        """stat AS (SELECT doc_id, row, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   length(text) - length(regexp_replace(text, '[A-ZÀ-ÖØ-Þ!]', '', 'g')) AS n_capitals,
-  coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM doc LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id))""",
+  coalesce(ln.n, 0) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words FROM doc LEFT JOIN rep USING (row) LEFT JOIN ln USING (row))""",
         "feat AS (SELECT *, " + ", ".join(f"{sql} AS {f}" for f, sql in q.FEATURE_SQL.items())
         + f", n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM stat)",
         "size AS (SELECT lang, source, count(*) AS n FROM feat WHERE NOT base_failed GROUP BY ALL)",
@@ -137,25 +146,38 @@ def quality_rules() -> str:
         f"level0 AS (SELECT x.*, {q.level_sql(q.first_distance_sql())} AS level FROM judged x JOIN mad g ON x.{same})",
     ]
     kept = ", ".join([group, *[f"mean_{i}" for i in range(len(q.FEATURES))], *[f"l_{i}_{j}" for i in range(len(q.FEATURES)) for j in range(i + 1)]])
-    for n in range(q.STEPS + 1):
-        parts += [
-            f"cut{n} AS (SELECT {group}, quantile_cont(level, {q.SUPPORT}) AS cut FROM level{n} GROUP BY ALL)",
-            f"sum{n} AS (SELECT {group}, {sums} FROM (SELECT x.* FROM level{n} x JOIN cut{n} g ON x.{same} WHERE level <= cut) GROUP BY ALL)",
-            f"factor{n} AS ({_steps(f'sum{n}', kept, q.factor_sql())})",
-            f"near{n} AS (SELECT x.*, g.* EXCLUDE ({group}) FROM placed x LEFT JOIN factor{n} g ON x.{same})",
-            f"scored{n} AS ({_steps(f'near{n}', f'doc_id, {group}, {features}, base_failed, d2', q.distance_sql())})",
-            f"level{n + 1} AS (SELECT *, {q.level_sql('d2')} AS level FROM scored{n} WHERE NOT base_failed AND d2 IS NOT NULL)",
+
+    def estimate(name: str, close: str, times: float | None = None) -> list[str]:
+        """Sums over the close rows, their factor, and everybody's distance by it."""
+        return [
+            f"sum_{name} AS (SELECT {group}, {sums} FROM ({close}) GROUP BY ALL)",
+            f"factor_{name} AS ({_steps(f'sum_{name}', kept, q.factor_sql(times))})",
+            f"near_{name} AS (SELECT x.*, g.* EXCLUDE ({group}) FROM judged x JOIN factor_{name} g ON x.{same})",
+            f"scored_{name} AS ({_steps(f'near_{name}', f'doc_id, row, {group}, {features}, d2', q.distance_sql())})",
+            f"level_{name} AS (SELECT *, {q.level_sql('d2')} AS level FROM scored_{name})",
         ]
-    last = q.STEPS + 1
+
+    for name, support, times in (("most", q.SUPPORT, None), ("half", q.HALF, q.HALF_FACTOR)):
+        before = "level0"
+        for n in range(q.STEPS + 1):
+            parts.append(f"cut_{name}{n} AS (SELECT {group}, quantile_cont(level, {support}) AS cut FROM {before} GROUP BY ALL)")
+            parts += estimate(f"{name}{n}", f"SELECT x.* FROM {before} x JOIN cut_{name}{n} g ON x.{same} WHERE level <= cut", times)
+            before = f"level_{name}{n}"
+    parts += estimate("within", f"SELECT * FROM level_half{q.STEPS} WHERE d2 <= {q.WITHIN}", q.WITHIN_FACTOR)
+    for name, rows in (("most", f"level_most{q.STEPS}"), ("within", f"level_within WHERE d2 <= {q.WITHIN}")):
+        parts.append(f"scale_{name} AS (SELECT {group}, greatest(1.0, (exp((quantile_cont(level, 0.5) + 1) / 64) - 1) / {q.MEDIAN_DISTANCE}) AS scale FROM {rows} GROUP BY ALL)")
+    for name, rows in (("most", f"level_most{q.STEPS}"), ("within", "level_within")):
+        parts.append(f"dist_{name} AS (SELECT row, {', '.join(f'x.{c}' for c in group.split(', '))}, d2 / scale AS distance FROM {rows} x JOIN scale_{name} g ON x.{same})")
     parts += [
-        f"median AS (SELECT {group}, quantile_cont(level, 0.5) AS mid FROM level{last} GROUP BY ALL)",
-        f"dist AS (SELECT x.doc_id, d2 / greatest(1.0, (exp((mid + 1) / 64) - 1) / {q.MEDIAN_DISTANCE}) AS distance FROM level{last} x JOIN median g ON x.{same})",
+        f"junk AS (SELECT {group} FROM dist_within GROUP BY ALL HAVING avg(CASE WHEN distance > {q.CUTOFF} THEN 1.0 ELSE 0.0 END) > {1 - q.SUPPORT})",
+        f"dist AS (SELECT row, distance FROM dist_most x WHERE NOT EXISTS (SELECT 1 FROM junk g WHERE x.{same})"
+        f" UNION ALL SELECT row, distance FROM dist_within x JOIN junk g ON x.{same})",
     ]
     return f"""
 WITH {",".join(chr(10) + p for p in parts)}
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, distance, base_failed,
   NOT base_failed AND coalesce(distance, 0) <= {q.CUTOFF} AS kept
-FROM placed LEFT JOIN dist USING (doc_id)
+FROM placed LEFT JOIN dist USING (row)
 """
 
 
