@@ -87,3 +87,17 @@ def test_members_of_classes(spark, rows):
     members = pairs.class_members(df, terms(), "doc_id", "label").collect()
     assert len(members) == len(rows) - 2
     assert {r.id for r in members if 1000 <= r.doc_id < 2000} == {1000, 1001}
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 20])
+def test_only_pairs_at_the_threshold_leave_their_tasks(spark, rows, chunk, monkeypatch):
+    """Vectors are shuffled, pairs are not: nothing is exchanged above the step that makes them, whatever share a word."""
+    monkeypatch.setattr(pairs, "CHUNK", chunk)
+    df = spark.createDataFrame(rows, "doc_id long, label double, content string")
+    weights = pairs.inverse_frequency_weights(pairs.article_classes(df, terms(), "doc_id", "label"), "label")
+    sides = [weights.filter(F.col("label") == c).drop("label") for c in (0.0, 1.0)]
+    found = pairs.similar_pairs(*sides, 0.2, block_rows=50)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan.split("FlatMapCoGroupsInArrow")[0] and "FlatMapCoGroupsInArrow" in plan
+    want = {at: cosine for at, (_, _, cosine) in plain_pairs(rows, 0.2).items()}
+    assert {(r.left, r.right): r.cosine for r in found.collect()} == pytest.approx(want, abs=2e-6)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from truthmill.functions.arrays import let, run_lengths
+from truthmill.functions.arrays import run_lengths
 from truthmill.operators.corpus import idf_smoothed
 from truthmill.operators.shared import join_words, stored
 
-#: Rows of one word that meet at once; the rows of a more frequent word are dealt to several blocks.
-BLOCK_ROWS = 512
+#: Vectors of one side that a block holds, how many it holds at least where there are enough tasks, and products made at once.
+BLOCK_ROWS, LEAST_BLOCK, CHUNK = 8_192, 512, 1 << 20
 #: Cosines are compared after rounding, so equal vectors compare equal whatever the order of their sums.
 DIGITS = 6
 _SLACK = 1e-9
@@ -51,7 +56,7 @@ def inverse_frequency_weights(classes: DataFrame, *within: str) -> DataFrame:
 
 
 def _vectors(weights: DataFrame, threshold: float, side: str) -> tuple[DataFrame, DataFrame]:
-    """(unit vectors, their prefix words) of one side, in one shuffle by id.
+    """(entries of the unit vectors, their prefix words) of one side, in one shuffle by id.
 
     Words go by their frequency, the rarest first. ``rest`` is the length of a unit vector from the word on. Two vectors share no
     word before their first common one, so their product is at most the product of what is left of both there: neither
@@ -60,48 +65,85 @@ def _vectors(weights: DataFrame, threshold: float, side: str) -> tuple[DataFrame
     every, onward = Window.partitionBy("id"), Window.partitionBy("id").orderBy(F.desc("df"), F.desc("word"))
     square = F.col("weight") * F.col("weight")
     rows = weights.select("id", "word", "df", "weight", F.sum(square).over(every).alias("s"), F.sum(square).over(onward).alias("r"))
-    rows = stored(rows.select("id", "word", "df", (F.col("weight") / F.sqrt("s")).alias("unit"), F.sqrt(F.col("r") / F.col("s")).alias("rest")))
-    whole = rows.groupBy("id").agg(F.collect_list(F.struct("word", "unit")).alias("v"))
-    prefix = rows.filter(F.col("rest") >= threshold - _SLACK).select("word", F.col("id").alias(side), F.col("rest").alias(f"{side}_rest"))
-    return whole.select(F.col("id").alias(side), F.col("v").alias(f"{side}_v")), prefix
+    rest = F.sqrt(F.col("r") / F.col("s")).alias(f"{side}_rest")
+    rows = stored(rows.select(F.col("id").alias(side), "word", (F.col("weight") / F.sqrt("s")).alias("unit"), rest))
+    return rows, rows.filter(F.col(f"{side}_rest") >= threshold - _SLACK).select("word", side, f"{side}_rest")
+
 
+def _entries(vectors: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """(row, place, unit, rest) of all entries of a column of vectors."""
+    flat = pc.list_flatten(vectors).combine_chunks()
+    row = np.repeat(np.arange(len(vectors)), pc.list_value_length(vectors).to_numpy())
+    return row, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "unit", "rest"))
 
-def _dot(a: Column, b: Column) -> Column:
-    """Product of two vectors given as (word, unit) entries: of all entries in word order, neighbours of one word are multiplied."""
 
-    def products(both: Column) -> Column:
-        ahead = F.slice(both, F.lit(2), F.size(both))
-        pairs = F.zip_with(both, ahead, lambda x, y: F.when(x["word"] == y["word"], x["unit"] * y["unit"]))
-        return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+def _near(threshold: float) -> Callable:
+    """The pairs of a block's left and right vectors that come near the threshold; only these leave the task.
+
+    The right vectors are listed by word. A left vector adds up its products with the lists of its words, so a block costs
+    what its vectors share and holds no pairs but those it lets out. One without a prefix word in common with the block is passed over.
+    """
 
-    return let(F.sort_array(F.concat(a, b)), products)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, place, unit, rest = _entries(left["v"])
+        its_row, its_place, its_unit, its_rest = _entries(right["v"])
+        order = np.argsort(its_place, kind="stable")
+        words, begin, size = np.unique(its_place[order], return_index=True, return_counts=True)
+        its_row, its_unit = its_row[order], its_unit[order]
+        widest = np.maximum.reduceat(its_rest[order], begin) if len(begin) else its_rest
+        at = np.minimum(np.searchsorted(words, place), max(len(words) - 1, 0))
+        known = words[at] == place if len(words) else np.zeros(len(place), dtype=bool)
+        row, unit, rest, at = row[known], unit[known], rest[known], at[known]
+        asked = np.unique(row[rest * widest[at] >= threshold - _SLACK])
+        ends = np.searchsorted(row, np.arange(left.num_rows + 1))
+        found: list[tuple[np.ndarray, ...]] = []
+        for i in asked:
+            score = np.zeros(right.num_rows)
+            lists = at[ends[i] : ends[i + 1]]
+            upto = np.cumsum(size[lists])
+            lo = 0
+            while lo < len(lists):  # lists of CHUNK products together, or one longer list
+                hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + CHUNK, side="right")))
+                n, first = size[lists[lo:hi]], begin[lists[lo:hi]]
+                entry = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                score += np.bincount(its_row[entry], np.repeat(unit[ends[i] + lo : ends[i] + hi], n) * its_unit[entry], minlength=len(score))
+                lo = hi
+            near = np.flatnonzero(score >= threshold - 10.0**-DIGITS)
+            found.append((np.full(len(near), i), near, score[near]))
+        i, j, score = map(np.concatenate, zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        return pa.table({"left": left["left"].take(pa.array(i)), "right": right["right"].take(pa.array(j)), "cosine": score})
+
+    return run
 
 
 def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(left, right, cosine): all pairs of weighted vectors whose cosine reaches the threshold.
 
-    Both sides are (id, word, df, weight) with df the same for a word on both; weights may have any sign. Only vectors that share a prefix word (see
-    ``_vectors``) meet, and only if what is left of both from that word on can still reach the threshold. The
-    rows of a frequent word are dealt to blocks by id, each block of one side meets each of the other, so no word puts its
-    pairs into one task. Candidates are confirmed on the whole vectors. Work grows with the candidates; groups of alike vectors
-    are best made one class first.
+    Both sides are (id, word, df, weight) with df the same for a word on both; weights may have any sign. Words that only one side
+    has add nothing to a product and stay behind; the others are numbered. Each block of left vectors meets each
+    block of right ones in a task of its own, where the products are added up word by word (``_near``): what is shuffled is vectors, each as
+    often as the other side has blocks, and what is written is pairs at the threshold, however many share a word. The compute grows
+    with the words that pairs share; groups of alike vectors are best made one class first.
     """
     if not 0 < threshold <= 1:
         raise ValueError("the threshold is a cosine above 0")
-    left_vectors, a = _vectors(left, threshold, "left")
-    right_vectors, b = _vectors(right, threshold, "right")
-    counts = a.groupBy("word").agg(F.count("*").alias("n")).join(b.groupBy("word").agg(F.count("*").alias("m")), "word")
-    blocks = lambda c: F.ceil(F.col(c) / block_rows).cast("int")
-    counts = stored(counts.select("word", blocks("n").alias("n"), blocks("m").alias("m")))
-    dealt = lambda key, parts: F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
-    all_of = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
-    a = join_words(a, counts, "word").select("word", "left", "left_rest", dealt("left", "n").alias("i"), all_of("m").alias("j"))
-    b = join_words(b, counts, "word").select("word", "right", "right_rest", all_of("n").alias("i"), dealt("right", "m").alias("j"))
-    reach = F.col("left_rest") * F.col("right_rest") >= threshold - _SLACK
-    found = a.join(b.hint("shuffle_hash"), ["word", "i", "j"]).filter(reach).select("left", "right").distinct()
-    near = stored(found).join(left_vectors, "left").join(right_vectors, "right")
-    near = near.select("left", "right", F.round(_dot(F.col("left_v"), F.col("right_v")), DIGITS).alias("cosine"))
-    return near.filter(F.col("cosine") >= threshold)
+    sides = {name: _vectors(df, threshold, name)[0] for name, df in (("left", left), ("right", right))}
+    common = sides["left"].select("word").distinct().join(sides["right"].select("word").distinct(), "word", "left_semi")
+    common = stored(common.withColumn("at", F.monotonically_increasing_id()))
+    vectors, parts = {}, {}
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    for name, rows in sides.items():
+        entry = F.struct("at", "unit", F.col(f"{name}_rest").alias("rest"))
+        vectors[name] = stored(join_words(rows, common, "word").groupBy(name).agg(F.collect_list(entry).alias("v")))
+        n = vectors[name].count()
+        parts[name] = max(1, -(-n // min(block_rows, max(LEAST_BLOCK, -(-n // tasks)))) if name == "right" else -(-n // block_rows))
+    dealt = lambda name: F.pmod(F.xxhash64(name), F.lit(parts[name])).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(parts[name] - 1)))
+    a = vectors["left"].select(dealt("left").alias("i"), every("right").alias("j"), "left", "v").groupBy("i", "j")
+    b = vectors["right"].select(every("left").alias("i"), dealt("right").alias("j"), "right", "v").groupBy("i", "j")
+    kinds = ", ".join(f"{name} {vectors[name].schema[name].dataType.simpleString()}" for name in vectors)
+    near = a.cogroup(b).applyInArrow(_near(threshold), f"{kinds}, cosine double")
+    return near.withColumn("cosine", F.round("cosine", DIGITS)).filter(F.col("cosine") >= threshold)
 
 
 def similar_articles(
