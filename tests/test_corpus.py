@@ -141,3 +141,20 @@ def test_release_removes_stored_tables(spark):
     assert spark_rows.count() == 5
     assert shared.release(spark) == 1
     assert shared.release(spark) == 0
+
+
+def test_only_rare_words_of_a_long_list_are_shuffled(spark):
+    """A list beyond the bound gives the same sums, with a word in every document taken before any shuffle."""
+    texts = [(i, f"hot hot w{i % 40} only{i} none{i}") for i in range(400)] + [(500, "nothing"), (501, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, content string").repartition(4)
+    bag = corpus.bag_of_words(docs, F.split("content", " "), "doc_id")
+    words = [("hot", 1.0), *[(f"w{i}", -0.5) for i in range(40)], *[(f"only{i}", 2.0) for i in range(0, 400, 2)], ("zero", 0.0)]
+    scored = spark.createDataFrame(words, "word string, score double").localCheckpoint()
+    whole = corpus.score_words(bag, scored)
+    want = {i: (2.0 + 2.0 * (i % 2 == 0), 0.5, 3 + (i % 2 == 0)) for i in range(400)}
+    for bound in (1, 3, 60, 1_000):
+        out = corpus.score_words(bag, scored, broadcast_rows=bound)
+        assert {r.doc_id: (r.positive_score, r.negative_score, r.scored_tokens) for r in out.collect()} == want
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, out.collect()))
+    frequent = {r.word for r in corpus._frequent_words(bag, "doc_id", 1).collect()}
+    assert frequent == {"hot"} and corpus._frequent_words(bag.limit(0), "doc_id", 5).count() == 0

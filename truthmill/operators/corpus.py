@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from truthmill.functions.arrays import run_lengths
 from truthmill.functions.vectors import sparse_vector
-from truthmill.operators.shared import dense_index, join_words, stored
+from truthmill.operators.shared import BROADCAST_ROWS, dense_index, is_small, join_words, stored
 
 # --- fixed value: words are kept above this count -----------------------------------
 MIN_COUNT = 10
 # ------------------------------------------------------------------------------------
+#: Of so many documents one is looked at to find the words that most rows hold.
+FREQUENT_SHARE = 64
 
 
 def bag_of_words(df: DataFrame, terms: Column, *keys: str) -> DataFrame:
@@ -140,9 +142,19 @@ def tfidf_vectors(weights: DataFrame, documents: DataFrame, size: Column, key: s
     )
 
 
-def score_words(bag: DataFrame, scored: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Positive and negative score sums of every document against a (word, score) table."""
-    hits = join_words(bag, scored, "word")
+def score_words(bag: DataFrame, scored: DataFrame, key: str = "doc_id", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Positive and negative score sums of every document against a stored (word, score) table.
+
+    Every word of a document counts. A list beyond the bound is taken in two parts, so that few of the documents' words are
+    shuffled: the frequent words are broadcast, and only the rest of the bag meets the rest of the list by word.
+    """
+    if is_small(scored, broadcast_rows):
+        hits = bag.join(F.broadcast(scored), "word")
+    else:
+        frequent = F.broadcast(_frequent_words(bag, key, broadcast_rows))
+        near = bag.join(F.broadcast(stored(scored.join(frequent, "word", "left_semi"))), "word")
+        far = bag.join(frequent, "word", "left_anti").join(scored.join(frequent, "word", "left_anti"), "word")
+        hits = near.unionByName(far)
     score = F.col("tf") * F.col("score")
     return hits.groupBy(key).agg(
         F.sum(F.when(F.col("score") > 0, score).otherwise(0.0)).alias("positive_score"),
@@ -151,6 +163,19 @@ def score_words(bag: DataFrame, scored: DataFrame, key: str = "doc_id") -> DataF
     )
 
 
+def _frequent_words(bag: DataFrame, key: str, most: int) -> DataFrame:
+    """A stored table of up to ``most`` words that stand in many documents, as one document in ``FREQUENT_SHARE`` shows.
+
+    It only says which way a word's rows go, as the bounds of a sort by ranges do.
+    """
+    some = bag.filter(F.pmod(F.xxhash64(key), F.lit(FREQUENT_SHARE)) == 0)
+    counts = stored(some.groupBy("word").agg(F.count("*").alias("n")))
+    least = 1
+    while not is_small(counts.filter(F.col("n") >= least), most):
+        least += 1
+    return stored(counts.filter(F.col("n") >= least).select("word"))
+
+
 def class_similarity(df: DataFrame, terms: Column, key: str = "doc_id") -> DataFrame:
     """Cosine of every document's word counts with the summed counts of each class.
 
