@@ -90,3 +90,17 @@ def test_rows_are_stored_as_their_entries(frame):
     row = hinge.sparse_rows(frame, "doc_id").filter("doc_id = 0").first()
     assert len(row["indices"]) == len(row["values"]) == 40
     assert hinge.sparse_rows(frame).select(F.max(F.size("indices"))).first()[0] == 40
+
+
+@pytest.mark.parametrize("entries, slab", [(1, 7), (50, 16), (1 << 20, 1 << 16)])
+def test_steps_read_blocks_and_add_slabs(frame, data, entries, slab, monkeypatch):
+    """Rows are packed once into blocks of entries; a task lets out a row for each slab of weights, not for each weight."""
+    monkeypatch.setattr(hinge, "BLOCK_ENTRIES", entries)
+    monkeypatch.setattr(hinge, "SLAB", slab)
+    blocks = hinge.packed(hinge.sparse_rows(frame))
+    sides = sum(len(r.side) for r in blocks.collect()) // 8
+    assert sides == 300 and (blocks.count() == 300 if entries == 1 else blocks.count() < 150)
+    out = blocks.mapInArrow(hinge._partial_sums(np.zeros(40)), "slab long, pull binary").collect()
+    assert len(out) <= 5 * -(-40 // slab)
+    model = hinge.fit_hinge_l1(frame, 40, steps=4, reg=0.05)
+    assert model.weights == pytest.approx(plain_fit(data, 40, 4, reg=0.05)[0])
