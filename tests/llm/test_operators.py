@@ -2,12 +2,14 @@
 
 import math
 import sys
+import tracemalloc
 import zlib
 from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -93,6 +95,23 @@ def test_suffixes_catch_planted_passages(spark):
     assert all(out[1000 + i].n_removed == 0 for i in range(60))
 
 
+def test_suffixes_hold_few_positions_at_once():
+    """A task's numbers for each byte follow the piece of text it works on: memory beside a batch stays a small multiple of a long text."""
+    rng = np.random.default_rng(4)
+    texts = ["".join(chr(97 + c) for c in rng.integers(0, 26, 100_000)) for _ in range(24)]
+    keys = pa.array(range(24))
+    slices = pa.RecordBatch.from_arrays([keys, keys, pa.array(texts)], names=["_key", "_mark", "_text"])
+    spans = [pa.array([[at] for at in range(24)], pa.list_(pa.int64())), pa.array([[at + 500] for at in range(24)], pa.list_(pa.int64()))]
+    cuts = pa.RecordBatch.from_arrays([keys, pa.array(texts), *spans], names=["_key", "_text", "_starts", "_ends"])
+    for work, batch, column, expected in ((suffixes._slices(400, 100), slices, "n", 24 * 99_601), (suffixes._cut, cuts, "n_removed", 24 * 500)):
+        tracemalloc.start()
+        total = sum(sum(out.column(column).to_pylist()) for out in work(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert total == expected
+        assert peak < 40e6
+
+
 @pytest.mark.parametrize("which", ["real", "odd"])
 def test_near_copies(request, which):
     df = request.getfixturevalue(which)
