@@ -68,7 +68,7 @@ def mismatches(values: np.ndarray, block: int, first: int, n: int) -> np.ndarray
     """Sums of squared differences, modulo the prime, of n blocks with the stretches after them.
 
     Cell (d, i) compares block ``first + i`` with the words ``block + d`` further on, for all d
-    below ``block``. Words that all agree give 0; a 0 of words that do not is possible but rare.
+    below ``block``. Words that all agree give 0, which stands as the prime; a 0 of words that do not is possible but rare.
     The sum is that of both squares, from running totals, less twice the product, which is the convolution of the
     reversed block with the following window of two blocks.
     """
@@ -85,7 +85,8 @@ def mismatches(values: np.ndarray, block: int, first: int, n: int) -> np.ndarray
     at = np.arange(n) * block
     own = total[at + block] - total[at]
     its = total[at + 2 * block + places] - total[at + block + places]
-    return (own + its) % _P + (_P - twice)  # the prime itself where all agree
+    out = (own + its) % _P + (_P - twice)
+    return np.where(out > _P, out - _P, out)  # the prime itself where all agree
 
 
 def _leading(values: np.ndarray, at: np.ndarray, period: np.ndarray, step: int, most: int) -> np.ndarray:
