@@ -159,6 +159,17 @@ def test_language_model(request, which, sent, monkeypatch):
         assert math.isclose(a[5], b[5], rel_tol=1e-9) and math.isclose(a[6], b[6], rel_tol=1e-9)
 
 
+def test_words_of_one_text_are_not_sent(spark, monkeypatch):
+    """Only words of two texts and more count against the bound; what a text alone has is counted there, and its pairs stay."""
+    monkeypatch.setattr(language_model, "_joined_pairs", None)
+    rows = [(i, f"both a{i} a{i} b{i} both both a{i} a{i}" + " more" * (i % 2)) for i in range(40)]
+    rows += [(i, None if i % 2 else "c" * i) for i in range(40, 44)]
+    out = ordered(language_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), sent_words=3).collect())
+    expected = ordered(brute.language_model(rows))
+    assert [r[:5] for r in out] == [r[:5] for r in expected]
+    assert [r[5:] for r in out] == [pytest.approx(r[5:], rel=1e-9) for r in expected]
+
+
 def test_only_a_to_z_are_lowered_in_license_scans(spark):
     docs = spark.createDataFrame([(1, "MIT LICENSE"), (2, "m\u0130t license"), (3, "apache licen\u017fe"), (4, "Apache  License")], "doc_id long, text string")
     out = {r.doc_id: (r.n_words, r.base_labels) for r in licenses.license_scan(docs).collect()}

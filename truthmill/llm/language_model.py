@@ -24,6 +24,8 @@ BUCKET_TOKENS = 1_200_000
 #: Pairs of so many tokens are scored where they stand; there are at most total / HOT_TOKENS of them.
 HOT_TOKENS = 100_000
 END, START = np.uint64(1), np.uint64(2)
+#: Words of the vocabulary that tasks must be told about: what a text alone has, it can count itself.
+SENT = "n > 0 and texts > 1"
 
 
 class Tokens:
@@ -42,25 +44,40 @@ class Tokens:
         self.first = np.searchsorted(self.doc, np.arange(n + 1))
 
 
+def _ordered(key: np.ndarray, most: int) -> np.ndarray:
+    """Places of the keys, each ``most`` at most, in ascending order, equal ones as they stand; short keys are sorted together with their places."""
+    bits = len(key).bit_length()
+    if int(most).bit_length() + bits > 63:
+        return np.argsort(key, kind="stable")
+    at = np.sort((key.astype(np.int64) << bits) | np.arange(len(key)))
+    return at & ((1 << bits) - 1)
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct words of each piece of texts with their tokens in the training folds and in the deleted one."""
+    """Distinct words of each piece of texts with their tokens in the training folds and in the deleted one, and the texts they stand in."""
     tokens = Tokens()
     for batch in batches:
         fold = batch.column("_fold").to_numpy()
-        for lo, _, data, offsets in pieces(batch.column("_text")):
+        for lo, hi, data, offsets in pieces(batch.column("_text")):
             tokens.read(data, offsets)
             of = fold[lo + tokens.doc]
-            word, place = np.unique(tokens.word[of != 0], return_inverse=True)
-            held = np.bincount(place, weights=of[of != 0] == DELETED_FOLD, minlength=len(word)).astype(np.int64)
-            total = np.bincount(place, minlength=len(word))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(word)), pa.array(total), pa.array(held)], names=["word", "n", "held"])
+            word, place = np.unique(tokens.word, return_inverse=True)
+            held = np.bincount(place, weights=of == DELETED_FOLD, minlength=len(word)).astype(np.int64)
+            total = np.bincount(place, weights=of != 0, minlength=len(word)).astype(np.int64)
+            stands = np.sort(tokens.doc * len(word) + place)
+            texts = np.bincount(stands[np.append(True, stands[1:] != stands[:-1])] % len(word), minlength=len(word))
+            columns = (signed(word), total, held, texts.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["word", "n", "held", "texts"])
 
 
 class Lookup:
-    """Places of words in the sorted vocabulary; unseen words share the place behind the last, starts the one after."""
+    """Places of words in the sorted vocabulary of words of several texts; other words share the place behind the last, starts the one after.
+
+    ``total`` and ``types`` count the tokens and the distinct words of all training texts.
+    """
 
-    def __init__(self, vocabulary: dict[str, np.ndarray]):
-        self.word, self.n, self.counted = (vocabulary[name] for name in ("word", "n", "counted"))
+    def __init__(self, vocabulary: dict):
+        self.word, self.n, self.counted, self.total, self.types = (vocabulary[name] for name in ("word", "n", "counted", "total", "types"))
 
     def ids(self, word: np.ndarray) -> np.ndarray:
         size = len(self.word)
@@ -76,12 +93,12 @@ def _in_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _collected(vocabulary: DataFrame, size: int, kind: type, docs) -> dict[str, np.ndarray]:
-    """The vocabulary as arrays in the order of its hashes; one partition at a time comes to the driver.
+    """The words to send as arrays in the order of their hashes; one partition at a time comes to the driver.
 
     The counts have two more places: 0 for unseen words, and the texts for starts.
     """
     word, n, counted, at = np.empty(size, np.uint64), np.empty(size, kind), np.empty(size, kind), 0
-    packed = vocabulary.select("word", "n", "held").mapInArrow(_in_columns, "word binary, n binary, held binary")
+    packed = vocabulary.filter(SENT).select("word", "n", "held").mapInArrow(_in_columns, "word binary, n binary, held binary")
     for row in packed.toLocalIterator():
         own, total, held = np.frombuffer(row[0], np.uint64), np.frombuffer(row[1], np.int64), np.frombuffer(row[2], np.int64)
         word[at : at + len(own)], n[at : at + len(own)], counted[at : at + len(own)] = own, total, total - held
@@ -100,67 +117,87 @@ def _packets(sent, buckets: int, learn: bool, hot: tuple[np.ndarray, np.ndarray]
 
     To learn: distinct pairs with their counts outside and inside the deleted fold. To score:
     distinct pairs with the documents they stand in, and a packet of each document's key,
-    counts of tokens, and sum over the hot pairs, whose counts every task knows: those are scored in place, so no bucket
-    takes all occurrences of a frequent pair.
+    counts of tokens, and sum over the pairs that are scored in place: the hot ones, whose counts every task knows, so that no bucket
+    takes all occurrences of a frequent pair, and those of a word that only this text has, whose counts are the text's own. Such words
+    are not among the sent ones, and their pairs of the deleted fold, which stand nowhere else, go as a packet of kind 2.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, look = Tokens(), Lookup(sent.value)
-        size = len(look.word)
+        size, total, types = len(look.word), look.total, look.types
         chunk = TaskContext.get().partitionId() << 32
-        total = int(look.n[:size].sum(dtype=np.int64))
-        base = None if learn else np.log10((look.n[: size + 1] + 0.1) / (total + 0.1 * (size + 1)))
         for batch in batches:
             fold = batch.column("_fold").to_numpy()
             for lo, hi, data, offsets in pieces(batch.column("_text")):
                 tokens.read(data, offsets)
                 chunk += 1
-                word = look.ids(tokens.word)
+                doc, of = tokens.doc, fold[lo + tokens.doc]
+                own, word = np.unique(tokens.word, return_inverse=True)
+                place = look.ids(own)
+                alone = place == size  # a word of one text, or of none that is trained on
+                n_own = np.where(alone, np.bincount(word, weights=of != 0, minlength=len(own)).astype(np.int64), look.n[place])
+                own_place = np.append(place, size + 1)  # the last is the start's
+                own_n = np.append(n_own, look.n[size + 1])
+                own_counted = np.append(np.where(alone, n_own - np.bincount(word, weights=of == DELETED_FOLD, minlength=len(own)).astype(np.int64), look.counted[place]), look.counted[size + 1])
+                alone = np.append(alone, False)
                 context = np.empty_like(word)
                 context[1:] = word[:-1]
-                context[tokens.first[:-1]] = size + 1
-                of = fold[lo + tokens.doc]
-                doc = tokens.doc
+                context[tokens.first[:-1]] = len(own)
                 out: list[tuple] = []
-                if not learn:
-                    n = np.diff(tokens.first)
-                    known = np.bincount(doc, weights=word < size, minlength=hi - lo).astype(np.int64)
-                    score = np.bincount(doc, weights=base[word], minlength=hi - lo)
-                    key = batch.column("_key").slice(lo, hi - lo)
-                    rows = np.stack([key.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(key.is_valid()), fold[lo:hi] == 0, n, known])
-                pair = (context.astype(np.uint64) << np.uint64(32)) | word.astype(np.uint64)
                 if learn:
-                    pair, of = pair[of != 0], of[of != 0]
-                else:
-                    at = np.minimum(np.searchsorted(hot[0], pair), max(len(hot[0]) - 1, 0))
-                    here = hot[0][at] == pair if len(hot[0]) else np.zeros(len(pair), bool)
-                    log = probability(weights, look.n[context[here]], hot[1][at[here]], look.n[word[here]], total, size) if here.any() else np.zeros(0)
-                    own = np.bincount(doc[here], weights=log, minlength=hi - lo)
-                    out.append((chunk % buckets, 0, rows.astype(np.int64).tobytes(), score.tobytes(), own.tobytes(), b""))
-                    pair, of, doc = pair[~here], of[~here], doc[~here]
-                order = np.argsort(pair, kind="stable")
-                pair = pair[order]
-                lead = np.ones(len(pair), bool)
-                lead[1:] = pair[1:] != pair[:-1]
+                    some = of != 0
+                    word, context, of, doc = word[some], context[some], of[some], doc[some]
+                wide, each = len(own) + 1, word
+                order = _ordered(context * wide + word, wide * wide)
+                word, context, of, doc = word[order], context[order], of[order], doc[order]
+                lead = np.ones(len(word), bool)
+                lead[1:] = (word[1:] != word[:-1]) | (context[1:] != context[:-1])
                 firsts = np.flatnonzero(lead)
-                n = np.diff(np.append(firsts, len(pair)))
-                held = np.add.reduceat(of[order] == DELETED_FOLD, firsts, dtype=np.int64) if len(pair) else n
-                trained = np.add.reduceat(of[order] != 0, firsts, dtype=np.int64) if len(pair) else n
-                pair = pair[firsts]
+                n = np.diff(np.append(firsts, len(word)))
+                held = np.add.reduceat(of == DELETED_FOLD, firsts, dtype=np.int64) if len(word) else n
+                trained = np.add.reduceat(of != 0, firsts, dtype=np.int64) if len(word) else n
+                word, context = word[firsts], context[firsts]
+                pair = (own_place[context].astype(np.uint64) << np.uint64(32)) | own_place[word].astype(np.uint64)
+                here = alone[context] | alone[word]
+                if learn:
+                    cells = here & (held > 0)
+                    if cells.any():
+                        parts = (own_counted[context[cells]], own_counted[word[cells]], held[cells])
+                        out.append((chunk % buckets, 2, *(x.astype(np.int64).tobytes() for x in parts), b""))
+                else:
+                    count = np.where(here, trained, 0)
+                    if len(hot[0]):
+                        at = np.minimum(np.searchsorted(hot[0], pair), len(hot[0]) - 1)
+                        frequent = ~here & (hot[0][at] == pair)
+                        here, count = here | frequent, np.where(frequent, hot[1][at], count)
+                    log = np.zeros(len(pair))
+                    if here.any():
+                        log[here] = probability(weights, own_n[context[here]], count[here], own_n[word[here]], total, types)
+                    base = np.log10((n_own + 0.1) / (total + 0.1 * (types + 1)))
+                    known = np.bincount(tokens.doc, weights=n_own[each] > 0, minlength=hi - lo).astype(np.int64)
+                    score = np.bincount(tokens.doc, weights=base[each], minlength=hi - lo)
+                    placed = np.bincount(doc, weights=np.repeat(log, n), minlength=hi - lo)
+                    key = batch.column("_key").slice(lo, hi - lo)
+                    rows = np.stack([key.fill_null(0).to_numpy(zero_copy_only=False), np.asarray(key.is_valid()), fold[lo:hi] == 0, np.diff(tokens.first), known])
+                    out.append((chunk % buckets, 0, rows.astype(np.int64).tobytes(), score.tobytes(), placed.tobytes(), b""))
+                left = ~here
+                firsts, n, held, trained, pair = firsts[left], n[left], held[left], trained[left], pair[left]
                 bucket = ((pair * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % buckets
-                docs = doc[order] if not learn else None
-                by = np.argsort(bucket, kind="stable")
+                by = np.argsort(bucket.astype(np.uint16) if buckets < 1 << 16 else bucket, kind="stable")
                 bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-                for i in np.flatnonzero(np.diff(bounds)).tolist():
-                    mine = by[bounds[i] : bounds[i + 1]]
-                    step = np.diff(pair[mine], prepend=np.uint64(0))  # small numbers pack well
-                    if learn:
-                        parts = ((n - held)[mine].astype("<u4"), held[mine].astype("<u4"), np.zeros(0))
-                    else:
-                        reach = n[mine]
-                        at = np.repeat(firsts[mine] - np.append(0, np.cumsum(reach))[:-1], reach) + np.arange(reach.sum())
-                        parts = (reach.astype("<u4"), trained[mine].astype("<u4"), docs[at].astype("<u4"))
-                    out.append((i, 1, step.tobytes(), *[x.tobytes() for x in parts]))
+                some = np.flatnonzero(np.diff(bounds))
+                firsts, n, held, trained, pair = firsts[by], n[by], held[by], trained[by], pair[by]
+                step = np.diff(pair, prepend=np.uint64(0))  # small numbers pack well
+                step[bounds[some]] = pair[bounds[some]]
+                if learn:
+                    columns, ends = (step, (n - held).astype("<u4"), held.astype("<u4")), None
+                else:
+                    upto = np.append(0, np.cumsum(n))
+                    at = np.repeat(firsts - upto[:-1], n) + np.arange(upto[-1])
+                    columns, ends, docs = (step, n.astype("<u4"), trained.astype("<u4")), upto[bounds], doc[at].astype("<u4")
+                for i in some.tolist():
+                    parts = [x[bounds[i] : bounds[i + 1]].tobytes() for x in columns]
+                    out.append((i, 1, *parts, b"" if learn else docs[ends[i] : ends[i + 1]].tobytes()))
                 cells = list(zip(*out)) or [()] * 6
                 kinds = (pa.int32(), pa.int32(), *[pa.binary()] * 4)
                 a = [pa.array(x, t) for x, t in zip(cells, kinds)]
@@ -187,15 +224,21 @@ def _seen(sent, hot: int) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         look = Lookup(sent.value)
-        _, pair, count, held, _ = _unpacked(table)
+        is_pair = pa.compute.equal(table.column("kind"), 1)
+        _, pair, count, held, _ = _unpacked(table.filter(is_pair))
         distinct, place = np.unique(pair, return_inverse=True)
         count = np.bincount(place, weights=count, minlength=len(distinct)).astype(np.int64)
         held = np.bincount(place, weights=held, minlength=len(distinct)).astype(np.int64)
         some, often = held > 0, count + held >= hot
         context, word = (distinct[some] >> np.uint64(32)).astype(np.int64), (distinct[some] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        cells = np.stack([look.counted[context], count[some], look.counted[word]])
-        cells, place = np.unique(cells, axis=1, return_inverse=True)
-        n = np.bincount(place.ravel(), weights=held[some], minlength=cells.shape[1]).astype(np.int64)
+        alone = table.filter(pa.compute.equal(table.column("kind"), 2))
+        its_context, its_word, its_held = (np.frombuffer(b"".join(alone.column(c).to_pylist()), np.int64) for c in "abc")
+        cells = [look.counted[context], count[some], look.counted[word]], [its_context, np.zeros(len(its_held), np.int64), its_word]
+        cells = np.concatenate([np.stack(x).astype(np.int64) for x in cells], axis=1)
+        order = np.lexsort(cells)
+        cells, tokens = cells[:, order], np.concatenate([held[some], its_held])[order]
+        begin = np.flatnonzero(np.append(True, (cells[:, 1:] != cells[:, :-1]).any(axis=0))) if len(tokens) else order
+        cells, n = cells[:, begin], np.add.reduceat(tokens, begin) if len(tokens) else tokens
         more = np.zeros(int(often.sum()), dtype=np.int64)
         columns = [np.concatenate([x.astype(np.int64), more]) for x in (*cells, n)]
         columns += [np.concatenate([np.full(len(n), -1), signed(distinct[often])]), np.concatenate([np.zeros(len(n), np.int64), (count + held)[often]])]
@@ -209,13 +252,12 @@ def _scored(sent, weights: np.ndarray) -> Callable:
 
     def run(table: pa.Table) -> pa.Table:
         look = Lookup(sent.value)
-        size, total = len(look.word), int(look.n[: len(look.word)].sum(dtype=np.int64))
         packets = table.filter(pa.compute.equal(table.column("kind"), 1))
         packet, pair, reach, count, docs = _unpacked(packets)
         distinct, place = np.unique(pair, return_inverse=True)
         count = np.bincount(place, weights=count, minlength=len(distinct))
         context, word = (distinct >> np.uint64(32)).astype(np.int64), (distinct & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        log = probability(weights, look.n[context], count, look.n[word], total, size)[place]
+        log = probability(weights, look.n[context], count, look.n[word], look.total, look.types)[place]
         bounds = np.searchsorted(packet, np.arange(len(docs) + 1))
         places, sums = [], []
         for i, doc in enumerate(docs):
@@ -334,9 +376,9 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_w
 
     Distinct pairs of a few megabytes of text travel packed to the bucket of their hash, where their counts
     are added; a bucket sends back one sum for each document that a packet of it holds, and pairs of very many tokens are scored
-    in place. Words and counts are sent
-    to all tasks while they are few enough (the driver then holds 16 bytes a word, and each worker a copy), else tokens are joined with them by shuffles, to the
-    same scores.
+    in place. Words of two texts and more and their counts are sent
+    to all tasks while they are few enough (the driver then holds 16 bytes a word, and each worker a copy), else tokens are joined with the vocabulary by shuffles, to the
+    same scores. A word that only one text has is counted there, and so are its pairs, which never travel.
 
     Returns key, held_out, n_tokens, n_known (tokens seen in training), train_tokens, base_score (single words with 0.1
     added to each count) and score, one row per input row. A null text is empty, which is one token. Without
@@ -346,14 +388,14 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_w
     of = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(10)).cast("int")
     rows = docs.select(F.col(key).cast("long").alias("_key"), of.alias("_fold"), value.alias("_text"))
     spark = docs.sparkSession
-    vocabulary = rows.select("_fold", "_text").mapInArrow(_counts, "word long, n long, held long")
-    vocabulary = stored(vocabulary.groupBy("word").agg(F.sum("n").alias("n"), F.sum("held").alias("held")))
-    size, total, held = vocabulary.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("held"), F.lit(0))).first()
+    vocabulary = rows.select("_fold", "_text").mapInArrow(_counts, "word long, n long, held long, texts long")
+    vocabulary = stored(vocabulary.groupBy("word").agg(*(F.sum(c).alias(c) for c in ("n", "held", "texts"))))
+    size, total, held, sent_size = vocabulary.agg(F.count_if(F.col("n") > 0), *(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "held")), F.count_if(F.expr(SENT))).first()
     ends = vocabulary.filter(F.col("word") == int(END)).select("n", F.col("n") - F.col("held")).first() or (0, 0)
 
-    if size > sent_words:
+    if sent_size > sent_words:
         named = stored(rows.withColumn("_row", F.monotonically_increasing_id()))
-        tokens = _joined_pairs(named, vocabulary, tuple(ends))
+        tokens = _joined_pairs(named, vocabulary.filter("n > 0"), tuple(ends))
         seen = tokens.filter(F.col("_fold") == DELETED_FOLD).select(F.col("context_counted").alias("context"), F.col("p_counted").alias("pair"), F.col("word_counted").alias("word"), F.col("k").alias("n"))
         weights = learnt_weights(seen, total - held, size)
 
@@ -369,7 +411,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", sent_w
         out = named.select("_row", "_key", (F.col("_fold") == 0).alias("held_out")).join(sums, "_row")
         out = out.withColumn("train_tokens", F.lit(total).cast("long"))
     else:
-        sent = spark.sparkContext.broadcast(_collected(vocabulary, size, np.uint32 if total < 1 << 32 else np.int64, ends))
+        known = _collected(vocabulary, sent_size, np.uint32 if total < 1 << 32 else np.int64, ends)
+        sent = spark.sparkContext.broadcast({**known, "total": total, "types": size})
         buckets = int(total // BUCKET_TOKENS) + 1
         columns = rows.select("_key", "_fold", "_text")
         pairs = columns.mapInArrow(_packets(sent, buckets, True), _PACKET)
