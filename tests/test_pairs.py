@@ -1,11 +1,13 @@
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from truthmill.operators import pairs
+from truthmill.operators.shared import stored
 
 
 def terms():
@@ -101,3 +103,25 @@ def test_only_pairs_at_the_threshold_leave_their_tasks(spark, rows, chunk, monke
     assert "Join" not in plan.split("FlatMapCoGroupsInArrow")[0] and "FlatMapCoGroupsInArrow" in plan
     want = {at: cosine for at, (_, _, cosine) in plain_pairs(rows, 0.2).items()}
     assert {(r.left, r.right): r.cosine for r in found.collect()} == pytest.approx(want, abs=2e-6)
+
+
+def test_blocks_in_waves_leave_no_shuffles(spark, rows, monkeypatch):
+    """With many blocks, what is shuffled at once is a few times the vectors, and it is gone when the wave's pairs are stored."""
+    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())).parent
+    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    left_over, store = [], pairs.stored_alone
+
+    def seen(df):
+        before = files()
+        out = store(df)
+        left_over.append(len(files() - before))
+        return out
+
+    monkeypatch.setattr(pairs, "stored_alone", seen)
+    df = spark.createDataFrame(rows, "doc_id long, label double, content string")
+    weights = pairs.inverse_frequency_weights(pairs.article_classes(df, terms(), "doc_id", "label"), "label")
+    sides = [stored(weights.filter(F.col("label") == c).drop("label")) for c in (0.0, 1.0)]
+    found = pairs.similar_pairs(*sides, 0.2, block_rows=20)
+    assert len(left_over) > 1 and not any(left_over)
+    want = {at: cosine for at, (_, _, cosine) in plain_pairs(rows, 0.2).items()}
+    assert {(r.left, r.right): r.cosine for r in found.collect()} == pytest.approx(want, abs=2e-6)

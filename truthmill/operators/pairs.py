@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from truthmill.functions.arrays import run_lengths
 from truthmill.operators.corpus import idf_smoothed
-from truthmill.operators.shared import join_words, stored
+from truthmill.operators.shared import join_words, stored, stored_alone
 
 #: Vectors of one side that a block holds, how many it holds at least where there are enough tasks, and products made at once.
 BLOCK_ROWS, LEAST_BLOCK, CHUNK = 8_192, 512, 1 << 20
+#: How often all vectors may be shuffled at once; blocks of left vectors that would need more wait for a later wave.
+COPIES = 4
 #: Cosines are compared after rounding, so equal vectors compare equal whatever the order of their sums.
 DIGITS = 6
 _SLACK = 1e-9
@@ -70,11 +73,10 @@ def _vectors(weights: DataFrame, threshold: float, side: str) -> tuple[DataFrame
     return rows, rows.filter(F.col(f"{side}_rest") >= threshold - _SLACK).select("word", side, f"{side}_rest")
 
 
-def _entries(vectors: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
-    """(row, place, unit, rest) of all entries of a column of vectors."""
-    flat = pc.list_flatten(vectors).combine_chunks()
-    row = np.repeat(np.arange(len(vectors)), pc.list_value_length(vectors).to_numpy())
-    return row, *(flat.field(c).to_numpy(zero_copy_only=False) for c in ("at", "unit", "rest"))
+def _entries(vectors: pa.Table) -> tuple[np.ndarray, ...]:
+    """(row, place, unit, rest) of all entries of the vectors."""
+    row = np.repeat(np.arange(vectors.num_rows), pc.list_value_length(vectors["at"]).to_numpy())
+    return row, *(pc.list_flatten(vectors[c]).to_numpy() for c in ("at", "unit", "rest"))
 
 
 def _near(threshold: float) -> Callable:
@@ -85,8 +87,8 @@ def _near(threshold: float) -> Callable:
     """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        row, place, unit, rest = _entries(left["v"])
-        its_row, its_place, its_unit, its_rest = _entries(right["v"])
+        row, place, unit, rest = _entries(left)
+        its_row, its_place, its_unit, its_rest = _entries(right)
         order = np.argsort(its_place, kind="stable")
         words, begin, size = np.unique(its_place[order], return_index=True, return_counts=True)
         its_row, its_unit = its_row[order], its_unit[order]
@@ -122,7 +124,9 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_row
     Both sides are (id, word, df, weight) with df the same for a word on both; weights may have any sign. Words that only one side
     has add nothing to a product and stay behind; the others are numbered. Each block of left vectors meets each
     block of right ones in a task of its own, where the products are added up word by word (``_near``): what is shuffled is vectors, each as
-    often as the other side has blocks, and what is written is pairs at the threshold, however many share a word. The compute grows
+    often as the other side has blocks, and what is written is pairs at the threshold, however many share a word. Where that would be more than
+    ``COPIES`` times all vectors, the left blocks come in waves, and a wave's pairs are stored and its shuffle is removed before the next,
+    so the disk grows with the vectors and not with their square. The compute grows
     with the words that pairs share; groups of alike vectors are best made one class first.
     """
     if not 0 < threshold <= 1:
@@ -130,20 +134,31 @@ def similar_pairs(left: DataFrame, right: DataFrame, threshold: float, block_row
     sides = {name: _vectors(df, threshold, name)[0] for name, df in (("left", left), ("right", right))}
     common = sides["left"].select("word").distinct().join(sides["right"].select("word").distinct(), "word", "left_semi")
     common = stored(common.withColumn("at", F.monotonically_increasing_id()))
-    vectors, parts = {}, {}
+    vectors, parts, sizes = {}, {}, {}
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for name, rows in sides.items():
         entry = F.struct("at", "unit", F.col(f"{name}_rest").alias("rest"))
-        vectors[name] = stored(join_words(rows, common, "word").groupBy(name).agg(F.collect_list(entry).alias("v")))
-        n = vectors[name].count()
+        held = join_words(rows, common, "word").groupBy(name).agg(F.collect_list(entry).alias("v"))
+        vectors[name] = stored(held.select(name, "v.at", "v.unit", "v.rest"))
+        n = sizes[name] = vectors[name].count()
         parts[name] = max(1, -(-n // min(block_rows, max(LEAST_BLOCK, -(-n // tasks)))) if name == "right" else -(-n // block_rows))
     dealt = lambda name: F.pmod(F.xxhash64(name), F.lit(parts[name])).cast("int")
     every = lambda name: F.explode(F.sequence(F.lit(0), F.lit(parts[name] - 1)))
-    a = vectors["left"].select(dealt("left").alias("i"), every("right").alias("j"), "left", "v").groupBy("i", "j")
-    b = vectors["right"].select(every("left").alias("i"), dealt("right").alias("j"), "right", "v").groupBy("i", "j")
     kinds = ", ".join(f"{name} {vectors[name].schema[name].dataType.simpleString()}" for name in vectors)
-    near = a.cogroup(b).applyInArrow(_near(threshold), f"{kinds}, cosine double")
-    return near.withColumn("cosine", F.round("cosine", DIGITS)).filter(F.col("cosine") >= threshold)
+
+    def met(lo: int, hi: int) -> DataFrame:
+        """The pairs of the left blocks from ``lo`` to before ``hi``."""
+        some = F.explode(F.sequence(F.lit(lo), F.lit(hi - 1)))
+        a = vectors["left"].withColumn("i", dealt("left")).filter(F.col("i").between(lo, hi - 1)).withColumn("j", every("right"))
+        b = vectors["right"].withColumns({"i": some, "j": dealt("right")})
+        near = a.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInArrow(_near(threshold), f"{kinds}, cosine double")
+        return near.withColumn("cosine", F.round("cosine", DIGITS)).filter(F.col("cosine") >= threshold)
+
+    copied = sizes["right"] + -(-sizes["left"] // parts["left"]) * parts["right"]  # rows that one left block lets be shuffled
+    wave = max(1, COPIES * sum(sizes.values()) // max(copied, 1))
+    if wave >= parts["left"]:
+        return met(0, parts["left"])
+    return reduce(DataFrame.unionByName, [stored_alone(met(lo, min(lo + wave, parts["left"]))) for lo in range(0, parts["left"], wave)])
 
 
 def similar_articles(
