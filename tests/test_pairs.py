@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -107,13 +108,16 @@ def test_only_pairs_at_the_threshold_leave_their_tasks(spark, rows, chunk, monke
 
 def test_blocks_in_waves_leave_no_shuffles(spark, rows, monkeypatch):
     """With many blocks, what is shuffled at once is a few times the vectors, and it is gone when the wave's pairs are stored."""
-    local = Path(spark._jvm.org.apache.spark.util.Utils.getLocalDir(spark.sparkContext._jsc.sc().conf())).parent
-    files = lambda: {p for p in local.rglob("shuffle_*.data")}
+    local = [Path(str(d)) for d in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {p for d in local for p in d.rglob("shuffle_*.data")}
     left_over, store = [], pairs.stored_alone
 
     def seen(df):
         before = files()
         out = store(df)
+        until = time.time() + 30
+        while files() - before and time.time() < until:  # they are removed in the background
+            time.sleep(0.2)
         left_over.append(len(files() - before))
         return out
 
@@ -123,5 +127,8 @@ def test_blocks_in_waves_leave_no_shuffles(spark, rows, monkeypatch):
     sides = [stored(weights.filter(F.col("label") == c).drop("label")) for c in (0.0, 1.0)]
     found = pairs.similar_pairs(*sides, 0.2, block_rows=20)
     assert len(left_over) > 1 and not any(left_over)
+    before = files()
+    stored(sides[0].groupBy("word").count())
+    assert files() - before  # others stay
     want = {at: cosine for at, (_, _, cosine) in plain_pairs(rows, 0.2).items()}
     assert {(r.left, r.right): r.cosine for r in found.collect()} == pytest.approx(want, abs=2e-6)
